@@ -119,5 +119,5 @@ def mixed(
     b = a.join(F.broadcast(last), leaf)
     times = F.col("whole") + F.when(F.col("last").isNotNull() & (place(F.col("whole").cast("int")) <= F.col("last")), 1).otherwise(0)
     b = b.withColumn("__m_times", times).where("__m_times > 0").withColumn("__m_epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__m_times") - 1)))
-    added = [F.col("__m_domain").alias(into_domain)] * bool(into_domain) + [F.col("__m_epoch").alias(epoch)] * bool(epoch)
+    added = [F.col(c).alias(name) for c, name in (("__m_domain", into_domain), ("__m_epoch", epoch)) if name]
     return b.select(*[b[c] for c in own], *added)
