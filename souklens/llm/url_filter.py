@@ -23,6 +23,7 @@ MAX_LOCAL = 5_000_000
 _PARTS = re.compile(r"://([^/?#]*)([^?#]*)")
 _SMALL = {ord(c): ord(c) + 32 for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}
 _OPEN: dict[str, DigestArray] = {}
+_SENT: set[tuple[str, str]] = set()
 
 
 def split_url(url: str | None) -> tuple[str, str]:
@@ -83,6 +84,9 @@ def _local(spark: SparkSession, rules: list[tuple[str, str, str]]) -> str:
     """Makes the array known to all executors, which fetch it from the driver; returns its name."""
     folder = os.path.realpath(tempfile.mkdtemp(prefix="digests-"))
     name = DigestArray.write(rules, folder)
+    if (spark.sparkContext.applicationId, name) in _SENT:
+        return name
+    _SENT.add((spark.sparkContext.applicationId, name))
     for part in DigestArray.PARTS:
         spark.sparkContext.addFile(os.path.join(folder, f"{name}.{part}.npy"))
     return name
