@@ -1,6 +1,307 @@
-def queries():
-    return {}
+"""Registered queries over the given tables, each with the SQL that gives the same rows."""
 
+from __future__ import annotations
 
-def oracle_sql():
-    return {}
+import os
+import tempfile
+import uuid
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import urls
+from ..operators import classify, dedupe, hosts, keywords, products, requests, results, search
+from ..plans import pipeline
+from ..schema import COUNTRY, CURRENT_RUN, PREVIOUS_RUN, PROBABILITY, Prompt, flagged
+from ..sources import dims, replies
+from ..streaming import dedupe as streaming
+from . import sql
+
+HOSTS = [("Alpha", "example.com, Shop.example.com"), ("Beta", ["m.ththth.example.net", "example.com"]), ("Gamma", "example.org,ththre.example.com")]
+EXCLUDED = [("Bad", "example.net, example.org")]
+SEEDS = ("attion", "thtion", "thanea")
+LANGUAGES = [("English", "en"), ("German", "DE"), ("French", "fr"), ("Spanish", "es-old"), ("Spanish", "es")]
+PROMPTS = (Prompt("relevance", "Offers of goods", "Say 1 for an offer, else 0.", (0, 1)), Prompt("extra.length", "Length of the name", "Say the length class.", (0, 1, 2)))
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder below the one that all executors share."""
+    return os.path.join(spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir(), f"souklens-{uuid.uuid4().hex}")
+
+
+def url_domain(spark, d):
+    return table(spark, d, "pages").select("page_id", urls.domain(F.col("url")).alias("domain"))
+
+
+def country_flag(spark, d):
+    p = table(spark, d, "pages").select("page_id", "url", F.explode(F.array(F.lit("org"), F.lit("ht"))).alias("cc"))
+    rows = p.withColumns({"filtered": F.lit(False), "filtered_at_stage": F.lit(None).cast("string")})
+    return flagged(rows, ~urls.in_country(F.col("url"), F.col("cc")), COUNTRY).select("page_id", "cc", "filtered", "filtered_at_stage")
+
+
+def marketplace_lookup(spark, d):
+    p = table(spark, d, "pages").select("page_id", urls.domain(F.col("url")).alias("domain"))
+    return hosts.with_marketplace(p, dims.hosts(spark, HOSTS)).select("page_id", "domain", "marketplace_name")
+
+
+def exclude_hosts(spark, d):
+    p = table(spark, d, "pages").select("page_id", urls.domain(F.col("url")).alias("domain"))
+    return hosts.exclude_hosts(p, dims.hosts(spark, [("Bad", [f"{a}.example.com" for a in ("ththre", "m.ththth")] + ["example.org"])]))
+
+
+def language_lookup(spark, d):
+    rows = spark.createDataFrame([(i, *x) for i, x in enumerate(LANGUAGES)], "ord int, name string, code string")
+    named = table(spark, d, "documents").select("doc_id", F.create_map(*[F.lit(x) for x in ("en", "English", "de", "German", "fr", "French", "es", "Spanish")])[F.col("lang")].alias("name"))
+    return dims.with_code(named, dims.last_wins(rows), "name", None, "code", "language").select("doc_id", "name", "code")
+
+
+def location_lookup(spark, d):
+    n = table(spark, d, "nation").select(F.col("n_name").alias("name"), F.when(F.col("n_nationkey") % 5 == 0, F.upper(F.substring("n_name", 1, 3))).otherwise("").alias("given"), F.col("n_nationkey").alias("ord"))
+    dim = dims.last_wins(n.select("ord", "name", F.lower(F.substring("name", 1, 2)).alias("code")))
+    return dims.with_code(n, dim, "name", "given", "code", "location").select("name", "code")
+
+
+def search_string(spark, d):
+    terms = table(spark, d, "documents").select("lang").distinct().select(F.concat(F.lit("term "), "lang").alias("search_term"), F.lit("initial").alias("search_term_type"), F.lit(20).alias("num_results"))
+    return requests.search_requests(terms, "German", "de", "Switzerland", "CH", dims.hosts(spark, HOSTS)).select("search_term", "q", "google_domain", "location_used", "tbs", "gl", "hl", "num")
+
+
+def _replies(spark, d) -> DataFrame:
+    """A search reply for each tenth of the pages, its links in order of page_id, every seventh null."""
+    link = F.struct(F.when(F.col("page_id") % 7 != 0, F.col("url")).alias("link"))
+    p = table(spark, d, "pages").groupBy(F.floor(F.col("page_id") / 10).cast("int").alias("search_id")).agg(F.array_sort(F.collect_list(F.struct("page_id", link.alias("x")))).alias("xs"))
+    return p.select("search_id", F.to_json(F.struct(F.col("xs.x").alias("organic_results"))).alias("payload"))
+
+
+def search_json(spark, d):
+    hits, _ = replies.usable_hits(replies.search_hits(_replies(spark, d)))
+    return search.first_hits(hits.withColumn("num_results", F.lit(8))).select("search_id", "position", "url")
+
+
+def quarantined_hits(spark, d):
+    _, bad = replies.usable_hits(replies.search_hits(_replies(spark, d)))
+    return bad.groupBy("reason").agg(F.count("*").alias("n"))
+
+
+def _searches(spark, n: int = 200) -> DataFrame:
+    rows = [(i, "run1", i, t, "initial", t, n, ["example.com", "example.net"] if i == 2 else None) for i, t in enumerate(SEEDS)]
+    return spark.createDataFrame(rows, "search_id int, run_id string, search_ord int, search_term string, search_term_type string, term string, num_results int, sites array<string>")
+
+
+def search_pages(spark, d):
+    return search.search_pages(table(spark, d, "pages"), _searches(spark)).select("search_id", "page_id", F.col("score").cast("long").alias("score"), F.col("position").cast("long").alias("position"))
+
+
+def hit_counts(spark, d):
+    return search.hit_counts(search_pages(spark, d))
+
+
+def keyword_requests(spark, d):
+    langs = table(spark, d, "documents").select(F.col("lang").alias("language"), F.lit("Switzerland").alias("location")).distinct()
+    return requests.keyword_requests(spark.createDataFrame([(s,) for s in SEEDS], "seed string"), langs)
+
+
+def _seeds(spark) -> DataFrame:
+    return spark.createDataFrame([(s,) for s in SEEDS], "seed string")
+
+
+def suggest_terms(spark, d):
+    return keywords.suggest_terms(table(spark, d, "documents"), _seeds(spark), 50).select("seed", "text", "volume", F.col("ord").cast("long").alias("ord"))
+
+
+def related_terms(spark, d):
+    return keywords.related_terms(table(spark, d, "documents"), _seeds(spark), 50).select("seed", "text", "volume", F.col("ord").cast("long").alias("ord"))
+
+
+def keyword_json(spark, d):
+    docs = table(spark, d, "documents").where("doc_id % 3 <> 2")
+    info = F.struct(F.when(F.col("doc_id") % 5 != 0, F.col("n_chars")).alias("search_volume"))
+    item = F.struct(F.concat(F.lit("kw "), F.col("doc_id").cast("string")).alias("keyword"), info.alias("keyword_info"))
+    nest = lambda x: F.to_json(F.struct(F.array(F.struct(F.array(F.struct(F.array(x).alias("items"))).alias("result"))).alias("tasks"))).alias("payload")
+    own = replies.keyword_items(docs.select("doc_id", nest(item)), "suggested")
+    other = replies.keyword_items(docs.select("doc_id", nest(F.struct(item.alias("keyword_data")))), "related")
+    both = own.withColumn("source", F.lit("suggested")).unionByName(other.withColumn("source", F.lit("related")))
+    return replies.usable_keywords(both)[0].select("source", "doc_id", "text", "volume")
+
+
+def rank_terms(spark, d):
+    docs, s = table(spark, d, "documents"), _seeds(spark)
+    return keywords.rank_terms(keywords.suggest_terms(docs, s, 50), keywords.related_terms(docs, s, 50), 20).select("seed", "text", "volume", F.col("rank").cast("long").alias("rank"))
+
+
+def search_requests(spark, d):
+    terms = requests.search_terms(_seeds(spark).withColumnRenamed("seed", "search_term"), rank_terms(spark, d).where("rank <= 5").select(F.col("text").alias("search_term")), 50, 10)
+    return requests.search_requests(terms, "German", "de", "Switzerland", "ch").select("search_term", "search_term_type", "num", "q", "tbs")
+
+
+def _hits(spark, d, n: int = 200) -> tuple[DataFrame, DataFrame]:
+    s = _searches(spark, n).withColumn("sites", F.lit(None).cast("array<string>"))
+    return search.search_pages(table(spark, d, "pages"), s), s
+
+
+def _products(spark, d) -> DataFrame:
+    hits, s = _hits(spark, d)
+    return search.products(hits, s, "org", dims.hosts(spark, HOSTS)).withColumn("run_id", F.lit("run1"))
+
+
+def _seen(spark, d) -> DataFrame:
+    return table(spark, d, "pages").where("page_id % 5 = 0").select("url")
+
+
+FLAGS = ("search_id", "position", "url", "filtered", "filtered_at_stage")
+
+
+def dedupe_current_run(spark, d):
+    return dedupe.flag_current_run(_products(spark, d)).select(*FLAGS).withColumn("position", F.col("position").cast("long"))
+
+
+def dedupe_previous_run(spark, d):
+    return dedupe.flag_current_run(dedupe.flag_previous_runs(_products(spark, d), _seen(spark, d))).select(*FLAGS).withColumn("position", F.col("position").cast("long"))
+
+
+def seen_urls_update(spark, d):
+    p = dedupe.flag_current_run(dedupe.flag_previous_runs(_products(spark, d), _seen(spark, d)))
+    return dedupe.new_seen_urls(p, _seen(spark, d))
+
+
+def _part_details(spark, d) -> DataFrame:
+    """Details replies made of parts; every eleventh has no probability, every thirteenth no product."""
+    image = lambda c: F.struct(c.alias("url"))
+    product = F.struct(
+        F.col("p_name").alias("name"), F.col("p_partkey").cast("string").alias("price"), F.col("p_type").alias("description"), image(F.concat(F.lit("m"), F.col("p_partkey").cast("string"))).alias("mainImage"),
+        F.array(image(F.col("p_brand")), image(F.lit("")), image(F.lit(None).cast("string"))).alias("images"),
+        F.struct(F.when(F.col("p_partkey") % 11 != 0, (F.col("p_size") / 50).cast("string")).alias("probability")).alias("metadata"),
+    )
+    url = F.concat(F.lit("https://parts.example.com/"), F.col("p_partkey").cast("string"))
+    return table(spark, d, "part").select(url.alias("url"), F.to_json(F.struct(F.when(F.col("p_partkey") % 13 != 0, product).alias("product"))).alias("payload"))
+
+
+def product_json(spark, d):
+    a = replies.product_details(_part_details(spark, d))
+    return a.withColumn("product_images", F.array_join("product_images", ","))
+
+
+def probability_flag(spark, d):
+    a = replies.product_details(_part_details(spark, d)).withColumns({"filtered": F.lit(False), "filtered_at_stage": F.lit(None).cast("string")})
+    return products.flag_probability(a).select("url", "probability", "filtered", "filtered_at_stage")
+
+
+def _page_details(spark, d) -> DataFrame:
+    """Details of three quarters of the pages; the probability is a twentieth of page_id mod 20."""
+    return products.extract_products(table(spark, d, "pages").where("page_id % 4 <> 3")).withColumn("probability", (F.col("page_id") % 20) / F.lit(20.0)).drop("page_id")
+
+
+def details_join(spark, d):
+    p = table(spark, d, "pages").select("page_id", "url")
+    return products.with_details(p, _page_details(spark, d)).select("page_id", "product_name", "probability")
+
+
+def product_html(spark, d):
+    return products.extract_products(table(spark, d, "pages")).withColumn("product_images", F.array_join("product_images", ",")).drop("url")
+
+
+def prompt_check(spark, d):
+    p = dims.checked_prompts(dims.prompts(spark, PROMPTS))
+    return table(spark, d, "nation").select("n_nationkey").join(p, F.array_contains("allowed_classes", (F.col("n_nationkey") % 4).cast("int"))).select("n_nationkey", "name", F.array_join(F.col("allowed_classes").cast("array<string>"), ",").alias("allowed"))
+
+
+def render_prompt(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", F.concat(F.lit("document "), F.col("doc_id").cast("string")).alias("name"), F.substring("text", 1, 40).alias("description"))
+    return _rendered(spark, docs)
+
+
+def _rendered(spark, docs: DataFrame) -> DataFrame:
+    asked = docs.withColumn("p", F.explode(F.array(*[F.struct(F.lit(p.name).alias("prompt"), F.lit(p.context).alias("context"), F.lit(p.system_prompt).alias("system")) for p in PROMPTS])))
+    m = classify.messages(F.col("p.system"), classify.rendered(F.col("p.context"), F.col("name"), F.col("description")))
+    return asked.select("doc_id", "p.prompt", m[0]["content"].alias("system_message"), m[1]["content"].alias("user_message"), F.size(m).cast("long").alias("n_messages"))
+
+
+REPLIES = ("1", " 1\n", "1.0", "yes", "", "7", "+0", "-1", "1_0")
+
+
+def label_guard(spark, d):
+    key = F.col("p_partkey").cast("int")
+    reply = F.element_at(F.array(*map(F.lit, REPLIES)), key % len(REPLIES) + 1)
+    a = table(spark, d, "part").select("p_partkey", reply.alias("reply"), F.when(key % 10 != 9, F.col("p_name")).alias("name"), F.when(key % 4 == 0, F.lit("")).otherwise(F.col("p_type")).alias("description"))
+    return a.select("p_partkey", classify.label(F.col("reply"), F.array(F.lit(0), F.lit(1)), F.col("name"), F.col("description")).alias("label"))
+
+
+def keyword_rule(batch: pd.DataFrame) -> pd.Series:
+    """A predictor by rule: does the name have "th"; or in which class is its length."""
+    name = batch["product_name"]
+    return (name.str.contains("th", regex=False).astype(int) if batch["prompt"].iloc[0] == "relevance" else name.str.len() % 4).astype(str)
+
+
+def _classified(spark, d) -> DataFrame:
+    a = products.extract_products(table(spark, d, "pages")).withColumns({"filtered": F.col("page_id") % 6 == 0, "filtered_at_stage": F.when(F.col("page_id") % 6 == 0, COUNTRY)})
+    return classify.classify(a, PROMPTS, keyword_rule)
+
+
+def classify_pages(spark, d):
+    c = _classified(spark, d)
+    return c.select("page_id", "filtered", F.size("classifications").cast("long").alias("n_labels"), F.try_element_at("classifications", F.lit("relevance")).alias("relevance"))
+
+
+def classification_wide(spark, d):
+    return results.wide(_classified(spark, d).select("page_id", "product_name", "classifications"), [p.name for p in PROMPTS])
+
+
+def csv_round_trip(spark, d):
+    a = products.extract_products(table(spark, d, "pages")).drop("url")
+    results.write_csv(a, path := shared_folder(spark))
+    schema = "page_id long, product_name string, product_price string, product_description string, product_images string, probability double"
+    return results.read_csv(spark, path, schema).withColumn("product_images", F.array_join(F.from_json("product_images", "array<string>"), ","))
+
+
+def run_list(spark, d):
+    o = table(spark, d, "orders").where("o_orderkey % 50 = 0").groupBy("o_custkey").agg(F.max("o_orderdate").alias("ts"))
+    runs = o.select(results.run_id(F.concat(F.lit("term"), F.col("o_custkey").cast("string")), F.lit("de"), F.lit("ch"), F.col("ts")).alias("run_id"), "ts")
+    return results.listed_runs(runs).select("run_id", "index")
+
+
+def load_run(spark, d):
+    o = table(spark, d, "orders").select(F.col("o_orderpriority").alias("run_id"), "o_orderkey", "o_orderdate")
+    runs = o.groupBy("run_id").agg(F.min("o_orderdate").alias("ts"))
+    return results.load_run(o, runs, -2).select("run_id", "o_orderkey")
+
+
+def _annotated(spark, d) -> DataFrame:
+    hits, s = _hits(spark, d)
+    return pipeline.annotate(hits, s, "org", _page_details(spark, d), _seen(spark, d), dims.hosts(spark, HOSTS), dims.hosts(spark, EXCLUDED))
+
+
+def stage_funnel(spark, d):
+    return results.funnel(_annotated(spark, d))
+
+
+def pipeline_end_to_end(spark, d):
+    hits, s = _hits(spark, d)
+    out = pipeline.run(hits, s, "org", _page_details(spark, d), PROMPTS, keyword_rule, seen=_seen(spark, d), marketplaces=dims.hosts(spark, HOSTS), excluded=dims.hosts(spark, EXCLUDED))
+    return results.wide(out, [p.name for p in PROMPTS]).select("search_id", F.col("position").cast("long").alias("position"), "search_term", "url", "domain", "marketplace_name", "product_name", "probability", "filtered", "filtered_at_stage", "relevance", "length")
+
+
+def stream_dedupe(spark, d):
+    pages = spark.read.parquet(f"{d}/pages.parquet").schema
+    stream = spark.readStream.schema(pages).option("maxFilesPerTrigger", 4).parquet(f"{d}/page[s].parquet")  # a pattern may be a file or a folder
+    hits = stream.select("url", F.explode(F.sequence(F.lit(0).cast("long"), F.col("page_id") % 3)).alias("search_id")).withColumns({"filtered": F.lit(False), "filtered_at_stage": F.lit(None).cast("string")})
+    base = shared_folder(spark)
+    streaming.run(streaming.flag_repeated(hits), lambda batch, i: batch.write.mode("append").parquet(f"{base}/out"), f"{base}/state")
+    return spark.read.parquet(f"{base}/out").groupBy("url", "filtered", "filtered_at_stage").agg(F.count("*").alias("n"))
+
+
+def queries() -> dict:
+    own = (
+        url_domain, country_flag, marketplace_lookup, exclude_hosts, language_lookup, location_lookup, search_string, search_json, quarantined_hits, search_pages, hit_counts, keyword_requests, suggest_terms,
+        related_terms, keyword_json, rank_terms, search_requests, dedupe_current_run, dedupe_previous_run, seen_urls_update, product_json, probability_flag, details_join, product_html, prompt_check, render_prompt,
+        label_guard, classify_pages, classification_wide, csv_round_trip, run_list, load_run, stage_funnel, pipeline_end_to_end, stream_dedupe,
+    )
+    return {f.__name__: f for f in own}
+
+
+def oracle_sql() -> dict[str, str]:
+    return sql.oracles(HOSTS, EXCLUDED, SEEDS, PROMPTS, REPLIES, (COUNTRY, CURRENT_RUN, PREVIOUS_RUN, PROBABILITY))
