@@ -118,6 +118,6 @@ def oracles(hosts, excluded, seeds, prompts, replies, stages) -> dict[str, str]:
         "stage_funnel": f"with {full} select coalesce(stage, 'kept') stage, count(*) n from res group by 1",
         "pipeline_end_to_end": f"""with {full} select search_id, position, seed search_term, url, dom as domain, coalesce(market, 'Google') marketplace_name, product_name, probability, stage is not null filtered, stage filtered_at_stage,
             case when stage is null then {relevance("product_name", "product_description")} end relevance, case when stage is null then {length("product_name", "product_description")} end length
-            from res join {seed_rows} s(i, seed) on s.i = search_id left join {markets} m on res.dom = m.dom""",
+            from res join {seed_rows} s(i, seed) on s.i = search_id left join {markets} m(mdom, market) on res.dom = m.mdom""",
         "stream_dedupe": f"select url, filtered, case when filtered then {current} end filtered_at_stage, case when filtered then sum(n) - 1 else 1 end::bigint n from (select url, sum(page_id % 3 + 1) n from pages group by 1), (values (true), (false)) f(filtered) group by url, filtered having filtered = false or sum(n) > 1",
     }
