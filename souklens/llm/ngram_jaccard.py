@@ -37,22 +37,25 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+class _Hashes(dict):
+    def __missing__(self, word: bytes) -> int:
+        self[word] = h = xxhash.xxh3_64_intdigest(word)
+        return h
+
+
 class Shingler:
     """Sets of word shingles as sorted 64-bit hashes: A-Z in lower case, words between blanks; fewer than SHINGLE words are one shingle."""
 
     def __init__(self, size: int = SHINGLE):
-        self.size, self.words = size, {}
+        self.size, self.words = size, _Hashes()
 
     def __call__(self, text: str | None) -> np.ndarray:
         words = text.encode("utf-8", "surrogatepass").lower().split() if text else []  # of bytes: ASCII letters and blanks alone
         if not words:
             return np.empty(0, np.uint64)
-        known = self.words
-        if len(known) > REMEMBER:
-            known.clear()
-        for w in set(words) - known.keys():
-            known[w] = xxhash.xxh3_64_intdigest(w)
-        h = np.fromiter((known[w] for w in words), np.uint64, len(words))
+        if len(self.words) > REMEMBER:
+            self.words.clear()
+        h = np.array(list(map(self.words.__getitem__, words)), np.uint64)
         k = min(self.size, len(h))
         rolled = h[: len(h) - k + 1].copy()
         for i in range(1, k):

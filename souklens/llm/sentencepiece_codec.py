@@ -26,30 +26,45 @@ def shared_prefix(a: str, b: str) -> int:
     return low
 
 
-def best_paths(words: Iterable[str], v: Vocabulary) -> dict[str, list[int]]:
+def backward_trie(v: Vocabulary) -> dict:
+    """The pieces from their last character to their first; a node's entry None holds (id, score) of the piece that ends here."""
+    root: dict = {}
+    for piece, hit in v.pieces.items():
+        node = root
+        for c in reversed(piece):
+            node = node.setdefault(c, {})
+        node[None] = hit
+    return root
+
+
+def best_paths(words: Iterable[str], v: Vocabulary, trie: dict | None = None) -> dict[str, list[int]]:
     """The ids of each word's best path.
 
     Sorted words are the leaves of a trie in depth-first order; the stacks of forward scores and last pieces are cut
-    back to the prefix shared with the word before and only go on from there. Ties as in token_count.Counter.
+    back to the prefix shared with the word before and only go on from there. Ties as in token_count.Counter: pieces
+    that end at a place are met from the shortest to the longest, so of equal scores the last met stays.
     """
     out: dict[str, list[int]] = {}
-    pieces, longest, unknown = v.pieces, v.longest, v.unknown_score
+    trie = backward_trie(v) if trie is None else trie
+    pieces, unknown = v.pieces, v.unknown_score
     score, start, piece = [0.0], [0], [-1]
     before = ""
     for word in sorted(words):
         at = shared_prefix(before, word)
         del score[at + 1 :], start[at + 1 :], piece[at + 1 :]
         for end in range(at + 1, len(word) + 1):
-            top, origin, best = None, 0, -1
-            for begin in range(max(0, end - longest), end):
-                if (hit := pieces.get(word[begin:end])) is not None:
-                    value = score[begin] + hit[1]
-                    if top is None or value > top:
-                        top, origin, best = value, begin, hit[0]
-            if word[end - 1] not in pieces:
-                value = score[end - 1] + unknown
-                if top is None or value > top:
-                    top, origin, best = value, end - 1, -1
+            begin = end - 1
+            top, origin, best = (float("-inf") if word[begin] in pieces else score[begin] + unknown), begin, -1
+            node = trie.get(word[begin])
+            while node is not None:
+                if None in node:
+                    i, gain = node[None]
+                    if (value := score[begin] + gain) >= top:
+                        top, origin, best = value, begin, i
+                begin -= 1
+                if begin < 0:
+                    break
+                node = node.get(word[begin])
             score.append(top)
             start.append(origin)
             piece.append(best)
@@ -64,7 +79,7 @@ def best_paths(words: Iterable[str], v: Vocabulary) -> dict[str, list[int]]:
 
 class Codec:
     def __init__(self, v: Vocabulary):
-        self.v = v
+        self.v, self.trie = v, backward_trie(v)
         self._clear()
         self.bytes_of = {i: b for b, i in enumerate(v.byte_ids)}
         self.chunks = {i: p.replace(MARK, " ").encode("utf-8", "surrogatepass") for i, p in v.by_id.items()} | {i: bytes([b]) for i, b in self.bytes_of.items()}
@@ -77,8 +92,8 @@ class Codec:
         if len(self.index) > REMEMBER:
             self._clear()
         cut = [self.v.segments(x) if x else [] for x in texts]
-        new = {s for segments in cut for s in segments} - self.index.keys()
-        for s, ids in best_paths(new, self.v).items():
+        new = {s for segments in cut for s in segments if s not in self.index}
+        for s, ids in best_paths(new, self.v, self.trie).items():
             self.index[s] = len(self.sizes)
             self.sizes.append(len(ids))
             self.flat += ids
