@@ -5,7 +5,8 @@
    BANDS bands of ROWS minima with a probability of (1 - 0.8**4)**48 = 1e-11, above it with less.
 3. In each band every member is compared with the member that the most others resemble (a linear number of
    pairs), exactly. That links most of each group.
-4. What remains in several pieces is cut into blocks. Each block's token union is stored; a query that has too few
+4. For groups that remain in several pieces, a matrix of tokens and groups tells which documents have enough of their
+   tokens in other pieces. These are cut into blocks. Each block's token union is stored; a query that has too few
    tokens in the union can't be linked to any of its members, and only blocks that it may be linked to are opened.
 """
 
@@ -149,12 +150,36 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(work, "a long, b long, inter long")
 
 
+def _able(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Those of members (doc, grp, piece) that may be linked to another piece of their group.
+
+    The matrix of tokens and groups says in which pieces of a group a token stands; a document needs `percent` of its
+    tokens in other pieces than its own. Rows are tokens, aggregated with partial results: linear in the texts.
+    """
+    split = members.groupBy("grp").agg(F.min("piece").alias("lo"), F.max("piece").alias("hi")).where("lo < hi").select("grp")
+    rows = members.join(split, "grp").join(sets, "doc").select("grp", "piece", "doc", "n", "tokens")
+
+    def flatten(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                sets_ = [np.frombuffer(x, np.int64) for x in part.column(4).to_pylist()]
+                repeated = pa.array(np.repeat(np.arange(len(sets_)), [len(x) for x in sets_]))
+                yield pa.RecordBatch.from_arrays([*[part.column(i).take(repeated) for i in range(4)], pa.array(np.concatenate([np.empty(0, np.int64), *sets_]))], names=["grp", "piece", "doc", "n", "token"])
+
+    cells = rows.mapInArrow(flatten, "grp long, piece long, doc long, n long, token long")
+    shared = cells.groupBy("grp", "token").agg(F.min("piece").alias("lo"), F.max("piece").alias("hi")).where("lo < hi").select("grp", "token")
+    held = cells.join(shared, ["grp", "token"]).groupBy("grp", "piece", "doc", "n").agg(F.count("*").alias("held"))
+    return checkpointed(held.where(f"100 * held >= {percent} * n").select("doc", "grp", "piece"))
+
+
 def _opened(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links between the pieces of a group: members (doc, grp, piece).
 
     Queries are the members outside the largest piece; each meets every block of its group. A task holds one block and
     some QUERIES queries.
     """
+    members = _able(members, sets, percent)
     sizes = members.groupBy("grp", "piece").agg(F.count("*").alias("n"))
     groups = sizes.groupBy("grp").agg(F.sum("n").alias("n"), F.max(F.struct("n", "piece"))["piece"].alias("core"), F.count("*").alias("pieces")).where("pieces > 1")
     m = members.join(groups, "grp").join(sets.select("doc", "tokens"), "doc")
