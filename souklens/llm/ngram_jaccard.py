@@ -3,8 +3,8 @@
 1. Each text becomes its set of 64-bit shingle hashes; texts with equal sets are one class, compared once.
 2. Min-hash bands partition the classes into groups of similar ones: at the threshold two classes miss all of the
    BANDS bands of ROWS minima with a probability of (1 - 0.8**4)**48 = 1e-11, above it with less.
-3. In each band every member is compared with the member that the most others resemble (a linear number of
-   pairs), exactly. That links most of each group.
+3. In each band the member that the most others resemble leads. Every member is compared with the few leads that it
+   meets in most bands (a linear number of pairs), exactly. That links most of each group.
 4. For groups that remain in several pieces, a matrix of tokens and groups tells which documents have enough of their
    tokens in other pieces. These are cut into blocks. Each block's token union is stored; a query that has too few
    tokens in the union can't be linked to any of its members, and only blocks that it may be linked to are opened.
@@ -23,6 +23,8 @@ from pyspark.sql import types as T
 from .common import checkpointed, connected_components
 
 SHINGLE, BANDS, ROWS = 5, 48, 4
+#: Leads that each member is compared with at first.
+LEADS = 3
 #: Members in a block and queries that meet it in one task, on average.
 BLOCK, QUERIES = 128, 1024
 #: Ids that are sent to all executors instead of being shuffled with the texts: 16 MB.
@@ -252,9 +254,12 @@ def _links(d: DataFrame, classes: DataFrame, percent: int, size: int) -> DataFra
     m = checkpointed(banded.join(crowded, "key"))
     degree = m.groupBy("doc").agg(F.sum("n").alias("degree"))
     lead = m.select("key", "doc").join(degree, "doc").groupBy("key").agg(F.max(F.struct("degree", (-F.col("doc")).alias("minus"))).alias("x")).select("key", (-F.col("x.minus")).alias("lead"))
-    stars = checkpointed(m.select("key", "doc").join(lead, "key").where("doc <> lead").select(F.col("lead").alias("a"), F.col("doc").alias("b")).distinct())
+    met = m.select("key", "doc").join(lead, "key").where("doc <> lead").groupBy(F.col("lead").alias("a"), F.col("doc").alias("b")).agg(F.count("*").alias("bands"))
+    stars = checkpointed(met)
+    # At most BANDS leads for each document, of which those that it meets most often are compared; step 4 settles the rest.
+    best = stars.groupBy("b").agg(F.slice(F.sort_array(F.collect_list(F.struct("bands", "a")), asc=False), 1, LEADS).alias("x")).select("b", F.explode("x.a").alias("a"))
     sets = checkpointed(_token_sets(d, classes.join(degree, "doc", "left_semi").select("doc", "set", "rep"), size))
-    near = checkpointed(_verified(stars, sets, percent).select("a", "b"))
+    near = checkpointed(_verified(best, sets, percent).select("a", "b"))
 
     node = lambda e: e.select(F.col("a").alias("src"), F.col("b").alias("dst"))
     groups = connected_components(node(stars)).select(F.col("node").alias("doc"), F.col("component").alias("grp"))
