@@ -157,12 +157,12 @@ class Pseudonyms:
         return _poured(v, body + luhn_digit(body))
 
     def _phone(self, v: str, back: bool) -> str | None:
-        """A country code stays; separators do not count, so one number links however it is written."""
+        """A country code stays; separators do not count, so one number links however it is written. Without a code or brackets it takes ten digits, in groups."""
         code = re.match(r"\+\d{1,3}(?=[ .(-])", v)
         head = code[0] if code else ""
         digits = re.sub(r"\D", "", v[len(head) :])
-        plain = not re.search(r"[ .()+-]", v)
-        if not 7 <= len(digits) + len(re.sub(r"\D", "", head)) <= 15 or len(digits) < 7 or plain:
+        marked = bool(head) or "(" in v
+        if not (7 if marked else 10) <= len(digits) <= 15 - len(head[1:]) or not (marked or re.search("[ .-]", v)):
             return None
         n = len(digits)
         return head + _poured(v[len(head) :], f"{self.feistel.permute(int(digits), 10**n, b'phone%d' % n, back):0{n}d}")

@@ -68,5 +68,49 @@ def queries() -> dict:
     return {f.__name__: f for f in (op1_pii, op2_ngram_jaccard, op3_url_filters, op4_quality_rules, op5_license_scans, op6_token_counts, op7_embedding_dedup, op8_sentencepiece, op9_mixing, op10_secret_scans, pipeline)}
 
 
+#: Words of a text, with A-Z in lower case for those that compare words.
+_WORDS = "regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')"
+_SMALL = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+')"
+
+
+def _quality_sql() -> str:
+    stops = ", ".join(f"'{w}'" for w in quality.STOP_WORDS)
+    rules = {k: (how, limit) for k, _, how, limit in quality.RULES}
+    measures = {
+        "enough_words": "n_words", "few_repeated_words": "case when n_words > 0 then n_repeat_words / n_words end", "mean_word_length_low": "case when n_words > 0 then word_chars / n_words end",
+        "mean_word_length_high": "case when n_words > 0 then word_chars / n_words end", "few_symbols": "case when n_words > 0 then n_symbols / n_words end",
+        "some_stop_words": f"case when n_words >= {quality.ENOUGH_FOR_STOP_WORDS} then n_stop / n_words end", "few_repeated_lines": "case when n_lines > 0 then n_dup_lines / n_lines end",
+    }
+    good = " and ".join(f"coalesce({measures[k]} {how} {limit}, true)" for k, (how, limit) in rules.items())
+    return f"""with d as (select doc_id, coalesce(text, '') t, {_WORDS} w, list_filter(string_split(coalesce(text, ''), chr(10)), x -> regexp_matches(x, '[^\\x20\\x09-\\x0D]')) ls from documents),
+        g as (select doc_id, i, array_to_string(w[i:i + 4], ' ') g from (select doc_id, w, unnest(range(1, len(w) - 3)) i from d)),
+        twice as (select doc_id, i from (select doc_id, i, count(*) over (partition by doc_id, g) n from g) where n > 1),
+        rep as (select doc_id, count(distinct i + j) n from twice, range(5) r(j) group by 1),
+        m as (select d.doc_id, len(w) n_words, coalesce(length(array_to_string(w, '')), 0) word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) n_symbols, len(ls) n_lines, len(ls) - len(list_distinct(ls)) n_dup_lines,
+            coalesce(rep.n, 0) n_repeat_words, len(list_filter(w, x -> lower(x) in ({stops}))) n_stop from d left join rep using (doc_id))
+        select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 10 or 100 * n_repeat_words > 20 * n_words base_failed,
+            not (n_words < 10 or 100 * n_repeat_words > 20 * n_words) and {good} kept from m"""
+
+
+def _url_sql() -> str:
+    rules = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in url_filter.RULES)
+    return f"""with p as (select page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') host, regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) as path from pages),
+        b as (select page_id, arg_max(h || r, length(h || r)) rule, arg_max(v, length(h || r)) verdict from p, (values {rules}) x(h, r, v) where (host = h or ends_with(host, '.' || h)) and starts_with(path, r) group by 1)
+        select page_id, host, path, rule, coalesce(verdict, 'allow') verdict from p left join b using (page_id)"""
+
+
+_JACCARD_SQL = f"""with recursive d as (select doc_id, {_SMALL} w from documents),
+    s as (select distinct doc_id, case when len(w) < 5 then array_to_string(w, ' ') else array_to_string(w[i:i + 4], ' ') end g from (select doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) i from d where len(w) > 0)),
+    z as (select doc_id, count(*) n from s group by 1), c as (select a.doc_id a, b.doc_id b, count(*) n from s a join s b on a.g = b.g and a.doc_id <> b.doc_id group by 1, 2),
+    l as (select a, b from c join z x on x.doc_id = a join z y on y.doc_id = b where 100 * c.n >= 80 * (x.n + y.n - c.n)),
+    r as (select doc_id a, doc_id b from documents union select r.a, l.b from r join l on l.a = r.b)
+    select doc_id, coalesce(z.n, 0) n_shingles, min(b) component_id from r join documents on doc_id = a left join z using (doc_id) group by 1, 2"""
+
+_EMBEDDING_SQL = """with recursive v as (select vec_id, embedding::double[] e from embeddings),
+    l as (select x.vec_id a, y.vec_id b from v x join v y on x.vec_id <> y.vec_id and list_cosine_similarity(x.e, y.e) >= 0.95),
+    r as (select vec_id a, vec_id b from v union select r.a, l.b from r join l on l.a = r.b)
+    select a vec_id, (select count(*) from l where l.a = r.a) n_links, min(b) component_id, min(b) = a kept from r group by a"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_ngram_jaccard": _JACCARD_SQL, "op3_url_filters": _url_sql(), "op4_quality_rules": _quality_sql(), "op7_embedding_dedup": _EMBEDDING_SQL}
