@@ -82,12 +82,12 @@ def _quality_sql() -> str:
         "some_stop_words": f"case when n_words >= {quality.ENOUGH_FOR_STOP_WORDS} then n_stop / n_words end", "few_repeated_lines": "case when n_lines > 0 then n_dup_lines / n_lines end",
     }
     good = " and ".join(f"coalesce({measures[k]} {how} {limit}, true)" for k, (how, limit) in rules.items())
-    return f"""with d as (select doc_id, coalesce(text, '') t, {_WORDS} w, list_filter(string_split(coalesce(text, ''), chr(10)), x -> regexp_matches(x, '[^\\x20\\x09-\\x0D]')) ls from documents),
+    return f"""with d as (select doc_id, coalesce(text, '') t, {_WORDS} w, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) ls from documents),
         g as (select doc_id, i, array_to_string(w[i:i + 4], ' ') g from (select doc_id, w, unnest(range(1, len(w) - 3)) i from d)),
         twice as (select doc_id, i from (select doc_id, i, count(*) over (partition by doc_id, g) n from g) where n > 1),
         rep as (select doc_id, count(distinct i + j) n from twice, range(5) r(j) group by 1),
         m as (select d.doc_id, len(w) n_words, coalesce(length(array_to_string(w, '')), 0) word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) n_symbols, len(ls) n_lines, len(ls) - len(list_distinct(ls)) n_dup_lines,
-            coalesce(rep.n, 0) n_repeat_words, len(list_filter(w, x -> lower(x) in ({stops}))) n_stop from d left join rep using (doc_id))
+            coalesce(rep.n, 0) n_repeat_words, len(list_filter(w, lambda x: lower(x) in ({stops}))) n_stop from d left join rep using (doc_id))
         select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 10 or 100 * n_repeat_words > 20 * n_words base_failed,
             not (n_words < 10 or 100 * n_repeat_words > 20 * n_words) and {good} kept from m"""
 
