@@ -97,5 +97,10 @@ def failed(measures: Column, rules=RULES) -> Column:
 
 
 def keep_good(docs: DataFrame, text: str = "text", rules=RULES) -> DataFrame:
-    """The documents that break no rule, with the columns they came with."""
-    return measured(docs, text, "__q_verdict", rules).where("__q_verdict.kept").drop("__q_verdict")
+    """The documents that break no rule, with the columns they came with.
+
+    The row number keeps the filter above the projection: pushed below it, the verdict would be written out again with
+    all measures in it, each as often as it is used, and the plan would not fit into memory.
+    """
+    m = measured(docs, text, "__q_verdict", rules).withColumn("__q_row", F.monotonically_increasing_id())
+    return m.where(F.col("__q_verdict.kept") & (F.col("__q_row") >= 0)).drop("__q_verdict", "__q_row")
