@@ -112,5 +112,42 @@ _EMBEDDING_SQL = """with recursive v as (select vec_id, embedding::double[] e fr
     select a vec_id, (select count(*) from l where l.a = r.a) n_links, min(b) component_id, min(b) = a kept from r group by a"""
 
 
+def _license_sql() -> str:
+    texts = [(i, *x) for i, x in enumerate([(*p, True) for p in licenses.PHRASES] + [(*n, False) for n in licenses.NOTICES])]
+    grams = ", ".join(f"({i}, '{label}', {base}, {len(w) - 1}, {p}, '{w[p]}', '{w[p + 1]}')" for i, text, label, base in texts for w in [text.split()] for p in range(len(w) - 1))
+    return f"""with d as (select row_number() over () r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') w from documents),
+        t(template, label, base, n_grams, tpos, a, b) as (values {grams}),
+        g as (select r, i - 1 pos, w[i] a, w[i + 1] b from (select r, w, unnest(range(1, len(w))) i from d)),
+        v as (select r, template, label, base, n_grams, pos - tpos diagonal, list(distinct tpos) places, min(pos) first from g join t using (a, b) group by all),
+        c as (select *, case when base or coalesce(diagonal - lag(diagonal) over (partition by r, template order by diagonal) > {licenses.NEAR}, true) then 1 else 0 end cut from v),
+        m as (select *, sum(cut) over (partition by r, template order by diagonal rows unbounded preceding) run from c),
+        u as (select r, template, label, base, n_grams, run, len(list_distinct(flatten(list(places)))) voted, min(first) start from m group by 1, 2, 3, 4, 5, 6),
+        s as (select r, label, base, start, voted / n_grams cover from u where case when base then voted = n_grams else voted / n_grams >= {licenses.COVER} end),
+        j as (select d.r, doc_id, len(w) n_words, label, base, start, cover from d left join s on s.r = d.r)
+        select doc_id, n_words, count(*) filter (base) n_base, min(start) filter (base) first_word, max(start) filter (base) last_word,
+            coalesce(array_to_string(list_sort(list(distinct label) filter (base)), ','), '') base_labels, coalesce(array_to_string(list_sort(list(distinct label) filter (label is not null)), ','), '') as labels,
+            coalesce(max(cover), 0.0)::double score from j group by r, doc_id, n_words"""
+
+
+def _secret_sql() -> str:
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    run = f"[{secrets.RUN}]{{{secrets.LEAST},}}"
+    patterns = [(secrets.ASSIGN, 1), (secrets.ACCESS, 0), (secrets.HEX, 0), (run, 0)]
+    found = " union all ".join(f"select r, {i} ord, '{secrets.KINDS[i]}' kind, regexp_extract_all(t, {quoted(p)}) hits, regexp_extract_all(t, {quoted(p)}, {group}) vals, string_split_regex(t, {quoted(p)}) gaps from d" for i, (p, group) in enumerate(patterns))
+    weights = ", ".join(str(secrets.weight(i)) for i in range(1, secrets.WINDOW + 1))
+    return f"""with d as (select row_number() over () r, doc_id, coalesce(text, '') t from documents), f as ({found}),
+        p as (select r, ord, kind, vals[i] v, (list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(hits[1:i - 1], lambda x: length(x))), 0))::bigint b, b + length(hits[i]) e from (select *, unnest(range(1, len(hits) + 1)) i from f)),
+        s as (select * from p where ord in (1, 2) or ord = 0 and length(v) >= {secrets.MIN_VALUE}),
+        c as (select * from p where ord = 3 and regexp_matches(v, '[0-9]') and not regexp_matches(v, {quoted(secrets.ALLOWED)}) and not exists (select 1 from s where s.r = p.r and s.b < p.e and p.b < s.e)),
+        k as (select r, b, i, x, count(*) n from (select r, b, i, unnest(string_split(substr(v, i, {secrets.WINDOW}), '')) x from (select r, b, v, unnest(range(1, length(v) - {secrets.WINDOW} + 2)) i from c)) group by all),
+        h as (select r, b, min(total) least from (select r, b, i, sum([{weights}][n]) total from k group by all) group by all),
+        o as (select * from s union all select c.* from c join h using (r, b) where least <= case when regexp_matches(v, '^[0-9a-fA-F]+$') then {secrets.most_weight(secrets.BITS["hex"])} else {secrets.most_weight(secrets.BITS["base64"])} end)
+        select doc_id, count(*) filter (ord = 0) n_assign, count(*) filter (ord = 1) n_access, count(*) filter (ord = 2) n_hex,
+            sha256(coalesce(string_agg(kind || ':' || b || ':' || e, ',' order by b, ord) filter (ord < 3), '')) base_sha256, coalesce(string_agg(kind || ':' || b || ':' || e, ',' order by b, ord), '') spans
+        from d left join o using (r) group by r, doc_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_ngram_jaccard": _JACCARD_SQL, "op3_url_filters": _url_sql(), "op4_quality_rules": _quality_sql(), "op7_embedding_dedup": _EMBEDDING_SQL}
+    return {
+        "op2_ngram_jaccard": _JACCARD_SQL, "op3_url_filters": _url_sql(), "op4_quality_rules": _quality_sql(), "op5_license_scans": _license_sql(), "op7_embedding_dedup": _EMBEDDING_SQL, "op10_secret_scans": _secret_sql(),
+    }
