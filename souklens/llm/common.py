@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,14 +23,17 @@ def blank_separated(text: Column) -> Column:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df with its lineage cut by files in the folder of spark.checkpoint.dir, which all executors share.
+    """df with its lineage cut by a table written to the folder of spark.checkpoint.dir, which all executors share.
 
-    Only where that setting is absent (tests, a laptop) a local folder takes its place.
+    Parquet takes a fraction of the disk that checkpoint() takes for the same rows. Only where that setting is absent
+    (tests, a laptop) a local folder takes its place.
     """
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
         context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
-    return df.checkpoint(eager=True)
+    path = f"{context.getCheckpointDir()}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
