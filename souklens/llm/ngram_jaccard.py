@@ -235,6 +235,7 @@ def grouped(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", percent
     first = linked_.groupBy("component").agg(F.min("rep").alias("least"))
     least = linked_.join(first, "component").select("set", "least")
     per_set = classes.select("set", "rep", "class_size").join(least, "set", "left").select("set", "class_size", F.coalesce("least", "rep").alias("component"))
+    per_set = checkpointed(per_set)  # a plain scan: adaptive execution splits a set that many rows have only where both sides are mere shuffles
     out = s.select("doc", "n", "set").join(per_set, "set", "left")
     return out.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("doc").isNotNull(), F.coalesce("component", "doc")).alias("component_id"), F.coalesce("class_size", F.lit(1).cast("long")).alias("class_size"))
 
