@@ -32,6 +32,14 @@ PATTERNS = (
 )
 KINDS = tuple(k for k, _ in PATTERNS)
 _FIND = re.compile("|".join(f"(?P<{k}>{p})" for k, p in PATTERNS))
+#: Country codes of telephone numbers: none begins another, so a code is known without a separator behind it.
+_CODE = re.compile(r"\+(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})")
+_DATE_SHAPE = re.compile(r"\d{1,2}([.-])\d{1,2}\1\d{4}|\d{4}([.-])\d{2}\2\d{2}")
+#: Characters of an IBAN by country; those of other countries may have any number.
+IBAN_LENGTHS = {c: int(n) for n, codes in (x.split(":") for x in (
+    "15:NO", "16:BE", "18:DK FI FO GL NL SD FK", "19:MK SI", "20:AT BA EE KZ LT LU XK MN", "21:CH HR LI LV", "22:BG BH CR DE GB GE IE ME RS VA", "23:AE GI IL IQ OM TL SO", "24:AD CZ ES MD PK RO SA SE SK TN VG",
+    "25:LY PT ST", "26:IS TR", "27:BI DJ FR GR IT MC MR SM", "28:AL AZ BY CY DO GT HU LB NI PL SV", "29:BR EG PS QA UA", "30:JO KW MU YE", "31:MT SC", "32:LC", "33:RU",
+)) for c in codes.split()}
 _MAY = re.compile("[0-9@]")
 
 
@@ -157,32 +165,57 @@ class Pseudonyms:
         return _poured(v, body + luhn_digit(body))
 
     def _phone(self, v: str, back: bool) -> str | None:
-        """A country code stays; separators do not count, so one number links however it is written. Without a code or brackets it takes ten digits, in groups."""
-        code = re.match(r"\+\d{1,3}(?=[ .(-])", v)
+        """A country code stays; separators do not count, so one number links however it is written. With a code or brackets it takes seven digits, without them ten, or seven with a leading 0 (which stays), in groups."""
+        code = _CODE.match(v)
         head = code[0] if code else ""
+        marked = bool(code) or "(" in v
         digits = re.sub(r"\D", "", v[len(head) :])
-        marked = bool(head) or "(" in v
-        if not (7 if marked else 10) <= len(digits) <= 15 - len(head[1:]) or not (marked or re.search("[ .-]", v)):
+        if not marked and v[0] == "0" and 7 <= len(digits) < 10 and not _DATE_SHAPE.fullmatch(v):
+            head, least, digits = "0", 6, digits[1:]
+        else:
+            least = 7 if marked else 10
+        if not least <= len(digits) <= 15 - len(head.lstrip("+")) or not (marked or re.search("[ .-]", v)):
             return None
         n = len(digits)
         return head + _poured(v[len(head) :], f"{self.feistel.permute(int(digits), 10**n, b'phone%d' % n, back):0{n}d}")
 
+    def _longest(self, kind: str, m: re.Match, back: bool) -> tuple[int, str] | None:
+        """End and replacement of a candidate, or of the longest part from its start that ends at a separator and is valid.
+
+        Shorter parts are tried for cards, IBANs (of the country's length, where known) and telephone numbers with a code or brackets.
+        """
+        of, v = (lambda part: self._of(kind, part, True)) if back else (lambda part: self.of(kind, part)), m[0]
+        if (new := of(v)) is not None:
+            return m.end(), new
+        if kind not in ("card", "iban") and not (kind == "phone" and v[0] in "+("):
+            return None
+        for end in reversed([x.start() for x in re.finditer({"card": "[ -]", "iban": " ", "phone": "[ .(-]"}[kind], v)]):
+            part = v[:end]
+            n = sum(c.isalnum() for c in part)
+            if n < {"card": 13, "iban": 15, "phone": 7}[kind] or kind == "iban" and n != IBAN_LENGTHS.get(part[:2], n):
+                continue
+            if (new := of(part)) is not None:
+                return m.start() + end, new
+        return None
+
     def replaced(self, text: str, back: bool = False) -> tuple[str, list[str]]:
-        """The text with its valid values replaced, and their kinds in order. A candidate that isn't valid is looked into again from its second character."""
+        """The text with its valid values replaced, and their kinds in order. A candidate that isn't valid, nor shortened, is looked into again from its second character.
+
+        Back, the text is the same again unless a longer candidate that wasn't valid has become so by chance.
+        """
         out, kinds, at, done = [], [], 0, 0
         while m := _FIND.search(text, at):
-            new = self._of(m.lastgroup, m[0], back) if back else self.of(m.lastgroup, m[0])
-            if new is None:
-                rest = [(k, x) for k, x in ((k, re.compile(p).match(text, m.start())) for k, p in PATTERNS[KINDS.index(m.lastgroup) + 1 :]) if x]
-                k, x, new = next(((k, x, y) for k, x in rest if (y := self._of(k, x[0], back)) is not None), (None, None, None))
-                if new is None:
+            k, found = m.lastgroup, self._longest(m.lastgroup, m, back)
+            if found is None:
+                rest = ((k, x) for k, p in PATTERNS[KINDS.index(m.lastgroup) + 1 :] if (x := re.compile(p).match(text, m.start())))
+                k, found = next(((k, y) for k, x in rest if (y := self._longest(k, x, back)) is not None), (None, None))
+                if found is None:
                     at = m.start() + 1
                     continue
-            else:
-                k, x = m.lastgroup, m
-            out += [text[done : x.start()], new]
+            end, new = found
+            out += [text[done : m.start()], new]
             kinds.append(k)
-            at = done = x.end()
+            at = done = end
         return "".join([*out, text[done:]]), kinds
 
 

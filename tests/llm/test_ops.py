@@ -139,6 +139,27 @@ def test_pii():
         assert sorted(f.permute(x, n, b"t") for x in range(n)) == list(range(n)) and all(f.permute(f.permute(x, n, b"t"), n, b"t", True) == x for x in range(n))
 
 
+def test_pii_compact_phones():
+    names = pii.Pseudonyms(b"key")
+    forms = ["+14155552671", "+1 415 555 2671", "+1-415-5552671", "+1 (415) 555-2671"]
+    new = [names.replaced(x) for x in forms]
+    assert all(k == ["phone"] for _, k in new) and len({re.sub(r"\D", "", t) for t, _ in new}) == 1 and new[0][0] != forms[0] and new[0][0].startswith("+1")
+    for text in ("call +491701234567, or 089 123456.", "+14155552671 20241231", "+420 601123456 or 030/1 0301-2345678"):
+        new, kinds = names.replaced(text)
+        assert kinds[0] == "phone" and new != text and names.replaced(new, back=True) == (text, kinds)
+    assert names.replaced("089 123456")[1] == ["phone"] and names.replaced("089 123456")[0].startswith("0")
+    for text in ("02-14-2023", "31.02.2023", "10 000 000", "14155552671", "1990-2000"):
+        assert names.replaced(text) == (text, [])
+
+
+def test_pii_shorter_candidates():
+    names = pii.Pseudonyms(b"key")
+    card, iban = "4111111111111111", "AT61 1904 3002 3457 3201"
+    for value, tail, kind in ((card, " 12", "card"), ("4111 1111 1111 1111", " 123", "card"), ("4111-1111-1111-1111", " 27", "card"), (card, "-27", "card"), (iban, " EUR", "iban"), (iban, " BANK 12", "iban"), (iban.replace(" ", ""), " EUR", "iban")):
+        assert names.replaced(value + tail) == (names.of(kind, value) + tail, [kind])
+    assert names.replaced(f"{card} 4111111111111112")[1] == ["card"]
+
+
 def test_pii_rows(docs, empty):
     out = pii.pseudonymised(docs, b"k", kinds="kept").collect()
     assert len(out) == docs.count() and [r.kept for r in out if r.text is None] == [[]] * 2 and pii.counted(empty, b"k").count() == 0
