@@ -118,13 +118,18 @@ def related_terms(spark, d):
     return keywords.related_terms(table(spark, d, "documents"), _seeds(spark), 50).select("seed", "text", "volume", F.col("ord").cast("long").alias("ord"))
 
 
-def keyword_json(spark, d):
-    docs = table(spark, d, "documents").where("doc_id % 3 <> 2")
+def _keyword_replies(spark, d) -> tuple[DataFrame, DataFrame]:
+    """Replies of suggested and of related keywords for every document; every third reply is missing."""
+    docs = table(spark, d, "documents")
     info = F.struct(F.when(F.col("doc_id") % 5 != 0, F.col("n_chars")).alias("search_volume"))
     item = F.struct(F.concat(F.lit("kw "), F.col("doc_id").cast("string")).alias("keyword"), info.alias("keyword_info"))
-    nest = lambda x: F.to_json(F.struct(F.array(F.struct(F.array(F.struct(F.array(x).alias("items"))).alias("result"))).alias("tasks"))).alias("payload")
-    own = replies.keyword_items(docs.select("doc_id", nest(item)), "suggested")
-    other = replies.keyword_items(docs.select("doc_id", nest(F.struct(item.alias("keyword_data")))), "related")
+    nest = lambda x: F.when(F.col("doc_id") % 3 != 2, F.to_json(F.struct(F.array(F.struct(F.array(F.struct(F.array(x).alias("items"))).alias("result"))).alias("tasks")))).alias("payload")
+    return docs.select("doc_id", nest(item)), docs.select("doc_id", nest(F.struct(item.alias("keyword_data"))))
+
+
+def keyword_json(spark, d):
+    suggested, related = _keyword_replies(spark, d)
+    own, other = replies.keyword_items(suggested, "suggested"), replies.keyword_items(related, "related")
     both = own.withColumn("source", F.lit("suggested")).unionByName(other.withColumn("source", F.lit("related")))
     return replies.usable_keywords(both)[0].select("source", "doc_id", "text", "volume")
 
