@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
+from .top import first_rows
 
 
 def _holding(docs: DataFrame, seeds: DataFrame) -> DataFrame:
@@ -22,8 +23,7 @@ def _holding(docs: DataFrame, seeds: DataFrame) -> DataFrame:
 
 
 def _limited(terms: DataFrame, limit: int) -> DataFrame:
-    order = W.partitionBy("seed").orderBy(F.desc("volume"), F.asc("text"))
-    return terms.withColumn("ord", F.row_number().over(order) - 1).where(F.col("ord") < limit)
+    return first_rows(terms, "seed", [F.desc("volume"), F.asc("text")], limit, F.col("text"), "ord")
 
 
 def suggest_terms(docs: DataFrame, seeds: DataFrame, limit: int) -> DataFrame:

@@ -13,6 +13,9 @@ from ..functions.text import last_segment
 
 log = logging.getLogger(__name__)
 
+#: Ranges in which runs are numbered.
+RANGES = 200
+
 
 def label_columns(base: Sequence[str], names: Sequence[str]) -> dict[str, str]:
     """Column names of prompts: the last segment of a dotted name, unless that makes two columns of one name."""
@@ -46,9 +49,20 @@ def run_id(term: Column, language: Column, location: Column, at: Column) -> Colu
 
 
 def listed_runs(runs: DataFrame) -> DataFrame:
-    """runs with index: -1 is the latest, by ts and run_id. A run list has one row for each run."""
-    every = W.partitionBy(F.lit(0))
-    return runs.withColumn("index", (F.row_number().over(every.orderBy("ts", "run_id")) - 1 - F.count("*").over(every)).cast("int"))
+    """runs with index: -1 is the latest, by ts and run_id. A run list has one row for each run.
+
+    Runs are numbered within ranges of ts, then moved on by the rows of earlier ranges; only runs of one ts have to be
+    in one task. Ranges and their counts are one row, so both come from the same bounds.
+    """
+    within = lambda bounds: F.coalesce(F.size(F.filter(bounds, lambda b: b < F.col("ts"))), F.lit(0))
+    bounds = runs.agg(F.percentile_approx("ts", [i / RANGES for i in range(1, RANGES)]).alias("__bounds"))
+    counts = runs.select("ts").crossJoin(F.broadcast(bounds)).groupBy("__bounds", F.greatest(within(F.col("__bounds")), F.lit(0)).alias("b")).agg(F.count("*").alias("n"))
+    ranges = counts.groupBy("__bounds").agg(F.collect_list(F.struct("b", "n")).alias("__counts"), F.sum("n").alias("__total"))
+    a = runs.crossJoin(F.broadcast(ranges)).withColumn("__b", F.greatest(within(F.col("__bounds")), F.lit(0)))
+    before = F.aggregate(F.filter("__counts", lambda x: x["b"] < F.col("__b")), F.lit(0).cast("long"), lambda acc, x: acc + x["n"])
+    a = a.withColumn("__before", before - F.col("__total")).drop("__bounds", "__counts", "__total")
+    place = F.row_number().over(W.partitionBy("__b").orderBy("ts", "run_id"))
+    return a.withColumn("index", (place - 1 + F.col("__before")).cast("int")).drop("__b", "__before")
 
 
 def load_run(results: DataFrame, runs: DataFrame, index: int = -1) -> DataFrame:

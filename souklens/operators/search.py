@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens, visible_text
 from ..functions.urls import domain, in_country
 from ..schema import COUNTRY, flagged
 from .hosts import exclude_hosts, with_marketplace
+from .top import first_rows
 
 
 def first_hits(hits: DataFrame, limit: str = "num_results") -> DataFrame:
@@ -28,8 +28,7 @@ def search_pages(pages: DataFrame, requests: DataFrame) -> DataFrame:
     words = pages.select("page_id", "url", domain(F.col("url")).alias("d"), F.explode(tokens(visible_text(F.col("html")))).alias("token"))
     allowed = F.coalesce(F.size("sites"), F.lit(0)).isin(0, -1) | F.exists("sites", lambda s: (F.col("d") == s) | F.endswith(F.col("d"), F.concat(F.lit("."), s)))
     found = words.join(wanted, "token").where(allowed).groupBy("search_id", "num_results", "n_want", "page_id", "url").agg(F.count("*").alias("score"), F.count_distinct("token").alias("n")).where("n = n_want")
-    order = W.partitionBy("search_id").orderBy(F.desc("score"), F.asc("page_id"))
-    ranked = found.withColumn("position", F.row_number().over(order) - 1).where(F.col("position") < F.col("num_results"))
+    ranked = first_rows(found, "search_id", [F.desc("score"), F.asc("page_id")], F.col("num_results"), F.col("page_id"), "position")
     return ranked.select("search_id", "page_id", "url", "score", "position")
 
 

@@ -133,3 +133,27 @@ def test_runs(spark):
     assert {r.run_id: r["index"] for r in results.listed_runs(runs).collect()} == {"a": -3, "c": -2, "b": -1}
     rows = spark.createDataFrame([("a", 1), ("b", 2)], "run_id string, x int")
     assert [r.x for r in results.load_run(rows, runs).collect()] == [2] and rows.limit(10).count() == 2
+
+
+def test_runs_are_numbered_in_many_tasks(spark):
+    from datetime import datetime, timedelta
+
+    rows = [(f"r{i * 7919 % 3000:04d}", datetime(2024, 1, 1) + timedelta(hours=i % 700) if i % 50 else None) for i in range(3000)]
+    df = spark.createDataFrame(rows, "run_id string, ts timestamp")
+    want = {r[0]: i - 3000 for i, r in enumerate(sorted(rows, key=lambda r: (r[1] is not None, r[1] or datetime(2024, 1, 1), r[0])))}
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        out = results.listed_runs(df).withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert {r.run_id: r["index"] for r in out} == want and len({r.task for r in out}) > 1
+    assert results.listed_runs(df.limit(0)).count() == 0 and results.listed_runs(df.where("ts is null")).agg(F.min("index"), F.max("index")).first() == (-60, -1)
+
+
+def test_first_rows_in_two_steps(spark):
+    terms = spark.createDataFrame([("s", f"t{i:04d}", i * 37 % 101) for i in range(1000)] + [("o", "x", 1)], "seed string, text string, volume long")
+    out = keywords._limited(terms, 50)
+    got = [(r.text, r.ord) for r in out.where("seed = 's'").orderBy("ord").collect()]
+    best = sorted(((f"t{i:04d}", i * 37 % 101) for i in range(1000)), key=lambda x: (-x[1], x[0]))[:50]
+    assert got == [(t, i) for i, (t, _) in enumerate(best)] and out.where("seed = 'o'").count() == 1
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("row_number()") >= 2
