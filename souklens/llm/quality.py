@@ -32,27 +32,22 @@ RULES = (
 )
 
 
-def _windows(hashes: Column) -> Column:
+def _windows(words: Column) -> Column:
     """One hash for each run of WINDOW words."""
-    last = F.size(hashes) - (WINDOW - 1)
-    shifted = [F.slice(hashes, F.lit(i + 1), last) for i in range(WINDOW)]
-    zipped = F.arrays_zip(*shifted)
-    return F.when(last > 0, F.transform(zipped, lambda w: F.xxhash64(w))).otherwise(F.array().cast("array<bigint>"))
+    hashed = lambda w, i: F.xxhash64(w, *[F.get(words, i + j) for j in range(1, WINDOW)])
+    return F.transform(F.slice(words, F.lit(1), F.greatest(F.size(words) - (WINDOW - 1), F.lit(0))), hashed)
 
 
-def _covered(windows: Column) -> Column:
-    """How many words stand in a window that occurs twice or more.
+def _twice(sorted_pairs: Column) -> Column:
+    """The places `i` of those (value, i) pairs, sorted by value, whose value a neighbour shares; in order."""
+    same = lambda x, j: F.coalesce(x["v"] == F.get(sorted_pairs, j)["v"], F.lit(False))
+    return F.sort_array(F.array_compact(F.transform(sorted_pairs, lambda x, j: F.when(same(x, j - 1) | same(x, j + 1), x["i"]))))
 
-    Windows sorted by hash bring equals side by side; their positions, sorted, then add min(WINDOW, gap) words each.
-    """
-    ordered = F.array_sort(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    n = F.size(windows)
-    pairs = F.arrays_zip(F.slice(ordered, F.lit(1), n - 1).alias("a"), F.slice(ordered, F.lit(2), n - 1).alias("b"))
-    equal = F.filter(pairs, lambda p: p["a"]["h"] == p["b"]["h"])
-    at = F.sort_array(F.array_distinct(F.flatten(F.transform(equal, lambda p: F.array(p["a"]["i"], p["b"]["i"])))))
-    k = F.size(at)
-    gaps = F.zip_with(F.slice(at, F.lit(1), k - 1), F.slice(at, F.lit(2), k - 1), lambda x, y: F.least(y - x, F.lit(WINDOW)))
-    return F.aggregate(gaps, F.lit(WINDOW), lambda s, g: s + g).cast("long")
+
+def _covered(at: Column) -> Column:
+    """How many words stand in windows that begin at the sorted places `at`: each adds WINDOW words, or as many as it lies behind the one before."""
+    steps = F.transform(at, lambda p, j: F.when(j == 0, WINDOW).otherwise(F.least(p - F.get(at, j - 1), F.lit(WINDOW))))
+    return F.aggregate(steps, F.lit(0), lambda total, x: total + x).cast("long")
 
 
 def measured(docs: DataFrame, text: str = "text", into: str = "quality", rules=RULES) -> DataFrame:
@@ -66,17 +61,23 @@ def measured(docs: DataFrame, text: str = "text", into: str = "quality", rules=R
     """
     t = F.coalesce(F.col(text), F.lit(""))
     a = docs.withColumn("__q_words", blank_separated(F.col(text)))
-    a = a.withColumn("__q_windows", _windows(F.transform("__q_words", lambda w: F.xxhash64(w))))
+    a = a.withColumn("__q_windows", _windows(F.col("__q_words")))
+    # Places of windows with equal hashes, if any; then those whose words are equal. A column of its own for each step: an expression used twice would be worked out twice.
+    repeats = F.size(F.array_distinct("__q_windows")) < F.size("__q_windows")
+    a = a.withColumn("__q_sorted", F.when(repeats, F.sort_array(F.transform("__q_windows", lambda h, i: F.struct(h.alias("v"), i.alias("i"))))).otherwise(F.array().cast("array<struct<v:long,i:int>>")))
+    a = a.withColumn("__q_maybe", _twice(F.col("__q_sorted")))
+    a = a.withColumn("__q_sorted", F.sort_array(F.transform("__q_maybe", lambda i: F.struct(F.array_join(F.slice("__q_words", i + 1, WINDOW), " ").alias("v"), i.alias("i")))))
+    a = a.withColumn("__q_at", _twice(F.col("__q_sorted")))
     a = a.withColumn("__q_lines", F.filter(F.split(t, "\n"), lambda x: F.btrim(x, F.lit(" \t\n\x0b\x0c\r")) != ""))
     n, lines = F.size("__q_words").cast("long"), F.size("__q_lines").cast("long")
     a = a.withColumn("__q_m", F.struct(
         n.alias("n_words"),
-        F.length(F.regexp_replace(t, r"[\x20\x09-\x0D]+", "")).cast("long").alias("word_chars"),
+        F.length(F.array_join("__q_words", "")).cast("long").alias("word_chars"),
         F.length(F.regexp_replace(t, "[^" + SYMBOLS + "]+", "")).cast("long").alias("n_symbols"),
         lines.alias("n_lines"),
         (lines - F.size(F.array_distinct("__q_lines"))).alias("n_dup_lines"),
-        F.when(F.size(F.array_distinct("__q_windows")) == F.size("__q_windows"), F.lit(0).cast("long")).otherwise(_covered(F.col("__q_windows"))).alias("n_repeat_words"),
-        F.size(F.filter("__q_words", lambda w: F.lower(w).isin(STOP_WORDS))).cast("long").alias("n_stop_words"),
+        _covered(F.col("__q_at")).alias("n_repeat_words"),
+        F.size(F.filter(blank_separated(F.lower(text)), lambda w: w.isin(STOP_WORDS))).cast("long").alias("n_stop_words"),
     ))
     m = F.col("__q_m")
     per = lambda k, of: F.when(m[of] > 0, m[k] / m[of])

@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from array import array
+from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .unigram import MARK, Vocabulary
 
-#: Distinct segments that a task remembers, and documents that it encodes at a time.
-REMEMBER, AT_A_TIME = 300_000, 1_000
+#: Distinct segments that a task remembers, and pieces in them.
+REMEMBER, PIECES = 100_000, 2_000_000
+#: Segments that are looked up at a time, bytes of text that make up a slice, and ids that are decoded at a time.
+SEGMENTS, SLICE, IDS = 65_536, 1 << 20, 1 << 18
 
 
 def shared_prefix(a: str, b: str) -> int:
@@ -37,19 +42,18 @@ def backward_trie(v: Vocabulary) -> dict:
     return root
 
 
-def best_paths(words: Iterable[str], v: Vocabulary, trie: dict | None = None) -> dict[str, list[int]]:
-    """The ids of each word's best path.
+def best_paths(words: Iterable[str], v: Vocabulary, trie: dict | None = None) -> Iterator[tuple[str, list[int]]]:
+    """Each distinct word with the ids of its best path, in the order of the words.
 
     Sorted words are the leaves of a trie in depth-first order; the stacks of forward scores and last pieces are cut
     back to the prefix shared with the word before and only go on from there. Ties as in token_count.Counter: pieces
     that end at a place are met from the shortest to the longest, so of equal scores the last met stays.
     """
-    out: dict[str, list[int]] = {}
     trie = backward_trie(v) if trie is None else trie
     pieces, unknown = v.pieces, v.unknown_score
-    score, start, piece = [0.0], [0], [-1]
+    score, start, piece = array("d", [0.0]), array("i", [0]), array("i", [-1])
     before = ""
-    for word in sorted(words):
+    for word in sorted(set(words)):
         at = shared_prefix(before, word)
         del score[at + 1 :], start[at + 1 :], piece[at + 1 :]
         for end in range(at + 1, len(word) + 1):
@@ -72,53 +76,85 @@ def best_paths(words: Iterable[str], v: Vocabulary, trie: dict | None = None) ->
         while end:
             path.append(v.unknown_ids(word[end - 1]) if piece[end] < 0 else [piece[end]])
             end = start[end]
-        out[word] = [i for ids in reversed(path) for i in ids]
+        yield word, [i for ids in reversed(path) for i in ids]
         before = word
-    return out
 
 
 class Codec:
+    """Encodes texts by a table of the segments met so far, which is bounded: beyond REMEMBER segments or PIECES pieces it starts anew."""
+
     def __init__(self, v: Vocabulary):
         self.v, self.trie = v, backward_trie(v)
         self._clear()
-        self.bytes_of = {i: b for b, i in enumerate(v.byte_ids)}
-        self.chunks = {i: p.replace(MARK, " ").encode("utf-8", "surrogatepass") for i, p in v.by_id.items()} | {i: bytes([b]) for i, b in self.bytes_of.items()}
+        self.chunks = {i: p.replace(MARK, " ").encode("utf-8", "surrogatepass") for i, p in v.by_id.items()} | {i: bytes([b]) for b, i in enumerate(v.byte_ids)}
 
     def _clear(self) -> None:
-        self.index, self.flat, self.sizes = {}, [], []
+        self.index: dict[str, int] = {}
+        self.flat, self.ends = array("i"), array("i", [0])
 
-    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids one after the other, and how many each text has."""
-        if len(self.index) > REMEMBER:
+    def _ids(self, segments: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all segments one after the other, and how many each has."""
+        if len(self.index) > REMEMBER or len(self.flat) > PIECES:
             self._clear()
-        cut = [self.v.segments(x) if x else [] for x in texts]
-        new = {s for segments in cut for s in segments if s not in self.index}
-        for s, ids in best_paths(new, self.v, self.trie).items():
-            self.index[s] = len(self.sizes)
-            self.sizes.append(len(ids))
-            self.flat += ids
-        sizes, flat = np.asarray(self.sizes, np.int64), np.asarray(self.flat, np.int32)
-        starts = np.cumsum(sizes) - sizes
-        of = np.fromiter((self.index[s] for segments in cut for s in segments), np.int64)
-        n = sizes[of]
-        ends = np.cumsum(n)
-        ids = flat[np.repeat(starts[of] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)] if len(of) else np.empty(0, np.int32)
-        per_text = np.add.reduceat(np.append(n, 0), np.minimum(np.cumsum([0, *map(len, cut)])[:-1], len(n))) if len(cut) else np.empty(0, np.int64)
-        per_text = np.where([bool(x) for x in cut], per_text, 0)
-        return ids, per_text
-
-    def decode(self, ids: Iterable[int]) -> str:
-        """Bytes become characters again (what isn't UTF-8 becomes U+FFFD), marks spaces; the space in front goes."""
-        text = b"".join([self.chunks[i] for i in ids]).decode("utf-8", "replace")
+        for s, ids in best_paths((s for s in segments if s not in self.index), self.v, self.trie):
+            self.index[s] = len(self.ends) - 1
+            self.flat.extend(ids)
+            self.ends.append(len(self.flat))
+        rows = np.fromiter(map(self.index.__getitem__, segments), np.int32, len(segments))
+        flat, ends = np.frombuffer(self.flat, np.int32), np.frombuffer(self.ends, np.int32)
+        first, n = ends[rows], ends[rows + 1] - ends[rows]
+        places = np.repeat(first - (np.cumsum(n, dtype=np.int32) - n), n) + np.arange(n.sum(), dtype=np.int32)
+        return flat[places] if len(places) else np.empty(0, np.int32), n
+
+    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids one after the other, and how many each text has. At most SEGMENTS segments are looked at together, whatever the texts' lengths."""
+        parts, per_text = [np.empty(0, np.int32)], np.zeros(len(texts), np.int64)
+        segments, owners = [], []  # owners: (text, how many segments)
+
+        def flush() -> None:
+            ids, n = self._ids(segments)
+            parts.append(ids)
+            first = np.cumsum([0, *(k for _, k in owners)])[:-1]
+            np.add.at(per_text, [t for t, _ in owners], np.add.reduceat(n, first))
+            segments.clear()
+            owners.clear()
+
+        for t, text in enumerate(texts):
+            found = self.v.each_segment(text)
+            while more := list(islice(found, SEGMENTS - len(segments))):
+                segments += more
+                owners.append((t, len(more)))
+                if len(segments) >= SEGMENTS:
+                    flush()
+        if segments:
+            flush()
+        return np.concatenate(parts), per_text
+
+    def decode(self, ids: np.ndarray | list[int]) -> str:
+        """Bytes become characters again (what isn't UTF-8 becomes U+FFFD), marks spaces; the space in front goes. Null and unknown ids stand for nothing."""
+        blank = lambda i: self.chunks.get(i, b"")
+        ids = ids.tolist() if isinstance(ids, np.ndarray) and len(ids) <= IDS else ids
+        text = b"".join([b"".join(map(blank, ids[i : i + IDS].tolist() if isinstance(ids, np.ndarray) else ids[i : i + IDS])) for i in range(0, len(ids), IDS)]).decode("utf-8", "replace")
         return text[1:] if text.startswith(" ") else text
 
 
+def slices(batch: pa.RecordBatch, column: int, most: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of some `most` bytes of text, one row at least."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
+        yield batch.slice(at, to - at)
+        at = to
+
+
 def encoded(docs: DataFrame, model: str | Vocabulary, text: str = "text", ids: str = "ids", n: str = "n_tokens", exact: str = "round_trip", keep_text: bool = True) -> DataFrame:
     """docs with the ids of each whole text (array of int), their number, and whether decoding gives the text back.
 
     A null text has null ids, 0 tokens and a null round trip; an empty one no ids and true. A text with U+2581 in it
     does not come back, as in the library: the mark stands for a space. Other columns pass through, those with the three
-    new names are replaced; with keep_text=False the text stays behind. No shuffle.
+    new names are replaced; with keep_text=False the text stays behind. Repeated rows stay, an empty table gives an empty
+    one. No shuffle; a task holds a slice of some SLICE bytes of text, or one longer text.
     """
     own = [c for c in docs.columns if c not in (ids, n, exact) and (keep_text or c != text)]
     shared = docs.sparkSession.sparkContext.broadcast(model if isinstance(model, Vocabulary) else Vocabulary.load(model))
@@ -127,13 +163,12 @@ def encoded(docs: DataFrame, model: str | Vocabulary, text: str = "text", ids: s
     def work(batches):
         codec = Codec(shared.value)
         for whole in batches:
-            for i in range(0, whole.num_rows, AT_A_TIME):
-                batch = whole.slice(i, AT_A_TIME)
+            for batch in slices(whole, len(own)):
                 texts = batch.column(len(own)).to_pylist()
                 flat, sizes = codec.encode(texts)
                 ends = np.cumsum(sizes)
                 nulls = np.array([x is None for x in texts], bool)
-                same = [None if x is None else codec.decode(flat[e - s : e].tolist()) == x for x, s, e in zip(texts, sizes, ends, strict=True)]
+                same = [None if x is None else codec.decode(flat[e - s : e]) == x for x, s, e in zip(texts, sizes, ends, strict=True)]
                 offsets = pa.array(np.concatenate([[0], ends]).astype(np.int32), mask=np.append(nulls, False))
                 lists = pa.ListArray.from_arrays(offsets, pa.array(flat, pa.int32()))
                 yield pa.RecordBatch.from_arrays([*[batch.column(j) for j in range(len(own))], lists, pa.array(sizes, pa.int64()), pa.array(same, pa.bool_())], names=[*own, ids, n, exact])
@@ -142,7 +177,11 @@ def encoded(docs: DataFrame, model: str | Vocabulary, text: str = "text", ids: s
 
 
 def decoded(docs: DataFrame, model: str | Vocabulary, ids: str = "ids", into: str = "text") -> DataFrame:
-    """docs with the text that `ids` stand for; null for null ids, "" for none. Other columns pass through, one called `into` is replaced."""
+    """docs with the text that `ids` stand for; null for null ids, "" for none.
+
+    Null ids within an array and ids that the vocabulary doesn't have stand for nothing. Rows, their order and repeated
+    ones stay; other columns pass through, one called `into` is replaced. No shuffle.
+    """
     own = [c for c in docs.columns if c != into]
     shared = docs.sparkSession.sparkContext.broadcast(model if isinstance(model, Vocabulary) else Vocabulary.load(model))
     schema = docs.select(*own).schema.add(into, "string")
@@ -150,7 +189,7 @@ def decoded(docs: DataFrame, model: str | Vocabulary, ids: str = "ids", into: st
     def work(batches):
         codec = Codec(shared.value)
         for batch in batches:
-            texts = [None if x is None else codec.decode(x) for x in batch.column(len(own)).to_pylist()]
+            texts = [None if x is None else codec.decode(x) for x in (y.as_py() for y in batch.column(len(own)))]
             yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(len(own))], pa.array(texts, pa.string())], names=[*own, into])
 
     return docs.select(*own, F.col(ids).alias("__ids")).mapInArrow(work, schema)

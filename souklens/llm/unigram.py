@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import struct
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 MARK = "▁"
@@ -82,7 +83,10 @@ class Vocabulary:
 
     def segments(self, text: str) -> list[str]:
         """The marked text cut where no piece can cross, so that the best path of each part is part of the best path of all."""
-        return self.segment.findall(MARK + text.replace(" ", MARK)) if text else []
+        return list(self.each_segment(text))
+
+    def each_segment(self, text: str | None) -> Iterator[str]:
+        return (m[0] for m in self.segment.finditer(MARK + text.replace(" ", MARK))) if text else iter(())
 
     def unknown_ids(self, char: str) -> list[int]:
         return [self.byte_ids[b] for b in char.encode("utf-8", "surrogatepass")] if self.byte_ids else [self.unknown_id]

@@ -223,9 +223,48 @@ def test_token_counts_and_ids(spark, vocabulary, library):
         assert codec.decode(ids.tolist()) == t
 
 
+def test_long_texts_are_encoded_in_parts(spark, vocabulary, monkeypatch):
+    monkeypatch.setattr(sentencepiece_codec, "SEGMENTS", 7)
+    monkeypatch.setattr(sentencepiece_codec, "REMEMBER", 20)
+    parts, whole = sentencepiece_codec.Codec(vocabulary), {t: [i for _, s in [(0, x) for x in vocabulary.segments(t)] for i in dict(sentencepiece_codec.best_paths([s], vocabulary))[s]] for t in TEXTS}
+    ids, sizes = parts.encode([None, *TEXTS, "", *TEXTS])
+    assert sizes.tolist() == [0, *map(len, whole.values()), 0, *map(len, whole.values())] and ids.tolist() == 2 * [i for x in whole.values() for i in x]
+    assert parts.decode([None, -1, 10**6, *whole["x"]]) == "x"
+
+
+def test_memory_of_long_texts(spark, vocabulary):
+    """One text of 5 MB and 1,000 of 3,000 words each, in batches of all rows, through a process of its own."""
+    import multiprocessing
+
+    queue = multiprocessing.get_context("spawn").Queue()
+    worker = multiprocessing.get_context("spawn").Process(target=_encode_much, args=(queue,))
+    worker.start()
+    before, after, ok = queue.get(timeout=600)
+    worker.join()
+    assert ok and after - before < 400, (before, after)
+
+
+def _encode_much(queue):
+    import resource
+
+    import pyarrow as pa
+
+    codec = sentencepiece_codec.Codec(unigram.Vocabulary.load(MODEL))
+    r = random.Random(1)
+    words = ["".join(r.choice("etaoin shrdlu") for _ in range(7)) for _ in range(20_000)]
+    batch = pa.RecordBatch.from_arrays([pa.array([" ".join(r.choices(words, k=600_000))] + [" ".join(r.choices(words, k=3_000)) for _ in range(1_000)])], names=["t"])
+    before, ok = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss / 1024, True
+    for part in sentencepiece_codec.slices(batch, 0):
+        texts = part.column(0).to_pylist()
+        ids, sizes = codec.encode(texts)
+        ends = sizes.cumsum()
+        ok &= all(codec.decode(ids[e - s : e]) == t for t, s, e in zip(texts, sizes, ends, strict=True))
+    queue.put((before, resource.getrusage(resource.RUSAGE_SELF).ru_maxrss / 1024, ok))
+
+
 def test_ties():
     v = unigram.Vocabulary.of({"▁": (0, -1.0), "a": (1, -1.0), "b": (2, -1.0), "ab": (3, -2.0), "▁a": (4, -2.0), "▁ab": (5, -3.0)})
-    assert sentencepiece_codec.best_paths(["▁ab", "▁a", "▁b"], v) == {"▁ab": [5], "▁a": [4], "▁b": [0, 2]}
+    assert dict(sentencepiece_codec.best_paths(["▁ab", "▁a", "▁b"], v)) == {"▁ab": [5], "▁a": [4], "▁b": [0, 2]}
     assert [token_count.Counter(v).text(x) for x in ("ab", "a", "b", "", "z")] == [1, 1, 2, 0, 2]
 
 
