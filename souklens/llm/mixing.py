@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import blank_separated, checkpointed
+from ..shared import Scratch
+from .common import blank_separated, free_name, small
 
 LEVELS = ("domain", "lang", "source")
-#: Buckets of each leaf's seeded order, and the leaves that budgets are worked out for at once on the driver.
-BUCKETS, MAX_LEAVES = 1024, 200_000
+#: Ranges of each leaf's seeded order, and parts of the range in which its budget ends.
+BUCKETS = 1024
 
 #: Which sources make up a domain, as (pattern, domain); others are "other".
 DOMAINS = (("^src[0-4]$", "web"), ("^src[5-9]$", "books"), ("^src1[0-4]$", "forums"), ("^src1[5-9]$", "news"))
@@ -28,44 +28,50 @@ def domain_of(source: Column, domains=DOMAINS) -> Column:
     return out
 
 
-def _poured(budget: float, children: list[tuple[tuple, float, float]]) -> dict[tuple, float]:
-    """Shares budget by weight; what exceeds a child's capacity goes to the siblings that have room."""
-    out, open_ = dict.fromkeys((k for k, _, _ in children), 0.0), [c for c in children if c[1] > 0 and c[2] > 0]
-    while open_ and budget > 1e-9:
-        total = sum(w for _, w, _ in open_)
-        full = [c for c in open_ if budget * c[1] / total >= c[2]]
-        if not full:
-            for k, w, _ in open_:
-                out[k] = budget * w / total
-            break
-        for k, _, capacity in full:
-            out[k] = capacity
-        budget -= sum(c for _, _, c in full)
-        open_ = [c for c in open_ if c not in full]
-    return out
-
-
-def budgets(tokens: Mapping[tuple, int], total: float, weights: Mapping[tuple, float], max_epochs: int = 1) -> dict[tuple, int]:
-    """Tokens to take from each leaf.
+def _poured(children: DataFrame, parent: list[str]) -> DataFrame:
+    """children (parent's columns, weight, capacity, budget of the parent) with `share`: the budget by weight, where what exceeds a child's capacity goes to the siblings that have room.
 
-    A leaf holds max_epochs times its tokens at most, an inner node what its leaves hold. A node's budget is shared
+    A child is full if the level at which it would be, filled up with all that are sooner full, needs no more than the
+    budget; the others share the rest. A window of a parent's children holds one row for each, never their documents.
+    """
+    ratio = F.when((F.col("weight") > 0) & (F.col("capacity") > 0), F.col("capacity") / F.col("weight"))
+    within = W.partitionBy(*(parent or [F.lit(0)]))
+    sooner = within.orderBy(F.asc_nulls_last("ratio")).rangeBetween(W.unboundedPreceding, 0)
+    a = children.withColumn("ratio", ratio).withColumn("open", F.when(F.col("ratio").isNotNull(), F.col("weight")).otherwise(0.0)).withColumn("room", F.when(F.col("ratio").isNotNull(), F.col("capacity")).otherwise(0.0))
+    level = F.sum("room").over(sooner) + F.col("ratio") * (F.sum("open").over(within) - F.sum("open").over(sooner))
+    a = a.withColumn("full", F.coalesce(level <= F.col("budget"), F.lit(False)))
+    left = F.col("budget") - F.sum(F.when(F.col("full"), F.col("room")).otherwise(0.0)).over(within)
+    by = F.sum(F.when(F.col("full"), 0.0).otherwise(F.col("open"))).over(within)
+    part = F.when(by > 0, F.greatest(left, F.lit(0.0)) * F.col("open") / by).otherwise(0.0)
+    return a.withColumn("share", F.when(F.col("full"), F.col("room")).otherwise(part)).drop("ratio", "open", "room", "full")
+
+
+def budgets(leaves: DataFrame, total: float, weights: Mapping[tuple, float], max_epochs: int = 1) -> DataFrame:
+    """leaves (domain, lang, source, t) with share: the tokens to take from each leaf, a whole number.
+
+    A leaf holds max_epochs times its tokens t at most, an inner node what its leaves hold. A node's budget is shared
     among its children by weight; a child takes no more than it holds, and the rest goes to its siblings. Only what a
     whole subtree can't take reaches the siblings of its root, and so on upwards. Siblings without a weight weigh 1.
+    Levels are shared out one after the other, from the root; any number of leaves, none of them on the driver.
     """
-    capacity: dict[tuple, float] = {}
-    children: dict[tuple, set] = {}
-    for leaf, n in tokens.items():
-        for i in range(len(leaf) + 1):
-            capacity[leaf[:i]] = capacity.get(leaf[:i], 0) + n * max_epochs
-            if i:
-                children.setdefault(leaf[: i - 1], set()).add(leaf[:i])
-    share, todo = {(): min(float(total), capacity.get((), 0.0))}, [()]
-    while todo:
-        node = todo.pop()
-        if below := sorted(children.get(node, ())):
-            share |= _poured(share[node], [(k, float(weights.get(k, 1.0)), capacity[k]) for k in below])
-            todo += below
-    return {leaf: math.floor(share.get(leaf, 0.0) + 1e-6) for leaf in tokens}
+    spark, cap = leaves.sparkSession, F.col("t") * F.lit(float(max_epochs))
+    above = leaves.agg(F.least(F.lit(float(total)), F.coalesce(F.sum(cap), F.lit(0.0))).alias("budget"))
+    for i in range(1, len(LEVELS) + 1):
+        path, parent = list(LEVELS[:i]), list(LEVELS[: i - 1])
+        given = [(*k, float(w)) for k, w in weights.items() if len(k) == i]
+        by = spark.createDataFrame(given, ", ".join(f"{c} string" for c in path) + ", given double")
+        held = leaves.groupBy(*path).agg(F.sum(cap).alias("capacity"), F.sum("t").alias("t"))
+        children = (held.join(above, parent) if parent else held.crossJoin(above)).join(F.broadcast(by), path, "left").withColumn("weight", F.coalesce("given", F.lit(1.0)))  # above is one row for no parent; weights are a parameter
+        shared = _poured(children, parent)
+        above = shared.select(*path, F.col("share").alias("budget"))
+    return shared.select(*LEVELS, "t", F.floor(F.col("share") + 1e-6).cast("long").alias("share"))
+
+
+def _edge(parts: DataFrame, leaf: list[str]) -> DataFrame:
+    """Of parts (leaf, b, t, before, rest) the last of each leaf that begins before the rest is used up: leaf, b, before (the tokens ahead of it), rest."""
+    ahead = W.partitionBy(*leaf).orderBy("b").rowsBetween(W.unboundedPreceding, -1)
+    begun = parts.withColumn("before", F.col("before") + F.coalesce(F.sum("t").over(ahead), F.lit(0))).where("before < rest")
+    return begun.groupBy(*leaf).agg(F.max(F.struct("b", "before", "rest")).alias("x")).select(*leaf, "x.*")
 
 
 def mixed(
@@ -77,47 +83,44 @@ def mixed(
     Each leaf of (domain, lang, source) has its budget from budgets(). Its documents are in an order of their own in each
     epoch, by a hash of seed, epoch, doc_id and text; whole epochs are taken while the budget lasts, and of the next one
     the documents that begin within what is left, so a leaf exceeds its budget by less than one document. Tokens are
-    blank-separated words unless a column is given. Null or empty lang, source or domain make one leaf ""; texts without
-    tokens are taken with those around them; equal rows are taken together. Columns called as `epoch` or `into_domain`
-    are replaced (None: not added), all others pass through. An empty table gives an empty one.
+    blank-separated words unless a column is given, whose null and negative values count as 0. Null or empty lang, source
+    or domain make one leaf ""; texts without tokens are taken with those around them; equal rows, and others of one
+    place in the order, are taken together. Columns called as `epoch` or `into_domain` are replaced (None: not added),
+    all others pass through, whatever their names. An empty table gives an empty one.
 
-    No leaf is collected or sorted: tokens are summed in BUCKETS ranges of the order (with partial sums), only the range
-    in which a budget ends is put in order, and of each leaf its last place goes back to the rows.
+    No leaf is collected or sorted: tokens are summed in BUCKETS ranges of the order (with partial sums), those of the
+    range in which a budget ends in BUCKETS parts of it, and only such a part, a millionth of the leaf, is put in order.
     """
-    spark = docs.sparkSession
-    own = [c for c in docs.columns if c not in (epoch, into_domain)]
+    spark, own = docs.sparkSession, [c for c in docs.columns if c not in (epoch, into_domain)]
+    scratch, leaf = Scratch(spark, "mixing"), [free_name(docs.columns, f"m_{c}") for c in LEVELS]
     flat = lambda c: F.coalesce(c.cast("string"), F.lit(""))
-    a = docs.withColumns({"__m_domain": flat(domain if domain is not None else domain_of(F.col("source"))), "__m_lang": flat(F.col("lang")), "__m_source": flat(F.col("source")), "__m_text": F.xxhash64(text), "__m_id": F.col(doc_id)})
-    leaf = ["__m_domain", "__m_lang", "__m_source"]
-    place = lambda e: F.xxhash64(F.lit(seed), e, "__m_id", "__m_text")
-    bucket = lambda h: F.floor((h / F.lit(2.0**64) + 0.5) * BUCKETS)
-    counted = tokens if tokens is not None else F.size(blank_separated(F.col(text)))
-
-    slim = a.select(*leaf, counted.cast("long").alias("t"), "__m_id", "__m_text").withColumn("e", F.explode(F.array(*[F.lit(e) for e in range(max_epochs)])))
-    sums = checkpointed(slim.groupBy(*leaf, "e", bucket(place(F.col("e"))).alias("b")).agg(F.sum("t").alias("t")))
+    of_row = dict(zip(leaf, (flat(domain if domain is not None else domain_of(F.col("source"))), flat(F.col("lang")), flat(F.col("source"))), strict=True))
+    place = lambda e: F.xxhash64(F.lit(seed), e.cast("int"), F.col(doc_id), F.xxhash64(text))
+    bucket = lambda h, n: F.floor((h / F.lit(2.0**64) + 0.5) * n)
+    counted = F.greatest(F.lit(0), F.coalesce(tokens if tokens is not None else F.size(blank_separated(F.col(text))), F.lit(0))).cast("long")
+
+    slim = docs.select(*[c.alias(k) for k, c in of_row.items()], counted.alias("t"), F.array(*[place(F.lit(e)) for e in range(max_epochs)]).alias("h"))
+    sums = scratch.write(slim.select(*leaf, "t", F.posexplode("h").alias("e", "h")).groupBy(*leaf, "e", bucket(F.col("h"), BUCKETS).alias("b")).agg(F.sum("t").alias("t")))
     leaves = sums.where("e = 0").groupBy(*leaf).agg(F.sum("t").alias("t"))
-    rows = leaves.limit(MAX_LEAVES + 1).collect()  # one row for each leaf, of which there are MAX_LEAVES at most
-    if len(rows) > MAX_LEAVES:
-        raise ValueError(f"more than {MAX_LEAVES} leaves; merge rare sources first")
-    held = {tuple(r[c] for c in leaf): r["t"] or 0 for r in rows}
-    share = budgets(held, total if total is not None else fraction * sum(held.values()), weights, max_epochs)
-    plan = [(*k, *divmod(share[k], n), share[k]) if n else (*k, 0, 0, 0) for k, n in held.items()]
-    goals = spark.createDataFrame(plan, ", ".join(f"{c} string" for c in leaf) + ", whole long, rest long, share long")
-
-    # The bucket in which each leaf's rest ends: the last that begins before it.
-    upto = W.partitionBy(*leaf).orderBy("b").rowsBetween(W.unboundedPreceding, -1)
-    begun = sums.join(F.broadcast(goals), leaf).where("e = whole and rest > 0").withColumn("before", F.coalesce(F.sum("t").over(upto), F.lit(0)))
-    edge = begun.where("before < rest").groupBy(*leaf).agg(F.max(F.struct("b", "before", "rest", "e")).alias("x")).select(*leaf, "x.*")
-    edge = edge.withColumnRenamed("b", "edge_b")
-
-    inside = a.join(F.broadcast(edge), leaf).withColumn("h", place(F.col("e"))).where(bucket(F.col("h")) == F.col("edge_b"))
-    keyed = inside.select(*leaf, "h", "before", "rest", counted.cast("long").alias("t")).groupBy(*leaf, "h", "before", "rest").agg(F.sum("t").alias("t"))
-    ahead = W.partitionBy(*leaf).orderBy("h").rowsBetween(W.unboundedPreceding, -1)
-    cut = keyed.withColumn("start", F.col("before") + F.coalesce(F.sum("t").over(ahead), F.lit(0))).where("start < rest").groupBy(*leaf).agg(F.max("h").alias("last"))
-    last = checkpointed(goals.join(cut, leaf, "left"))
-
-    b = a.join(F.broadcast(last), leaf)
-    times = F.col("whole") + F.when(F.col("last").isNotNull() & (place(F.col("whole").cast("int")) <= F.col("last")), 1).otherwise(0)
-    b = b.withColumn("__m_times", times).where("__m_times > 0").withColumn("__m_epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__m_times") - 1)))
-    added = [F.col(c).alias(name) for c, name in (("__m_domain", into_domain), ("__m_epoch", epoch)) if name]
-    return b.select(*[b[c] for c in own], *added)
+    goal = total if total is not None else fraction * (leaves.agg(F.sum("t")).first()[0] or 0)
+    shares = budgets(leaves.toDF(*LEVELS, "t"), goal, weights, max_epochs).toDF(*leaf, "t", "share")
+    goals = scratch.write(shares.select(*leaf, F.when(F.col("t") > 0, F.expr("share div t")).otherwise(0).alias("whole"), F.when(F.col("t") > 0, F.expr("share % t")).otherwise(0).alias("rest")))
+    n = goals.count()
+
+    ends = _edge(sums.join(small(goals, n), leaf).where("e = whole and rest > 0").withColumn("before", F.lit(0).cast("long")), leaf)
+    ends = scratch.write(ends.join(goals.select(*leaf, "whole"), leaf))
+    rows = docs.select(*[c.alias(k) for k, c in of_row.items()], F.array(*[place(F.lit(e)) for e in range(max_epochs)]).alias("h"), counted.alias("t"))
+    inside = rows.join(small(ends, n), leaf).withColumn("h", F.get("h", F.col("whole").cast("int"))).where(bucket(F.col("h"), BUCKETS) == F.col("b"))
+    keyed = scratch.write(inside.groupBy(*leaf, "before", "rest", "h", bucket(F.col("h"), BUCKETS**2).alias("b")).agg(F.sum("t").alias("t")))
+    part = scratch.write(_edge(keyed.groupBy(*leaf, "before", "rest", "b").agg(F.sum("t").alias("t")), leaf))
+    last = _edge(keyed.drop("before", "rest").join(part, [*leaf, "b"]).select(*leaf, F.col("h").alias("b"), "t", "before", "rest"), leaf).select(*leaf, F.col("b").alias("last"))
+    plan = scratch.write(goals.join(last, leaf, "left").select(*leaf, F.struct("whole", "last").alias("plan")))
+    scratch.done(sums, goals, ends, keyed, part)
+
+    given, times, turn = (free_name([*docs.columns, *leaf], x) for x in ("plan", "times", "turn"))
+    whole, end = F.col(f"{given}.whole"), F.col(f"{given}.last")
+    b = docs.withColumns(of_row).join(small(plan.withColumnRenamed("plan", given), n), leaf)
+    b = b.withColumn(times, whole + F.when(end.isNotNull() & (place(whole) <= end), 1).otherwise(0)).where(F.col(times) > 0)
+    b = b.withColumn(turn, F.explode(F.sequence(F.lit(0).cast("long"), F.col(times) - 1)))
+    added = [F.col(c).alias(name) for c, name in ((leaf[0], into_domain), (turn, epoch)) if name]
+    return b.select(*[F.col(c) for c in own], *added)
