@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from souklens.llm import mixing, ngram_jaccard, pii, quality, sentencepiece_codec
 from souklens.llm.queries import KEY, MODEL
+from souklens.shared import shared_folder
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,8 +45,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages applied to documents in turn; each one's rows are written to the shared folder and read again, so that a lost executor costs one stage at most."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    base = os.path.join(shared, f"pipeline-{uuid.uuid4().hex}")
+    base = shared_folder(spark, "pipeline")
     for i, (_, stage) in enumerate(STAGES):
         out = stage(spark, docs, sf_dir)
         if i == len(STAGES) - 1:

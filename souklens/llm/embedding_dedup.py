@@ -14,7 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, connected_components
+from ..shared import Scratch
+from .common import connected_components
 
 THRESHOLD = 0.95
 #: The chance that a pair at the threshold meets in no band; closer pairs have less.
@@ -98,7 +99,7 @@ def _links(classes: DataFrame, threshold: float) -> DataFrame:
                     names=["node", "dim", "vec", "code", "factor", "keys"],
                 )
 
-    s = checkpointed(classes.mapInArrow(sketch, "node long, dim int, vec binary, code binary, factor double, keys array<long>"))
+    s = Scratch(classes.sparkSession).write(classes.mapInArrow(sketch, "node long, dim int, vec binary, code binary, factor double, keys array<long>"))
     placed = s.select("node", "dim", F.posexplode("keys").alias("band", "key"))
     crowded = placed.groupBy("dim", "band", "key").agg(F.count("*").alias("n")).where("n > 1")
     m = placed.join(crowded, ["dim", "band", "key"])
@@ -168,8 +169,8 @@ def deduplicated(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "e
     v = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast("array<double>").alias("v"))
     usable = v.where(_usable("v"))
     by_vector = usable.groupBy("v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("size"))
-    classes = checkpointed(by_vector.withColumn("node", F.monotonically_increasing_id()))  # the checkpoint fixes the numbers
-    links = checkpointed(_links(classes.select("node", "v"), threshold))
+    classes = Scratch(vectors.sparkSession).write(by_vector.withColumn("node", F.monotonically_increasing_id()))  # the checkpoint fixes the numbers
+    links = Scratch(vectors.sparkSession).write(_links(classes.select("node", "v"), threshold))
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     others = both.join(classes.select(F.col("node").alias("b"), "size"), "b").groupBy(F.col("a").alias("node")).agg(F.sum("size").alias("others"))
     found = connected_components(links.select(F.col("a").alias("src"), F.col("b").alias("dst")))

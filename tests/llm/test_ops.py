@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from sentencepiece import sentencepiece_model_pb2
 from tokenizers import Tokenizer, models, pre_tokenizers
 
-from souklens.llm import embedding_dedup, licenses, mixing, ngram_jaccard, pii, quality, secrets, sentencepiece_codec, token_count, unigram, url_filter
+from souklens.llm import common, embedding_dedup, licenses, mixing, ngram_jaccard, pii, quality, secrets, sentencepiece_codec, token_count, unigram, url_filter
 from souklens.llm.queries import MODEL
 
 WORDS = "the of and river stone light Über ñandú été grass tower cloud paper".split()
@@ -90,19 +90,77 @@ def test_jaccard(docs, empty):
     got = ngram_jaccard.grouped(docs).collect()
     assert len(links) > 10 and len(got) == len(rows)
     assert all(r.component_id is None if r.doc_id is None else (r.component_id, r.n_shingles) == (want[r.doc_id], len(sets[r.doc_id])) for r in got)
+    every = [(r.doc_id, sets[r.doc_id] if r.doc_id is not None else sets[0] if r.text else set()) for r in rows]
+    n_links = Counter((d, sum(bool(s) and 100 * len(s & t) >= 80 * len(s | t) for _, t in every) - bool(s)) for d, s in every)
+    assert n_links == Counter((r.doc_id, r.n_links) for r in got)
     kept = ngram_jaccard.one_of_each(docs)
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == sorted(set(want.values()))
     assert ngram_jaccard.grouped(empty).count() == 0 and components(sets, [(r.a, r.b) for r in ngram_jaccard.pairs(docs).collect()]).items() >= {k: v for k, v in want.items() if v == k}.items()
 
 
-def test_pieces_of_one_family_are_joined(spark):
-    """A chain in which only neighbours are similar enough: links between pieces have to be found by opening blocks."""
+def by_hand(texts, percent=80):
+    """Component and number of links of each text, all pairs compared as sets of words."""
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in map(words_of, texts)]
+    links = [(a, b) for a in range(len(sets)) for b in range(a) if sets[a] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])]
+    n = Counter(x for pair in links for x in pair)
+    return {i: (c, n[i]) for i, c in components(range(len(sets)), links).items()}, links
+
+
+def families(seed=2):
+    """Long chains of neighbours, a family of many near copies, and texts that share one passage and nothing else."""
+    r = random.Random(seed)
     base = [f"t{i}" for i in range(200)]
-    texts = [" ".join(f"c{i}" if i // 4 < k else x for i, x in enumerate(base)) for k in range(0, 30)]
-    got = ngram_jaccard.grouped(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")).collect()
-    sets = [{tuple(t.split()[i : i + 5]) for i in range(196)} for t in texts]
-    want = components(range(30), [(a, b) for a in range(30) for b in range(a) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])])
-    assert {r.doc_id: r.component_id for r in got} == want
+    texts = [" ".join(f"c{i}" if i // 4 < k else x for i, x in enumerate(base)) for k in range(30)]
+    core = [f"n{i}" for i in range(150)]
+    for _ in range(90):
+        w = list(core)
+        for _ in range(r.randrange(4)):
+            w[r.randrange(len(w))] = f"v{r.randrange(10**6)}"
+        texts.append(" ".join(w))
+    passage = [f"p{i}" for i in range(60)]
+    for i in range(60):
+        own = [f"o{i}_{j}" for j in range(r.randrange(4, 60))]
+        texts += [" ".join(own + passage), " ".join([*own[:-1], "z", *passage])]
+    return texts
+
+
+@pytest.mark.parametrize("members", [256, 3])
+@pytest.mark.parametrize("percent", [80, 50])
+def test_links_within_and_between_groups(spark, monkeypatch, members, percent):
+    """With groups of three members most links are found by the matrix, between groups."""
+    monkeypatch.setattr(ngram_jaccard, "MEMBERS", members)
+    opened, whole = [], ngram_jaccard._qualifying
+    monkeypatch.setattr(ngram_jaccard, "_qualifying", lambda able: opened.append(0) or whole(able))
+    texts = families()
+    want, links = by_hand(texts, percent)
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = ngram_jaccard.grouped(df, percent=percent).collect()
+    assert {r.doc_id: (r.component_id, r.n_links) for r in got} == want and len(links) > 2500 and opened
+    if members == 3 and percent == 80:
+        copies = [(i, texts.index(t)) for i, t in enumerate(texts)]
+        connected = components(range(len(texts)), [(r.a, r.b) for r in ngram_jaccard.pairs(df).collect()] + copies)
+        assert connected == {i: c for i, (c, _) in want.items()}
+
+
+def test_shared_tokens(spark):
+    """What stands in several sets, a token of all sets included, whatever the partitions and batches."""
+    r = random.Random(4)
+    sets = {k: sorted({0, *(r.randrange(1, 900) for _ in range(20))}) for k in range(300)}
+    n = Counter(t for x in sets.values() for t in x)
+    rows = [(k, np.array(x, np.uint64).tobytes()) for k, x in sets.items()]
+    df = spark.createDataFrame(rows, "key long, tokens binary").repartition(5)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = [(x.key, x.token) for x in ngram_jaccard._shared(df).collect()]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted(got) == sorted((k, t) for k, x in sets.items() for t in x if n[t] > 1)
+
+
+def test_components(spark):
+    edges = [(i, i + 1) for i in range(0, 60)] + [(100, i) for i in range(101, 160)] + [(200, 200), (None, 3), (7, 6)]
+    got = {r.node: r.component for r in common.connected_components(spark.createDataFrame(edges, "src long, dst long")).collect()}
+    assert got == {i: 0 for i in range(61)} | {i: 100 for i in range(100, 160)}
 
 
 def test_urls(spark):
@@ -308,31 +366,82 @@ def test_estimates_are_unbiased_and_bounded():
     assert abs(error.mean()) < 0.005 and embedding_dedup.doubtful(a, codes, factors, turn, 0.0)[(a @ a.T) >= 0.0].all()
 
 
-def test_budgets():
-    tokens = {("a", "en", "x"): 100, ("a", "en", "y"): 10, ("a", "de", "z"): 1000, ("b", "en", "w"): 1000}
-    got = mixing.budgets(tokens, 800, {})
-    assert got == {("a", "en", "x"): 100, ("a", "en", "y"): 10, ("a", "de", "z"): 290, ("b", "en", "w"): 400}  # a's shortage stays within a
-    assert sum(mixing.budgets(tokens, 10_000, {}).values()) == 2110 and mixing.budgets(tokens, 300, {("b",): 0.0})[("b", "en", "w")] == 0
-    assert mixing.budgets({("a", "e", "x"): 10}, 25, {}, max_epochs=3) == {("a", "e", "x"): 25} and mixing.budgets({}, 5, {}) == {}
+def shares_by_hand(tokens, total, weights, max_epochs=1):
+    """Water poured into one level of the tree after the other, a litre's worth of rounding apart."""
+
+    def pour(budget, children):
+        out, open_ = {k: 0.0 for k, _, _ in children}, {k: (w, c) for k, w, c in children if w > 0 and c > 0}
+        while open_ and budget > 1e-9:
+            level = min(min(c / w for w, c in open_.values()), budget / sum(w for w, _ in open_.values()))
+            for k, (w, c) in list(open_.items()):
+                out[k] += level * w
+                open_[k] = (w, c - level * w)
+            budget -= level * sum(w for w, _ in open_.values())
+            open_ = {k: (w, c) for k, (w, c) in open_.items() if c > 1e-9}
+        return out
+
+    held = Counter()
+    for leaf, n in tokens.items():
+        for i in range(4):
+            held[leaf[:i]] += n * max_epochs
+    share = {(): min(total, held[()])}
+    for i in range(1, 4):
+        for parent in {k for k in held if len(k) == i - 1}:
+            share |= pour(share[parent], [(k, weights.get(k, 1.0), held[k]) for k in held if len(k) == i and k[:-1] == parent])
+    return {k: int(share[k] + 1e-5) for k in tokens}
+
 
+def budgets_of(spark, tokens, *more):
+    df = spark.createDataFrame([(*k, n) for k, n in tokens.items()], "domain string, lang string, source string, t long")
+    return {(r.domain, r.lang, r.source): r.share for r in mixing.budgets(df, *more).collect()}
 
-def test_mixing(docs, empty):
-    out = mixing.mixed(docs, fraction=1.4, max_epochs=3, seed=9).collect()
+
+def test_budgets(spark):
+    tokens = {("a", "en", "x"): 100, ("a", "en", "y"): 10, ("a", "de", "z"): 1000, ("b", "en", "w"): 1000}
+    got = budgets_of(spark, tokens, 800, {})
+    assert got == {("a", "en", "x"): 100, ("a", "en", "y"): 10, ("a", "de", "z"): 290, ("b", "en", "w"): 400}  # a's shortage stays within a
+    assert sum(budgets_of(spark, tokens, 10_000, {}).values()) == 2110 and budgets_of(spark, tokens, 300, {("b",): 0.0})[("b", "en", "w")] == 0
+    assert budgets_of(spark, {("a", "e", "x"): 10}, 25, {}, 3) == {("a", "e", "x"): 25} and budgets_of(spark, {}, 5, {}) == {}
+    r = random.Random(8)
+    tokens = {(d, l, f"s{i}"): r.randrange(0, 500) for d in "abc" for l in "xy" for i in range(r.randrange(1, 30))}
+    weights = {("a",): 3.0, ("b", "x"): 0.0, ("c", "y"): 2.5, ("a", "x", "s0"): 9.0}
+    for total in (100, 3000, 9000):
+        got, want = budgets_of(spark, tokens, total, weights, 2), shares_by_hand(tokens, total, weights, 2)
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) <= 1 for k in want)
+
+
+def test_mixing(spark, docs, empty, monkeypatch):
+    """Against the whole order of each leaf, put together by hand from Spark's hashes."""
+    monkeypatch.setattr(mixing, "BUCKETS", 4)
+    rows = docs.withColumn("id", F.monotonically_increasing_id()).withColumn("h", F.array(*[F.xxhash64(F.lit(9), F.lit(e), "doc_id", F.xxhash64("text")) for e in range(3)])).collect()
+    leaf_of = lambda r: ("web" if r.source else "other", r.lang or "", r.source or "")
     size = Counter()
-    order = {}
-    for r in docs.collect():
-        leaf = ("web" if r.source else "other", r.lang or "", r.source or "")
-        size[leaf] += len(words_of(r.text))
-        order.setdefault(leaf, []).append(r)
-    share = mixing.budgets(size, 1.4 * sum(size.values()), mixing.WEIGHTS, 3)
-    taken, largest = Counter(), max(len(words_of(r.text)) for r in docs.collect())
-    for r in out:
-        taken[(r.domain, r.lang or "", r.source or "")] += len(words_of(r.text))
-    assert all(share[k] <= taken[k] <= share[k] + 2 * largest for k in share if share[k]) and {r.epoch for r in out} <= {0, 1, 2}
-    again = mixing.mixed(docs.repartition(7), fraction=1.4, max_epochs=3, seed=9).collect()
+    for r in rows:
+        size[leaf_of(r)] += len(words_of(r.text))
+    share, want = shares_by_hand(size, 1.4 * sum(size.values()), mixing.WEIGHTS, 3), Counter()
+    for leaf, n in size.items():
+        whole, rest = divmod(share[leaf], n) if n else (0, 0)
+        own = [r for r in rows if leaf_of(r) == leaf]
+        want.update((r.doc_id, r.text, e) for r in own for e in range(whole))
+        before, tokens = 0, Counter()
+        for r in own if rest else ():
+            tokens[r.h[whole]] += len(words_of(r.text))
+        for h in sorted(tokens):
+            if before >= rest:
+                break
+            want.update((r.doc_id, r.text, whole) for r in own if r.h[whole] == h)
+            before += tokens[h]
     key = lambda r: (r.doc_id, r.text, r.epoch)
-    assert Counter(map(key, out)) == Counter(map(key, again)) and mixing.mixed(empty).count() == 0
+    got = mixing.mixed(docs, fraction=1.4, max_epochs=3, seed=9).collect()
+    assert Counter(map(key, got)) == want and len(want) > 100
+    again = mixing.mixed(docs.repartition(7), fraction=1.4, max_epochs=3, seed=9).collect()
+    assert Counter(map(key, got)) == Counter(map(key, again)) and mixing.mixed(empty).count() == 0
     assert mixing.mixed(docs, epoch=None, into_domain=None).columns == docs.columns
+    clashing = docs.withColumns({c: F.lit(7) for c in ("m_domain", "plan", "times", "turn", "t", "h", "b", "whole")})
+    out = mixing.mixed(clashing, fraction=1.4, max_epochs=3, seed=9)
+    assert out.columns == [*clashing.columns, "domain", "epoch"] and Counter(map(key, out.collect())) == want
+    odd = docs.withColumn("n", F.when(F.col("doc_id") % 2 == 0, -5))
+    assert mixing.mixed(odd, tokens=F.col("n")).count() == 0
 
 
 def test_pipeline(spark, tmp_path):
