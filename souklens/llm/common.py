@@ -38,6 +38,11 @@ def small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= MAX_BROADCAST else df
 
 
+def beside(df: DataFrame, rows: int, scratch: Scratch) -> DataFrame:
+    """An aggregate to join with: broadcast if that is within the bound, else a table of its own, so that adaptive execution may split the other side's hot keys."""
+    return small(df, rows) if rows <= MAX_BROADCAST else scratch.write(df)
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of edges (src, dst), both long; component is the smallest node reachable.
 
@@ -51,13 +56,12 @@ def connected_components(edges: DataFrame) -> DataFrame:
     e = scratch.write(e.where("u is not null and v is not null and u <> v").distinct())
     before = _fingerprint(e)
     while before[0]:
-        few = 2 * before[0] <= MAX_BROADCAST
-        beside = F.broadcast if few else scratch.write
+        nodes = 2 * before[0]  # at most
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = beside(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+        least = beside(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), nodes, scratch)
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = large if few else scratch.write(large)
-        low = beside(large.groupBy("u").agg(F.min("v").alias("m")))
+        large = large if nodes <= MAX_BROADCAST else scratch.write(large)
+        low = beside(large.groupBy("u").agg(F.min("v").alias("m")), nodes, scratch)
         moved = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("x")).select("x.*")
         after = scratch.write(moved.where("u <> v").distinct())
         scratch.done(e)

@@ -26,13 +26,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..shared import Scratch
-from .common import connected_components, free_name, small
+from .common import beside, connected_components, free_name, small
 
 SHINGLE = 5
 #: Members and tokens in a group; a larger set is a group of its own.
 MEMBERS, TOKENS = 256, 1 << 18
 #: Columns of the token matrix that are multiplied at a time, and tokens that are sorted at a time.
-COLUMNS, SORTED = 4096, 1 << 20
+COLUMNS, SORTED = 4096, 1 << 18
 #: Distinct words whose hashes a task remembers.
 REMEMBER = 200_000
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
@@ -360,15 +360,16 @@ def _classes(d: DataFrame, bounds: Bounds, size: int, scratch: Scratch) -> tuple
     return s, scratch.write(by_set)
 
 
-def _joined(d: DataFrame, s: DataFrame, classes: DataFrame, percent: int, size: int, scratch: Scratch) -> DataFrame:
-    """(node, links, root) for the classes that are linked with others, several rows for a class: their links add up, their roots connect it."""
+def _joined(d: DataFrame, s: DataFrame, classes: DataFrame, percent: int, size: int, scratch: Scratch) -> tuple[DataFrame, int]:
+    """(node, links, root) for the classes that are linked with others, several rows for a class: their links add up, their roots connect it; and a bound for the number of these classes."""
     bounds = Bounds(percent)
     named = classes.where("rep is not null")
     first = s.join(small(named.select(F.col("node").alias("row")), named.count()), "row", "left_semi").select(F.col("row").alias("key"), "first")
     met = _shared(first).groupBy(F.col("key").alias("node")).agg(F.count("*").alias("met"), F.min("token").alias("k1"), F.max("token").alias("k2"))
     need = f"greatest(1L, (({percent} * n + 99) div 100) * {percent} div 800)"
     wanted = scratch.write(named.join(met, "node").where(f"met >= {need}").select("node", "set", "rep", F.col("class_size").alias("weight"), "k1", "k2"))
-    sets = scratch.write(_token_sets(d, wanted, wanted.count(), size))
+    n = wanted.count()
+    sets = scratch.write(_token_sets(d, wanted, n, size))
     groups = scratch.write(_cut(sets))
     scratch.done(sets, wanted)
     cells = scratch.write(_shared(groups.select(F.col("grp").alias("key"), "tokens")))
@@ -379,7 +380,7 @@ def _joined(d: DataFrame, s: DataFrame, classes: DataFrame, percent: int, size:
     within = groups.where("length(nodes) > 8").select(*body)
     out = scratch.write(_opened(within, bounds, False).unionByName(_opened(across, bounds, True)))
     scratch.done(groups, cells, able)
-    return out
+    return out, n
 
 
 def grouped(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", percent: int = 80, size: int = SHINGLE) -> DataFrame:
@@ -395,12 +396,12 @@ def grouped(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", percent
     scratch = Scratch(docs.sparkSession, "jaccard")
     d = docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("text"))
     s, classes = _classes(d, Bounds(percent), size, scratch)
-    links = _joined(d, s, classes, percent, size, scratch)
+    links, most = _joined(d, s, classes, percent, size, scratch)
     found = connected_components(links.select(F.col("node").alias("src"), F.col("root").alias("dst")))
-    linked_ = found.join(classes.select("node", "rep"), "node")
-    least = linked_.groupBy("component").agg(F.min("rep").alias("least"))
-    per_node = linked_.join(least, "component").select("node", "least").join(links.groupBy("node").agg(F.sum("links").alias("links")), "node")
-    per_set = scratch.write(classes.join(per_node, "node", "left").select("set", "class_size", F.coalesce("least", "rep").alias("component"), (F.col("class_size") - 1 + F.coalesce("links", F.lit(0))).alias("links")))
+    linked_ = scratch.write(classes.select("node", "rep").join(small(found, most), "node"))
+    least = beside(linked_.groupBy("component").agg(F.min("rep").alias("least")), most, scratch)
+    per_node = linked_.join(least, "component").select("node", "least").join(small(links.groupBy("node").agg(F.sum("links").alias("links")), most), "node")
+    per_set = scratch.write(classes.join(small(per_node, 2 * most), "node", "left").select("set", "class_size", F.coalesce("least", "rep").alias("component"), (F.col("class_size") - 1 + F.coalesce("links", F.lit(0))).alias("links")))
     out = s.select("doc", "n", "set").join(per_set, "set", "left")  # a plain scan: adaptive execution splits a set that many rows have only where both sides are mere shuffles
     return out.select(
         F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("doc").isNotNull(), F.coalesce("component", "doc")).alias("component_id"),
@@ -418,7 +419,7 @@ def pairs(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", percent:
     d = docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("text"))
     s, classes = _classes(d, Bounds(percent), size, scratch)
     named = lambda x, y: classes.select(F.col("node").alias(x), F.col("rep").alias(y))
-    edges = _joined(d, s, classes, percent, size, scratch).where("node <> root").select("node", "root").distinct()
+    edges = _joined(d, s, classes, percent, size, scratch)[0].where("node <> root").select("node", "root").distinct()
     return edges.join(named("node", "a"), "node").join(named("root", "b"), "root").select("a", "b")
 
 

@@ -1,5 +1,6 @@
 """The ten operators against brute force, round trips and the cases that their docstrings define."""
 
+import math
 import random
 import re
 from collections import Counter
@@ -356,14 +357,37 @@ def test_embeddings(spark):
     assert embedding_dedup.deduplicated(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("block", [256, 20])
+def test_many_near_vectors(spark, monkeypatch, block):
+    """5,000 vectors with pairs of a cosine from 0.90 to 1.00, a family of 300 near copies and repeated vectors, against all pairs."""
+    monkeypatch.setattr(embedding_dedup, "BLOCK", block)
+    r = np.random.default_rng(6)
+    base = embedding_dedup._unit(r.standard_normal((2600, 64)))
+    cos = r.uniform(0.90, 1.0, (2000, 1))
+    off = r.standard_normal((2000, 64))
+    off -= (off * base[:2000]).sum(axis=1, keepdims=True) * base[:2000]
+    near = cos * base[:2000] + np.sqrt(1 - cos**2) * embedding_dedup._unit(off)
+    family = base[2100] + 0.02 * r.standard_normal((300, 64))
+    x = np.concatenate([base, near, family, base[:100]])
+    unit = embedding_dedup._unit(x)
+    links = unit @ unit.T >= 0.95
+    np.fill_diagonal(links, False)
+    want = components(range(len(x)), np.argwhere(links).tolist())
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {g.vec_id: (g.component_id, g.n_links) for g in embedding_dedup.deduplicated(df).collect()}
+    assert len(x) == 5000 and links.sum() > 20_000 and got == {i: (want[i], int(links[i].sum())) for i in want}
+
+
 def test_estimates_are_unbiased_and_bounded():
     r = np.random.default_rng(1)
     a = embedding_dedup._unit(r.standard_normal((300, 64)))
     turn = embedding_dedup.rotations(64, 64)
     codes, factors = embedding_dedup.coded(a, turn)
-    signs = np.unpackbits(codes, axis=1, count=64) * 2.0 - 1
-    error = (a @ turn) @ signs.T / 8 / factors - a @ a.T
-    assert abs(error.mean()) < 0.005 and embedding_dedup.doubtful(a, codes, factors, turn, 0.0)[(a @ a.T) >= 0.0].all()
+    x, y = (i.ravel() for i in np.indices((300, 300)))
+    estimate, width = embedding_dedup.estimates((a @ turn)[x], embedding_dedup.signs_of(codes, 64)[y], factors[y])
+    error = estimate - (a @ a.T).ravel()
+    assert abs(error.mean()) < 0.005 and (np.abs(error) <= width).all()
+    assert embedding_dedup.most_unlike(64) == next(k for k in range(65) if sum(math.comb(64, i) * (p := math.acos(0.95) / math.pi) ** i * (1 - p) ** (64 - i) for i in range(k + 1, 65)) <= 1e-9)
 
 
 def shares_by_hand(tokens, total, weights, max_epochs=1):
