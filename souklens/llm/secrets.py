@@ -36,23 +36,61 @@ def most_weight(bits: float) -> int:
     return round(WINDOW * (math.log2(WINDOW) - bits) * SCALE)
 
 
-def _spans(text: Column, pattern: str, kind: str, value_group: bool = False) -> Column:
-    r"""Leftmost matches, one after the other, as (start, ord, end, kind, value), in code points.
+def _with_running(df: DataFrame, values: Column, step, into: str) -> DataFrame:
+    """df with `into`: what step(total, value) has come to at each place of `values`, longs from 0; step has to be associative (a sum, a maximum).
+
+    An array that grows within aggregate() is copied at every step, so blocks of about the square root of the length are
+    run through on their own and then moved on by what stands before them. A column of its own for each step, as an
+    expression used twice would be worked out twice.
+    """
+    blocks, before = f"{into}_blocks", f"{into}_before"
+    zero, none = F.lit(0).cast("long"), F.array().cast("array<long>")
+    last = lambda xs: F.coalesce(F.try_element_at(xs, F.lit(-1)), zero)
+    append = lambda out, x: F.concat(out, F.array(step(last(out), x)))
+    a = df.withColumn(into, values).withColumn(before, F.greatest(F.ceil(F.sqrt(F.size(into))).cast("int"), F.lit(1)))
+    a = a.withColumn(blocks, F.transform(F.sequence(F.lit(0), F.greatest(F.floor((F.size(into) - 1) / F.col(before)), F.lit(0)).cast("int")), lambda b: F.slice(into, b * F.col(before) + 1, F.col(before))))
+    a = a.withColumn(blocks, F.transform(blocks, lambda xs: F.aggregate(xs, none, append)))
+    a = a.withColumn(before, F.aggregate(blocks, F.array(zero), lambda out, xs: append(out, last(xs))))
+    # zip_with hands the totals over; a column that is used once, within a lambda, would be worked out for each element.
+    return a.withColumn(into, F.flatten(F.zip_with(blocks, F.slice(before, 1, F.size(before) - 1), lambda xs, b: F.transform(xs, lambda y: step(b, y)))))
+
+
+def _found(text: Column, pattern: str, value_group: bool = False) -> Column:
+    r"""Leftmost matches, one after the other, each with its value and `ends`: the lengths of the gap before it and of itself, in turn.
 
     \G makes each match take up what stands before it, so the lengths of gaps and matches add up to positions.
     """
     whole = F.lit(rf"\G((?s:.*?))({pattern})")
-    found = F.arrays_zip(F.regexp_extract_all(text, whole, F.lit(1)).alias("gap"), F.regexp_extract_all(text, whole, F.lit(2)).alias("hit"), F.regexp_extract_all(text, whole, F.lit(3 if value_group else 2)).alias("value"))
-    none = F.array().cast("array<struct<start:long,ord:int,end:long,kind:string,value:string>>")
-    start = F.struct(F.lit(0).cast("long").alias("at"), none.alias("out"))
+    take = lambda i: F.regexp_extract_all(text, whole, F.lit(i))
+    zipped = F.arrays_zip(take(1).alias("gap"), take(2).alias("hit"), take(3 if value_group else 2).alias("value"))
+    none = F.array().cast("array<struct<gap:string,hit:string,value:string>>")
+    return F.when(text.rlike(pattern), zipped).otherwise(none)
 
-    def step(acc: Column, x: Column) -> Column:
-        first = acc["at"] + F.length(x["gap"])
-        last = first + F.length(x["hit"])
-        one = F.struct(first.alias("start"), F.lit(KINDS.index(kind)).alias("ord"), last.alias("end"), F.lit(kind).alias("kind"), x["value"].alias("value"))
-        return F.struct(last.alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
 
-    return F.when(text.rlike(pattern), F.aggregate(found, start, step, lambda acc: acc["out"])).otherwise(none)
+def _with_spans(df: DataFrame, text: Column, pattern: str, kind: str, into: str, value_group: bool = False) -> DataFrame:
+    """df with `into`: the matches as (start, ord, end, kind, value), in code points. A column of its own for each step, as an expression used twice would be worked out twice."""
+    at = f"{into}_at"
+    a = df.withColumn(into, _found(text, pattern, value_group))
+    lengths = F.flatten(F.transform(into, lambda x: F.array(F.length(x["gap"]).cast("long"), F.length(x["hit"]).cast("long"))))
+    a = _with_running(a, lengths, lambda total, x: total + x, at)
+    one = lambda x, i: F.struct(F.get(at, 2 * i).alias("start"), F.lit(KINDS.index(kind)).alias("ord"), F.get(at, 2 * i + 1).alias("end"), F.lit(kind).alias("kind"), x["value"].alias("value"))
+    return a.withColumn(into, F.transform(into, one))
+
+
+def _apart(df: DataFrame, runs: str, base: str, into: str) -> DataFrame:
+    """df with `into`: the spans of `runs` that touch none of `base`; both are sorted, and no two runs touch.
+
+    Ends of runs and starts of base spans in one order: a run is touched if the furthest end of the base spans that
+    start before its end lies behind its start.
+    """
+    events, far = f"{into}_events", f"{into}_far"
+    none = F.lit(None).cast("struct<start:bigint,ord:int,end:bigint,kind:string,value:string>")
+    ends = F.transform(runs, lambda x: F.struct(x["end"].alias("at"), F.lit(0).alias("base"), F.lit(0).cast("long").alias("until"), x.alias("run")))
+    starts = F.transform(base, lambda x: F.struct(x["start"].alias("at"), F.lit(1).alias("base"), x["end"].alias("until"), none.alias("run")))
+    a = df.withColumn(events, F.sort_array(F.concat(ends, starts)))
+    a = _with_running(a, F.transform(events, lambda e: e["until"]), F.greatest, far)
+    open_ = F.filter(F.zip_with(events, far, lambda e, f: F.when((e["base"] == 0) & (f <= e["run"]["start"]), e["run"])), lambda x: x.isNotNull())
+    return a.withColumn(into, open_)
 
 
 def _least_window_weight(value: Column) -> Column:
@@ -82,14 +120,18 @@ def scanned(docs: DataFrame, text: str = "text", into: str = "secrets") -> DataF
     Kinds: assign (a name such as password, a sign and a value of eight characters or more), access (AKIA...), hex (32
     digits or more), and entropy: runs of 24 characters or more, in which some window of 24 has the bits for each
     character that its class needs, unless they are on the allow list or touch a span of another kind. Positions count
-    code points, ends are exclusive. A null or empty text has an empty array. Whole texts, no shuffle, no user function.
-    All other columns pass through (but `into` itself and names that start with "__s_").
+    code points, ends are exclusive. A null or empty text has an empty array. Whole texts, no shuffle, no user function;
+    the work grows with a text's length, and with its spans to the power of 1.5. Repeated rows stay, an empty table gives
+    an empty one. All other columns pass through (but `into` itself and names that start with "__s_").
     """
     t = F.coalesce(F.col(text), F.lit(""))
-    a = docs.withColumn("__s_assign", F.filter(_spans(t, ASSIGN, "assign", True), lambda x: F.length(x["value"]) >= MIN_VALUE))
-    a = a.withColumn("__s_base", F.concat("__s_assign", _spans(t, ACCESS, "access"), _spans(t, HEX, "hex")))
-    a = a.withColumn("__s_runs", F.filter(_spans(t, CANDIDATE, "entropy"), lambda x: ~x["value"].rlike(ALLOWED)))
-    a = a.withColumn("__s_runs", F.filter("__s_runs", lambda x: ~F.exists("__s_base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))))
+    a = docs
+    for pattern, kind in ((ASSIGN, "assign"), (ACCESS, "access"), (HEX, "hex"), (CANDIDATE, "entropy")):
+        a = _with_spans(a, t, pattern, kind, f"__s_{kind}", kind == "assign")
+    a = a.withColumn("__s_assign", F.filter("__s_assign", lambda x: F.length(x["value"]) >= MIN_VALUE))
+    a = a.withColumn("__s_base", F.sort_array(F.concat("__s_assign", "__s_access", "__s_hex")))
+    a = a.withColumn("__s_entropy", F.filter("__s_entropy", lambda x: ~x["value"].rlike(ALLOWED)))
+    a = _apart(a, "__s_entropy", "__s_base", "__s_runs")
     limit = lambda v: F.when(v.rlike("^[0-9a-fA-F]+$"), most_weight(BITS["hex"])).otherwise(most_weight(BITS["base64"]))
     a = a.withColumn("__s_runs", F.filter("__s_runs", lambda x: _least_window_weight(x["value"]) <= limit(x["value"])))
     a = a.withColumn("__s_all", F.sort_array(F.concat("__s_base", "__s_runs")))
@@ -97,15 +139,12 @@ def scanned(docs: DataFrame, text: str = "text", into: str = "secrets") -> DataF
 
 
 def redacted(docs: DataFrame, text: str = "text", mask: str = "[SECRET]") -> DataFrame:
-    """docs with every span replaced by mask; spans that overlap are replaced as one. Other columns stay."""
-    a = scanned(docs, text, "__s_spans")
-    begin = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        gap = F.substring(F.col(text), (acc["at"] + 1).cast("int"), F.greatest(x["start"] - acc["at"], F.lit(0)).cast("int"))
-        more = F.when(x["start"] < acc["at"], acc["out"]).otherwise(F.concat(acc["out"], F.array(gap, F.lit(mask))))
-        return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), more.alias("out"))
-
-    done = F.aggregate("__s_spans", begin, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(F.col(text), (acc["at"] + 1).cast("int"), F.lit(2**31 - 1))))
-    new = F.when(F.size("__s_spans") > 0, done).otherwise(F.col(text))
-    return a.withColumn(text, new).select(*docs.columns)
+    """docs with every span replaced by mask; spans that overlap are replaced as one. Null, empty and clean texts stay as they are, as do repeated rows and all other columns (but names that start with "__s_")."""
+    a = _with_running(scanned(docs, text, "__s_spans"), F.transform("__s_spans", lambda x: x["end"]), F.greatest, "__s_ends")  # how far all spans up to here reach
+    piece = lambda x, i: F.when(
+        (i == 0) | (x["start"] >= F.get("__s_ends", i - 1)),
+        F.concat(F.substring(text, (F.coalesce(F.get("__s_ends", i - 1), F.lit(0)) + 1).cast("int"), (x["start"] - F.coalesce(F.get("__s_ends", i - 1), F.lit(0))).cast("int")), F.lit(mask)),
+    ).otherwise("")
+    rest = F.substring(text, (F.element_at("__s_ends", -1) + 1).cast("int"), F.lit(2**31 - 1))
+    done = F.concat(F.array_join(F.transform("__s_spans", piece), ""), rest)
+    return a.withColumn(text, F.when(F.size("__s_spans") > 0, done).otherwise(F.col(text))).select(*docs.columns)

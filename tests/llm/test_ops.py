@@ -247,6 +247,23 @@ def test_secrets(spark, docs, empty):
         assert [(s.start, s.ord, s.end) for s in r.secrets if s.kind != "entropy"] == want
 
 
+def test_texts_with_very_many_secrets(spark):
+    """100,000 matches in one text, kinds that overlap, and what is left of it."""
+    import time
+
+    r = random.Random(3)
+    parts = [r.choice(["token=abcdefgh12 ", "AKIA" + "Q" * 14 + " ", "zX9kQ2mB7vN4cR8tY1wL5pJ3hG6fD0sA ", "secret: " + "0f" * 20 + "xyz+q ", "é plain "]) for _ in range(125_000)]
+    df = spark.createDataFrame([(1, "".join(parts)), (2, None)], "doc_id long, text string")
+    before = time.time()
+    spans = [(s.start, s.ord, s.end) for s in secrets.scanned(df).where("doc_id = 1").first().secrets]
+    took = time.time() - before
+    text, patterns = "".join(parts), {"assign": re.compile(secrets.ASSIGN), "access": re.compile(secrets.ACCESS), "hex": re.compile(secrets.HEX)}
+    base = sorted((m.start(), secrets.KINDS.index(k), m.end()) for k, p in patterns.items() for m in p.finditer(text))
+    assert [x for x in spans if x[1] < 3] == base and sum(x[1] == 3 for x in spans) == sum(p.startswith("zX9") for p in parts) and took < 60
+    few = spark.createDataFrame([(1, "".join(parts[:500]))], "doc_id long, text string")
+    assert secrets.redacted(few).first().text == re.sub(r"token=\S+|AKIA\S+|zX9\S+|secret: \S+", "[SECRET]", "".join(parts[:500]))
+
+
 def test_window_entropy(spark):
     for value in ("ab" * 20, "zX9kQ2mB7vN4cR8tY1wL5pJ3hG6fD0sA", "a" * 24):
         got = spark.createDataFrame([(value,)], "v string").select(secrets._least_window_weight(F.col("v")).alias("w")).first().w
