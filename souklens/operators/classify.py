@@ -14,7 +14,7 @@ from ..schema import DEFAULT_LABEL, Prompt
 
 
 def rendered(context: Column, name: Column, description: Column) -> Column:
-    r"""The user's message; after the description stand a backslash and the letter n."""
+    r"""The user's message. Fixed value: its wording; after the description stand a backslash and the letter n."""
     return F.concat(F.lit("Context: "), context, F.lit("\n\nProduct Details: "), name, F.lit("\n"), description, F.lit("\\n"), F.lit("\nRelevance:"))
 
 

@@ -9,17 +9,25 @@ from pyspark.sql import functions as F
 from ..functions.text import tokens
 from .top import first_rows
 
+#: Seeds that are sent to all documents.
+FEW = 10_000
+
 
 def _holding(docs: DataFrame, seeds: DataFrame) -> DataFrame:
-    """doc_id, seed, want, words, at (places, from 0, where the seed's tokens stand) for the documents that hold a seed.
+    """doc, seed, want, words, at (places, from 0, where the seed's tokens stand) for the documents that hold a seed.
 
-    Documents meet seeds by the seed's first token, so no document is paired with a seed that it can't hold.
+    Documents meet seeds by the seed's first token, so no document is paired with a seed that it can't hold. Up to FEW
+    seeds, of which this is checked, go to the documents; more are joined with each document's distinct tokens. A
+    document is a doc_id; a row without one is a document of its own.
     """
-    s = seeds.select("seed", tokens(F.col("seed")).alias("want")).where("size(want) > 0").distinct()
-    d = docs.select("doc_id", tokens(F.col("text")).alias("words"))
-    pairs = d.select("doc_id", F.explode(F.array_distinct("words")).alias("token")).join(s.withColumn("token", F.col("want")[0]), "token").select("doc_id", "seed", "want")
+    s = seeds.select("seed", tokens(F.col("seed")).alias("want")).where("size(want) > 0").distinct().withColumn("token", F.col("want")[0])
+    doc = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("row "), F.monotonically_increasing_id().cast("string")))
+    d = docs.select(doc.alias("doc"), tokens(F.col("text")).alias("words"))
+    if few := s.limit(FEW + 1).count() <= FEW:
+        d = d.crossJoin(F.broadcast(s.agg(F.collect_set("token").alias("firsts"))))  # one row
+    met = d.select("doc", "words", F.explode(F.array_intersect("words", "firsts") if few else F.array_distinct("words")).alias("token")).join(F.broadcast(s) if few else s, "token").drop("token")
     places = F.filter(F.sequence(F.lit(0), F.size("words") - 1), lambda i: F.slice("words", i + 1, F.size("want")) == F.col("want"))
-    return d.join(pairs, "doc_id").withColumn("at", places).where("size(at) > 0")
+    return met.withColumn("at", places).where("size(at) > 0")
 
 
 def _limited(terms: DataFrame, limit: int) -> DataFrame:
@@ -32,14 +40,14 @@ def suggest_terms(docs: DataFrame, seeds: DataFrame, limit: int) -> DataFrame:
     n = F.size("want") + F.col("more")
     starts = F.flatten(F.transform("at", lambda i: F.sequence(i - F.col("more"), i)))
     inside = F.filter(F.array_distinct(starts), lambda i: (i >= 0) & (i + n <= F.size("words")))
-    grams = held.select("doc_id", "seed", F.explode(F.array_distinct(F.transform(inside, lambda i: F.array_join(F.slice("words", i + 1, n), " ")))).alias("text"))
-    return _limited(grams.groupBy("seed", "text").agg(F.count("*").alias("volume")), limit)
+    grams = held.select("doc", "seed", F.explode(F.array_distinct(F.transform(inside, lambda i: F.array_join(F.slice("words", i + 1, n), " ")))).alias("text"))
+    return _limited(grams.groupBy("seed", "text").agg(F.count_distinct("doc").alias("volume")), limit)
 
 
 def related_terms(docs: DataFrame, seeds: DataFrame, limit: int, least: int = 4) -> DataFrame:
     """seed, text, volume, ord: tokens of `least` characters or more in the documents that hold the seed; volume is their number."""
-    held = _holding(docs, seeds).select("seed", F.explode(F.array_distinct("words")).alias("text")).where(F.length("text") >= least)
-    return _limited(held.groupBy("seed", "text").agg(F.count("*").alias("volume")), limit)
+    held = _holding(docs, seeds).select("doc", "seed", F.explode(F.array_distinct("words")).alias("text")).where(F.length("text") >= least)
+    return _limited(held.groupBy("seed", "text").agg(F.count_distinct("doc").alias("volume")), limit)
 
 
 def rank_terms(suggested: DataFrame, related: DataFrame, n: int) -> DataFrame:

@@ -71,6 +71,28 @@ def load_run(results: DataFrame, runs: DataFrame, index: int = -1) -> DataFrame:
     return results.join(F.broadcast(one), "run_id", "left_semi")
 
 
+def write_runs(results: DataFrame, path: str, ts: str = "ts") -> None:
+    """Adds the runs in results (run_id, ts and what else there is) to the store at path: result rows in one folder for each run_id, and a registry of runs.
+
+    A run that is written again replaces its rows; its entry in the registry may then occur twice, of which the earliest ts counts.
+    """
+    results.drop(ts).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(f"{path}/results")
+    results.groupBy("run_id").agg(F.min(ts).alias("ts")).write.mode("append").parquet(f"{path}/runs")
+
+
+def registry(spark: SparkSession, path: str) -> DataFrame:
+    """run_id, ts and index of all runs in the store at path; -1 is the latest."""
+    return listed_runs(spark.read.parquet(f"{path}/runs").groupBy("run_id").agg(F.min("ts").alias("ts")))
+
+
+def load_results(spark: SparkSession, path: str, index: int = -1) -> DataFrame:
+    """The stored result rows of the run with this index; only its folder is read. An index that no run has is an error."""
+    run = registry(spark, path).where(F.col("index") == index).select("run_id").first()
+    if run is None:
+        raise IndexError(f"no run {index}")
+    return spark.read.parquet(f"{path}/results").where(F.col("run_id").cast("string") == F.lit(run["run_id"]))
+
+
 def funnel(df: DataFrame) -> DataFrame:
     return df.groupBy(F.coalesce("filtered_at_stage", F.lit("kept")).alias("stage")).agg(F.count("*").alias("n"))
 

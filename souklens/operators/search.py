@@ -11,6 +11,9 @@ from ..schema import COUNTRY, flagged
 from .hosts import exclude_hosts, with_marketplace
 from .top import first_rows
 
+#: Wanted tokens that are sent to all pages.
+FEW = 200
+
 
 def first_hits(hits: DataFrame, limit: str = "num_results") -> DataFrame:
     """Of each search the hits with a position below its limit; positions count from 0."""
@@ -22,10 +25,14 @@ def search_pages(pages: DataFrame, requests: DataFrame) -> DataFrame:
 
     requests: search_id, term, num_results and sites (array, may be null or empty). The score is how often the tokens
     occur in the visible text; order: score, then page_id. With sites, a page's domain has to be one of them or below
-    one. Only tokens, ids and counts are shuffled.
+    one. Up to FEW wanted tokens go to the pages, so that no other token leaves them; ids, urls and counts are shuffled.
     """
     wanted = requests.select("search_id", "num_results", "sites", F.array_distinct(tokens(F.col("term"))).alias("want")).select("search_id", "num_results", "sites", F.size("want").alias("n_want"), F.explode("want").alias("token"))
-    words = pages.select("page_id", "url", domain(F.col("url")).alias("d"), F.explode(tokens(visible_text(F.col("html")))).alias("token"))
+    found = tokens(visible_text(F.col("html")))
+    if wanted.select("token").distinct().limit(FEW + 1).count() <= FEW:
+        pages = pages.crossJoin(F.broadcast(wanted.agg(F.collect_set("token").alias("wanted"))))  # one row
+        found = F.filter(found, lambda t: F.array_contains("wanted", t))
+    words = pages.select("page_id", "url", domain(F.col("url")).alias("d"), F.explode(found).alias("token"))
     allowed = F.coalesce(F.size("sites"), F.lit(0)).isin(0, -1) | F.exists("sites", lambda s: (F.col("d") == s) | F.endswith(F.col("d"), F.concat(F.lit("."), s)))
     found = words.join(wanted, "token").where(allowed).groupBy("search_id", "num_results", "n_want", "page_id", "url").agg(F.count("*").alias("score"), F.count_distinct("token").alias("n")).where("n = n_want")
     ranked = first_rows(found, "search_id", [F.desc("score"), F.asc("page_id")], F.col("num_results"), F.col("page_id"), "position")

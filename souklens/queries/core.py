@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +10,7 @@ from ..functions import urls
 from ..operators import classify, dedupe, hosts, keywords, products, requests, results, search
 from ..plans import pipeline
 from ..schema import COUNTRY, CURRENT_RUN, PREVIOUS_RUN, PROBABILITY, Prompt, flagged
+from ..shared import shared_folder
 from ..sources import dims, replies
 from ..streaming import dedupe as streaming
 from . import sql
@@ -29,11 +26,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder below the one that all executors share."""
-    return os.path.join(spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir(), f"souklens-{uuid.uuid4().hex}")
-
-
 def url_domain(spark, d):
     return table(spark, d, "pages").select("page_id", urls.domain(F.col("url")).alias("domain"))
 
@@ -197,8 +189,10 @@ def probability_flag(spark, d):
 
 
 def _page_details(spark, d) -> DataFrame:
-    """Details of three quarters of the pages; the probability is a twentieth of page_id mod 20."""
-    return products.extract_products(table(spark, d, "pages").where("page_id % 4 <> 3")).withColumn("probability", (F.col("page_id") % 20) / F.lit(20.0)).drop("page_id")
+    """Details of all pages, every fourth page's being empty; the probability is a twentieth of page_id mod 20."""
+    there = F.col("page_id") % 4 != 3
+    pages = table(spark, d, "pages").withColumn("html", F.when(there, F.col("html")))
+    return products.extract_products(pages).withColumn("probability", F.when(there, (F.col("page_id") % 20) / F.lit(20.0))).drop("page_id")
 
 
 def details_join(spark, d):
@@ -216,7 +210,7 @@ def prompt_check(spark, d):
 
 
 def render_prompt(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", F.concat(F.lit("document "), F.col("doc_id").cast("string")).alias("name"), F.substring("text", 1, 40).alias("description"))
+    docs = table(spark, d, "documents").select("doc_id", F.concat(F.lit("document "), F.col("doc_id").cast("string")).alias("name"), F.col("text").alias("description"))
     return _rendered(spark, docs)
 
 
@@ -264,7 +258,7 @@ def csv_round_trip(spark, d):
 
 
 def run_list(spark, d):
-    o = table(spark, d, "orders").where("o_orderkey % 50 = 0").groupBy("o_custkey").agg(F.max("o_orderdate").alias("ts"))
+    o = table(spark, d, "orders").groupBy("o_custkey").agg(F.max("o_orderdate").alias("ts"))
     runs = o.select(results.run_id(F.concat(F.lit("term"), F.col("o_custkey").cast("string")), F.lit("de"), F.lit("ch"), F.col("ts")).alias("run_id"), "ts")
     return results.listed_runs(runs).select("run_id", "index")
 
@@ -275,6 +269,34 @@ def load_run(spark, d):
     return results.load_run(o, runs, -2).select("run_id", "o_orderkey")
 
 
+def _stored_runs(spark, d) -> str:
+    """A store of the orders as results, with a run for each priority; its path."""
+    results.write_runs(table(spark, d, "orders").select(F.col("o_orderpriority").alias("run_id"), "o_orderkey", F.col("o_orderdate").alias("ts")), path := shared_folder(spark))
+    return path
+
+
+def write_and_load_run(spark, d):
+    return results.load_results(spark, _stored_runs(spark, d), -2).select("run_id", "o_orderkey")
+
+
+def run_registry(spark, d):
+    return results.registry(spark, _stored_runs(spark, d)).select("run_id", "index")
+
+
+def _as_file(rows: DataFrame) -> str:
+    """The rows as a text file with one JSON array; its path."""
+    rows.agg(F.to_json(F.collect_list(F.struct(*rows.columns))).alias("value")).write.text(path := shared_folder(rows.sparkSession))
+    return path
+
+
+def language_scan(spark, d):
+    return dims.read_languages(spark, _as_file(table(spark, d, "documents").select(F.upper("lang").alias("name"), F.col("lang").alias("code")).distinct()))
+
+
+def location_scan(spark, d):
+    return dims.read_locations(spark, _as_file(table(spark, d, "nation").select(F.col("n_name").alias("name"), F.upper(F.substring("n_name", 1, 2)).alias("country_code"))))
+
+
 def _annotated(spark, d) -> DataFrame:
     hits, s = _hits(spark, d)
     return pipeline.annotate(hits, s, "org", _page_details(spark, d), _seen(spark, d), dims.hosts(spark, HOSTS), dims.hosts(spark, EXCLUDED))
@@ -295,15 +317,25 @@ def stream_dedupe(spark, d):
     stream = spark.readStream.schema(pages).option("maxFilesPerTrigger", 4).parquet(f"{d}/page[s].parquet")  # a pattern may be a file or a folder
     hits = stream.select("url", F.explode(F.sequence(F.lit(0).cast("long"), F.col("page_id") % 3)).alias("search_id")).withColumns({"filtered": F.lit(False), "filtered_at_stage": F.lit(None).cast("string")})
     base = shared_folder(spark)
-    streaming.run(streaming.flag_repeated(hits), lambda batch, i: batch.write.mode("append").parquet(f"{base}/out"), f"{base}/state")
+    streaming.run(streaming.flag_repeated(hits), streaming.batch_sink(f"{base}/out"), f"{base}/state")
     return spark.read.parquet(f"{base}/out").groupBy("url", "filtered", "filtered_at_stage").agg(F.count("*").alias("n"))
 
 
+def stream_known(spark, d):
+    pages = spark.read.parquet(f"{d}/pages.parquet").schema
+    stream = spark.readStream.schema(pages).option("maxFilesPerTrigger", 4).parquet(f"{d}/page[s].parquet")
+    hits = stream.select("page_id", "url").withColumns({"filtered": F.col("page_id") % 7 == 0, "filtered_at_stage": F.when(F.col("page_id") % 7 == 0, COUNTRY)})
+    base = shared_folder(spark)
+    streaming.run(streaming.flag_known(hits, _seen(spark, d)), streaming.batch_sink(f"{base}/out"), f"{base}/state")
+    return spark.read.parquet(f"{base}/out").select("page_id", "filtered", "filtered_at_stage")
+
+
 def queries() -> dict:
     own = (
         url_domain, country_flag, marketplace_lookup, exclude_hosts, language_lookup, location_lookup, search_string, search_json, quarantined_hits, search_pages, hit_counts, keyword_requests, suggest_terms,
         related_terms, keyword_json, rank_terms, search_requests, dedupe_current_run, dedupe_previous_run, seen_urls_update, product_json, probability_flag, details_join, product_html, prompt_check, render_prompt,
         label_guard, classify_pages, classification_wide, csv_round_trip, run_list, load_run, stage_funnel, pipeline_end_to_end, stream_dedupe,
+        write_and_load_run, run_registry, language_scan, location_scan, stream_known,
     )
     return {f.__name__: f for f in own}
 

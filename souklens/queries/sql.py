@@ -75,10 +75,10 @@ def oracles(hosts, excluded, seeds, prompts, replies, stages) -> dict[str, str]:
     reply_list = "[" + ", ".join("chr(32) || '1' || chr(10)" if "\n" in r else text(r) for r in replies) + "]"
     relevance = lambda name, desc: f"case when {name} is null or {desc} is null then -1 else contains({name}, 'th')::int end"
     length = lambda name, desc: f"case when {name} is null or {desc} is null or length({name}) % 4 = 3 then -1 else length({name}) % 4 end"
-    runs = "(select 'term' || o_custkey || '_de_ch_' || strftime(max(o_orderdate), '%Y%m%d%H%M%S') run_id, max(o_orderdate) ts from orders where o_orderkey % 50 = 0 group by o_custkey)"
+    runs = "(select 'term' || o_custkey || '_de_ch_' || strftime(max(o_orderdate), '%Y%m%d%H%M%S') run_id, max(o_orderdate) ts from orders group by o_custkey)"
     parts = "(select *, p_partkey % 13 <> 0 ok, p_partkey % 11 <> 0 pr, 'https://parts.example.com/' || p_partkey u from part)"
     part_prob = "case when ok and pr then p_size / 50.0::double end"
-    details = "dt as (select url, product_name, product_description, (page_id % 20) / 20.0::double probability from html where page_id % 4 <> 3)"
+    details = "dt as (select url, case when page_id % 4 <> 3 then product_name end product_name, case when page_id % 4 <> 3 then product_description end product_description, case when page_id % 4 <> 3 then (page_id % 20) / 20.0::double end probability from html)"
     full = f"""{prods}, kept as (select * from prods where dom not in ({gone})), {flags("kept", True)}, {html}, {details},
         res as (select b.*, dt.product_name, dt.product_description, dt.probability, case when st1 is not null then st1 when dt.probability <= 0.1 then {probability} end stage from b left join dt using (url))"""
 
@@ -108,13 +108,18 @@ def oracles(hosts, excluded, seeds, prompts, replies, stages) -> dict[str, str]:
         "details_join": f"with {html}, {details} select page_id, product_name, probability from pages left join dt using (url)",
         "product_html": f"with {html} select {html_row} from html",
         "prompt_check": f"select n_nationkey, prompt as name, array_to_string(allowed, ',') allowed from nation, {prompt_rows} where list_contains(allowed, n_nationkey % 4)",
-        "render_prompt": f"select doc_id, prompt, system system_message, 'Context: ' || context || chr(10) || chr(10) || 'Product Details: document ' || doc_id || chr(10) || substring(text, 1, 40) || '\\n' || chr(10) || 'Relevance:' user_message, 2::bigint n_messages from documents, {prompt_rows}",
+        "render_prompt": f"select doc_id, prompt, system system_message, 'Context: ' || context || chr(10) || chr(10) || 'Product Details: document ' || doc_id || chr(10) || text || '\\n' || chr(10) || 'Relevance:' user_message, 2::bigint n_messages from documents, {prompt_rows}",
         "label_guard": f"select p_partkey, case when p_partkey % 10 <> 9 and trim(r, ' ' || chr(10)) in ('0', '1', '+0', '+1') then trim(r, ' ' || chr(10))::int else -1 end as label from (select *, ({reply_list})[p_partkey % {len(replies)} + 1] r from part)",
         "classify_pages": f"with {html} select page_id, page_id % 6 = 0 filtered, case when page_id % 6 = 0 then 0 else 2 end::bigint n_labels, case when page_id % 6 <> 0 then {relevance('product_name', 'product_description')} end relevance from html",
         "classification_wide": f"with {html} select page_id, product_name, case when page_id % 6 <> 0 then {relevance('product_name', 'product_description')} end relevance, case when page_id % 6 <> 0 then {length('product_name', 'product_description')} end length from html",
         "csv_round_trip": f"with {html} select {html_row} from html",
         "run_list": f"select run_id, cast(row_number() over (order by ts, run_id) - 1 - count(*) over () as int) as index from {runs}",
         "load_run": "select o_orderpriority run_id, o_orderkey from orders where o_orderpriority = (select o_orderpriority from orders group by 1 order by min(o_orderdate) desc, 1 desc limit 1 offset 1)",
+        "write_and_load_run": "select o_orderpriority run_id, o_orderkey from orders where o_orderpriority = (select o_orderpriority from orders group by 1 order by min(o_orderdate) desc, 1 desc limit 1 offset 1)",
+        "run_registry": "select o_orderpriority run_id, cast(row_number() over (order by min(o_orderdate), o_orderpriority) - 1 - count(*) over () as int) as index from orders group by 1",
+        "language_scan": "select distinct upper(lang) as name, lang code from documents",
+        "location_scan": "select n_name as name, lower(substring(n_name, 1, 2)) code from nation",
+        "stream_known": f"select page_id, st is not null filtered, st filtered_at_stage from (select page_id, case when page_id % 7 = 0 then {country} when url in (select url from {seen}) then {previous} end st from pages)",
         "stage_funnel": f"with {full} select coalesce(stage, 'kept') stage, count(*) n from res group by 1",
         "pipeline_end_to_end": f"""with {full} select search_id, position, seed search_term, url, dom as domain, coalesce(market, 'Google') marketplace_name, product_name, probability, stage is not null filtered, stage filtered_at_stage,
             case when stage is null then {relevance("product_name", "product_description")} end relevance, case when stage is null then {length("product_name", "product_description")} end length

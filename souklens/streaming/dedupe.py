@@ -59,6 +59,11 @@ def flag_known(hits: DataFrame, seen: DataFrame) -> DataFrame:
     return known.withColumn("filtered_at_stage", F.when(hit, PREVIOUS_RUN).otherwise(F.col("filtered_at_stage"))).withColumn("filtered", F.col("filtered") | hit).drop("__url")
 
 
+def batch_sink(path: str) -> Callable[[DataFrame, int], None]:
+    """A sink with a folder for each batch, so that a batch that comes again replaces its rows."""
+    return lambda batch, i: batch.write.mode("overwrite").parquet(f"{path}/batch={i}")
+
+
 def run(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str) -> None:
     """Runs a stream over all that is there and ends; each micro-batch goes to the sink."""
     query = stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

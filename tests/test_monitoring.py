@@ -8,6 +8,7 @@ from souklens.functions import text, urls
 from souklens.operators import classify, dedupe, hosts, keywords, products, requests, results
 from souklens.schema import CURRENT_RUN, PREVIOUS_RUN, PROBABILITY, Prompt
 from souklens.sources import dims, replies
+from souklens.streaming import dedupe as streaming
 
 
 def column(spark, kind, values, expr):
@@ -21,7 +22,7 @@ def test_domain(spark):
 
 
 def test_country(spark):
-    cases = [("https://example.ch", "ch", True), ("https://example.ch/foobar", "ch", True), ("https://example.com", "ch", True), ("https://example.it", "ch", False), ("https://example.it/a.html", "ht", True), ("https://EXAMPLE.CH", "ch", True)]
+    cases = [("http://laden.at", "at", True), ("http://laden.at/angebot?id=7", "at", True), ("http://magasin.com/a", "at", True), ("http://magasin.fr", "at", False), ("http://magasin.fr/b.html", "ht", True), ("HTTP://LADEN.AT/X", "at", True)]
     df = spark.createDataFrame(cases, "u string, cc string, want boolean")
     assert df.where(urls.in_country(F.col("u"), F.col("cc")) != F.col("want")).count() == 0
 
@@ -32,12 +33,12 @@ def test_labels(spark):
 
 
 def test_hosts_and_marketplaces(spark):
-    h = dims.hosts(spark, [("Galaxus", "galaxus.ch, digitec.ch,example.com"), ("Other", ["digitec.ch", "b.ch"]), ("Empty", "a.ch, ,c.ch")])
-    assert [r.domains for r in h.orderBy("ord").collect()] == [["galaxus.ch", "digitec.ch", "example.com"], ["digitec.ch", "b.ch"], ["a.ch", "", "c.ch"]]
-    df = spark.createDataFrame([("Digitec.ch",), ("b.ch",), ("x.ch",)], "domain string")
-    assert {r.domain: r.marketplace_name for r in hosts.with_marketplace(df, h).collect()} == {"Digitec.ch": "Galaxus", "b.ch": "Other", "x.ch": "Google"}
+    h = dims.hosts(spark, [("Markt", "markt.at, kiosk.at,laden.at"), ("Other", ["kiosk.at", "b.ch"]), ("Empty", "a.ch, ,c.ch")])
+    assert [r.domains for r in h.orderBy("ord").collect()] == [["markt.at", "kiosk.at", "laden.at"], ["kiosk.at", "b.ch"], ["a.ch", "", "c.ch"]]
+    df = spark.createDataFrame([("Kiosk.at",), ("b.ch",), ("x.ch",)], "domain string")
+    assert {r.domain: r.marketplace_name for r in hosts.with_marketplace(df, h).collect()} == {"Kiosk.at": "Markt", "b.ch": "Other", "x.ch": "Google"}
     assert {r.marketplace_name for r in hosts.with_marketplace(df, None).collect()} == {"Google"}
-    assert {r.domain for r in hosts.exclude_hosts(df, h).collect()} == {"Digitec.ch", "x.ch"}
+    assert {r.domain for r in hosts.exclude_hosts(df, h).collect()} == {"Kiosk.at", "x.ch"}
     assert {r.domain for r in hosts.exclude_hosts(df, h, case_sensitive=False).collect()} == {"x.ch"}
 
 
@@ -135,6 +136,42 @@ def test_runs(spark):
     assert [r.x for r in results.load_run(rows, runs).collect()] == [2] and rows.limit(10).count() == 2
 
 
+def test_stored_runs(spark, tmp_path):
+    rows = spark.createDataFrame([("a_1", 1, 10), ("a_1", 2, 10), ("b_2", 3, 20)], "run_id string, x int, ts int")
+    results.write_runs(rows, path := str(tmp_path / "store"))
+    results.write_runs(spark.createDataFrame([("a_1", 7, 11), ("c_3", 8, 15)], rows.schema), path)
+    assert {r.run_id: r["index"] for r in results.registry(spark, path).collect()} == {"a_1": -3, "c_3": -2, "b_2": -1}
+    assert [[r.x for r in results.load_results(spark, path, i).collect()] for i in (-1, -2, -3)] == [[3], [8], [7]]
+    with pytest.raises(IndexError):
+        results.load_results(spark, path, -4)
+
+
+@pytest.mark.parametrize("few", [10_000, 1])
+def test_keywords_count_documents(spark, monkeypatch, few):
+    monkeypatch.setattr(keywords, "FEW", few)
+    docs = spark.createDataFrame([(1, "red seed box"), (1, "red seed box"), (2, "seed seed"), (None, "a seed"), (None, "a seed"), (3, None), (4, "")], "doc_id long, text string")
+    seeds = spark.createDataFrame([("seed",), ("seed",), ("red  Seed",), ("",)], "seed string")
+    own = {(r.seed, r.text): r.volume for r in keywords.suggest_terms(docs, seeds, 50).collect()}
+    assert own[("seed", "seed")] == 4 and own[("seed", "red seed box")] == 1 and own[("seed", "a seed")] == 2 and own[("red  Seed", "red seed")] == 1
+    other = {(r.seed, r.text): r.volume for r in keywords.related_terms(docs, seeds, 50).collect()}
+    assert other == {("seed", "seed"): 4, ("red  Seed", "seed"): 1}
+    assert keywords.suggest_terms(docs.limit(0), seeds, 5).count() == 0
+
+
+def test_streams_that_drop_and_flag(spark, tmp_path):
+    rows = spark.createDataFrame([("u", False, None), ("u", False, None), ("v", False, None), ("w", True, "x")], "url string, filtered boolean, filtered_at_stage string")
+    rows.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
+    streaming.run(streaming.drop_repeated(stream), streaming.batch_sink(str(tmp_path / "a")), str(tmp_path / "sa"))
+    assert sorted(r.url for r in spark.read.parquet(str(tmp_path / "a")).collect()) == ["u", "v", "w"]
+    seen = spark.createDataFrame([("v",), ("v",), ("w",), (None,)], "url string")
+    streaming.run(streaming.flag_known(stream, seen), sink := streaming.batch_sink(str(tmp_path / "b")), str(tmp_path / "sb"))
+    got = spark.read.parquet(str(tmp_path / "b"))
+    assert sorted((r.url, r.filtered_at_stage) for r in got.collect() if r.filtered) == [("v", PREVIOUS_RUN), ("w", "x")] and got.count() == 4
+    sink(rows, 0)  # a batch that comes again
+    assert spark.read.parquet(str(tmp_path / "b")).count() == 4
+
+
 def test_runs_are_numbered_in_many_tasks(spark):
     from datetime import datetime, timedelta
 
