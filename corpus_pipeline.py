@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from souklens.llm import mixing, ngram_jaccard, pii, quality, sentencepiece_codec
-from souklens.llm.queries import KEY, MODEL
+from souklens.llm.queries import MODEL, pii_key
 from souklens.shared import shared_folder
 
 
@@ -22,7 +22,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data is replaced by pseudonyms; n_chars follows the text if it was right before."""
-    out = pii.pseudonymised(docs, KEY)
+    out = pii.pseudonymised(docs, pii_key(spark))
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns) if "n_chars" in docs.columns else out
 
 

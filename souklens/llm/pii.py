@@ -18,23 +18,25 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 ROUNDS = 10
+#: Letters and digits that are permuted as one number; longer values are chained.
+CHUNK = 32
 FIRST_DAY, DAYS = datetime.date(1900, 1, 1).toordinal(), datetime.date(2100, 1, 1).toordinal() - datetime.date(1900, 1, 1).toordinal()
 
 #: A kind's pattern; what it finds still has to be valid.
 PATTERNS = (
     ("email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}"),
-    ("iban", r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"),
-    ("date", r"(?<![\w./-])(?:\d{4}-\d{2}-\d{2}|\d{1,2}\.\d{1,2}\.\d{4}|\d{1,2}/\d{1,2}/\d{4})(?![\w/-]|\.\d)"),
-    ("ssn", r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"),
-    ("ip", r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?!\w|\.\d)"),
-    ("card", r"(?<![\w-])\d(?:[ -]?\d){12,18}(?![\w-])"),
-    ("phone", r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{1,4}\)|\d{2,4})(?:[ .-]?\d{2,4}){2,4}(?![\w-])"),
+    ("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"),
+    ("date", r"(?<![\w./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4})(?![\w/-]|\.[0-9])"),
+    ("ssn", r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])"),
+    ("ip", r"(?<![\w.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\w|\.[0-9])"),
+    ("card", r"(?<![\w-])[0-9](?:[ -]?[0-9]){12,18}(?![\w-])"),
+    ("phone", r"(?<![\w+])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{1,4}\)|[0-9]{2,4})(?:[ .-]?[0-9]{2,4}){2,4}(?![\w-])"),
 )
 KINDS = tuple(k for k, _ in PATTERNS)
 _FIND = re.compile("|".join(f"(?P<{k}>{p})" for k, p in PATTERNS))
 #: Country codes of telephone numbers: none begins another, so a code is known without a separator behind it.
-_CODE = re.compile(r"\+(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})")
-_DATE_SHAPE = re.compile(r"\d{1,2}([.-])\d{1,2}\1\d{4}|\d{4}([.-])\d{2}\2\d{2}")
+_CODE = re.compile(r"\+(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})")
+_DATE_SHAPE = re.compile(r"[0-9]{1,2}([.-])[0-9]{1,2}\1[0-9]{4}|[0-9]{4}([.-])[0-9]{2}\2[0-9]{2}")
 #: Characters of an IBAN by country; those of other countries may have any number.
 IBAN_LENGTHS = {c: int(n) for n, codes in (x.split(":") for x in (
     "15:NO", "16:BE", "18:DK FI FO GL NL SD FK", "19:MK SI", "20:AT BA EE KZ LT LU XK MN", "21:CH HR LI LV", "22:BG BH CR DE GB GE IE ME RS VA", "23:AE GI IL IQ OM TL SO", "24:AD CZ ES MD PK RO SA SE SK TN VG",
@@ -97,25 +99,50 @@ class Pseudonyms:
     def _of(self, kind: str, value: str, back: bool = False) -> str | None:
         return getattr(self, "_" + kind)(value, back)
 
-    def _mapped(self, text: str, tag: str, back: bool) -> str:
-        """Digits to digits, letters to letters of their case; other characters stay."""
+    def _permuted(self, part: str, tag: str, back: bool) -> str:
+        """Letters and digits of one part as one number; letters stay letters of their case, digits digits."""
         n, x = 1, 0
         radix = lambda c: (10, "0") if c.isdigit() else (26, "a") if c.islower() else (26, "A")
-        own = [c for c in text if c.isalnum()]
-        for c in own:
+        for c in part:
             r, zero = radix(c)
             n, x = n * r, x * r + ord(c) - ord(zero)
-        shape = "".join("0" if c.isdigit() else "a" if c.islower() else "A" for c in own)
+        shape = "".join(radix(c)[1] for c in part)
         y, out = self.feistel.permute(x, n, hashlib.sha256(f"{tag}:{shape}".encode()).digest()[:16], back), []
-        for c in reversed(own):
+        for c in reversed(part):
             r, zero = radix(c)
             y, d = divmod(y, r)
             out.append(chr(ord(zero) + d))
-        return _poured(text, "".join(reversed(out)))
+        return "".join(reversed(out))
+
+    def _chained(self, parts: list[str], tag: str, back: bool) -> list[str]:
+        """Each part permuted under a tag that holds the pseudonym of the one before."""
+        out, before = [], ""
+        for part in parts:
+            out.append(self._permuted(part, f"{tag}:{before}", back))
+            before = part if back else out[-1]
+        return out
+
+    def _mapped(self, text: str, tag: str, back: bool, fold: bool = False) -> str:
+        """Digits to digits, letters to letters of their case; other characters stay. With fold, case doesn't count, but stays where it stands.
+
+        Parts of CHUNK characters are chained forwards, then backwards, so that every part depends on all others and the
+        time grows with the length alone.
+        """
+        own = "".join(c for c in text if c.isalnum())
+        own = own.lower() if fold else own
+        parts = [own[i : i + CHUNK] for i in range(0, len(own), CHUNK)]
+        for turn in (1, 0) if back else (0, 1):
+            if turn and len(parts) > 1:
+                parts = self._chained(parts[::-1], tag + ":back", back)[::-1]
+            elif not turn:
+                parts = self._chained(parts, tag, back)
+        new = iter("".join(parts))
+        return "".join((next(new).upper() if fold and c.isupper() else next(new)) if c.isalnum() else c for c in text)
 
     def _email(self, v: str, back: bool) -> str:
+        """The top-level domain stays; addresses that differ in case alone have pseudonyms that differ in case alone."""
         head, dot, top = v.rpartition(".")
-        return self._mapped(head, "email", back) + dot + top
+        return self._mapped(head, "email", back, fold=True) + dot + top
 
     def _iban(self, v: str, back: bool) -> str | None:
         bare = v.replace(" ", "")
@@ -245,7 +272,7 @@ def pseudonymised(docs: DataFrame, key: bytes, text: str = "text", kinds: str |
 
 
 def counted(docs: DataFrame, key: bytes, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """doc_id, text (replaced), n_pii and one n_ column for each kind."""
+    """doc_id, text (replaced), n_pii and one n_ column for each kind. A null text stays null and has counts of 0, an empty one too; repeated rows stay, no other column is read, an empty table gives an empty one."""
     a = pseudonymised(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), key, "text", "kinds")
     count = lambda k: F.size(F.filter("kinds", lambda x: x == k)).cast("long").alias(f"n_{k}")
     return a.select("doc_id", "text", F.size("kinds").cast("long").alias("n_pii"), *map(count, KINDS))

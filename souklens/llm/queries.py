@@ -2,19 +2,31 @@
 
 from __future__ import annotations
 
+import logging
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import embedding_dedup, licenses, mixing, ngram_jaccard, pii, quality, secrets, sentencepiece_codec, token_count, url_filter
 from .common import table
 
-#: Production parameters; a deployment takes its own key from where it keeps its secrets.
-KEY = b"replace this key in production"
+log = logging.getLogger(__name__)
+
+#: The setting that holds the key of the pseudonyms, and the key of tests and trials, which whoever has this file knows.
+KEY_SETTING, KEY = "spark.souklens.pii.key", b"a key for tests alone"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
 
+def pii_key(spark: SparkSession) -> bytes:
+    """The session's key; without one the tests' key, with a warning."""
+    key = spark.conf.get(KEY_SETTING, None)
+    if not key:
+        log.warning("%s is not set: pseudonyms are made with the key of the tests and can be undone", KEY_SETTING)
+    return key.encode() if key else KEY
+
+
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.counted(table(spark, sf_dir, "documents"), KEY)
+    return pii.counted(table(spark, sf_dir, "documents"), pii_key(spark))
 
 
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

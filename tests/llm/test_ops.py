@@ -219,6 +219,38 @@ def test_pii_shorter_candidates():
     assert names.replaced(f"{card} 4111111111111112")[1] == ["card"]
 
 
+def test_pii_long_values_and_case():
+    import time
+
+    names, before = pii.Pseudonyms(b"key"), time.time()
+    for head in ("jo.doe", "x" * 40 + "7" * 40, "ab1" * 20_000):
+        text = f"to {head}@mail.example.com."
+        new, kinds = names.replaced(text)
+        assert kinds == ["email"] and len(new) == len(text) and new != text and names.replaced(new, back=True) == (text, kinds)
+    assert time.time() - before < 3
+    one, two = names.replaced("Jo.Doe@Mail.com")[0], names.replaced("jo.doe@mail.com")[0]
+    assert one != two and one.lower() == two and one[0].isupper()
+    assert names.replaced("\u0661\u0662\u0663-45-6789 plain") == ("\u0661\u0662\u0663-45-6789 plain", [])
+
+
+def test_pii_leaves_no_value(spark):
+    """Addresses, numbers of the 3-2-4 form and dotted quads found in another way: each is gone, equal ones have become equal, and all of it can be undone."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    new = {r.doc_id: r for r in pii.counted(docs, b"k").collect()}
+    names, to = pii.Pseudonyms(b"k"), {}
+    for r in docs.collect():
+        tokens = lambda t: [w.strip(".,;:()<>[]\"'") for w in t.split()]
+        old, now = tokens(r.text), tokens(new[r.doc_id].text)
+        assert len(old) == len(now)
+        for a, b in zip(old, now, strict=True):
+            quad = a.split(".")
+            if a.count("@") == 1 and "." in a.split("@")[1] and a.isascii() or len(quad) == 4 and all(x.isdigit() and x.isascii() and int(x) < 256 for x in quad):
+                assert a != b and to.setdefault(a.lower(), b.lower()) == b.lower(), (a, b)
+        if new[r.doc_id].n_pii:
+            assert names.replaced(new[r.doc_id].text, back=True)[0] == r.text
+    assert len(to) > 20
+
+
 def test_pii_rows(docs, empty):
     out = pii.pseudonymised(docs, b"k", kinds="kept").collect()
     assert len(out) == docs.count() and [r.kept for r in out if r.text is None] == [[]] * 2 and pii.counted(empty, b"k").count() == 0
@@ -497,7 +529,7 @@ def test_pipeline(spark, tmp_path):
     got = {r.doc_id: r for r in step.collect()}
     good = {r.doc_id for r in quality.measured(docs).where("quality.kept").collect()}
     groups = {r.doc_id: r.component_id for r in ngram_jaccard.grouped(docs.where(F.col("doc_id").isin(sorted(good)))).collect()}
-    names = pii.Pseudonyms(corpus_pipeline.KEY)
+    names = pii.Pseudonyms(corpus_pipeline.pii_key(spark))
     texts = {r.doc_id: r.text for r in docs.collect()}
     assert set(got) <= {d for d in good if groups[d] == d} and len(got) > 20
     assert all(r.round_trip and r.text == names.replaced(texts[d])[0] and r.n_chars == len(r.text) for d, r in got.items())
