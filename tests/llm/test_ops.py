@@ -170,17 +170,24 @@ def test_urls(spark):
     out = url_filter.judged(pages).orderBy("page_id").collect()
     assert [(r.rule, r.verdict) for r in out[:5]] == [("example.net/en/", "allow"), ("net/", "block"), ("example.com/de/", "block"), ("org/fr/", "allow"), (None, "allow")]
     assert [(r.host, r.path, r.rule) for r in out[5:]] == [("net", "", None), ("", "", None), ("badexample.com", "/de/", None), ("", "", None), ("", "", None), ("net", "/", "net/")]
-    table = spark.createDataFrame(url_filter.RULES, "host string, path string, verdict string")
-    joined = url_filter.judged(pages, table, max_local=1).orderBy("page_id").collect()
-    assert [(r.host, r.path, r.rule, r.verdict) for r in joined] == [(r.host, r.path, r.rule, r.verdict) for r in out]
-    assert url_filter.judged(pages.limit(0)).count() == 0
+    table = spark.createDataFrame([*url_filter.RULES, ("Example.COM", "/de/", "allow"), (None, "/", "block"), ("q.org", None, "block"), ("ü.org", "/é", "block"), ("a.ü.org", "/", "allow"), ("q.org", "/x", None)], "host string, path string, verdict string")
+    more = pages.unionByName(spark.createDataFrame([(100 + i, u, None) for i, u in enumerate(["http://a.ü.org/é", "http://q.org", "http://b.q.org/x?y", "http://long.org/" + "p/" * 5_000, None])], pages.schema))
+    one, ten = ([tuple(r) for r in url_filter.judged(more, table, shard=n).orderBy("page_id").collect()] for n in (1_000, 1))
+    assert one == ten and [r[1:] for r in one[:11]] == [tuple(r)[1:] for r in out]
+    assert [r[4:] for r in one[11:]] == [("a.ü.org/", "allow"), ("q.org", "block"), ("q.org", "block"), (None, "allow"), (None, "allow")]
+    assert url_filter.judged(pages.limit(0)).count() == 0 and url_filter.judged(pages.limit(0), table, shard=1).count() == 0
+    assert {r.verdict for r in url_filter.judged(pages, []).collect()} == {"allow"}
+    with pytest.raises(Exception, match="allow or block"):
+        url_filter.judged(pages, [("a.com", "/", "greylist")]).collect()
 
 
 def test_digest_collisions(tmp_path):
+    """Two rules behind one digest are told apart, and a string with that digest that is no rule is not found."""
     name = url_filter.DigestArray.write([("a.com", "/", "block"), ("b.com", "/", "allow")], str(tmp_path))
     array = url_filter.DigestArray(str(tmp_path), name)
-    array.keys = np.full(2, url_filter.xxhash.xxh64_intdigest(b"a.com/"), np.uint64)  # both digests the same
-    assert len(array.lookup([b"a.com/"])) == 1
+    array.keys = np.full(2, 7, np.uint64)
+    found = {x: i for x in (b"a.com/", b"b.com/", b"c.com/") for i in array.lookup([x], digest=lambda _: 7).values()}
+    assert {x: bool(array.verdicts[i]) for x, i in found.items()} == {b"a.com/": True, b"b.com/": False}
 
 
 def test_pii():
