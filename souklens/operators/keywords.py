@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -14,45 +16,64 @@ FEW = 10_000
 
 
 def _holding(docs: DataFrame, seeds: DataFrame) -> DataFrame:
-    """doc, seed, want, words, at (places, from 0, where the seed's tokens stand) for the documents that hold a seed.
+    """doc, the columns of seeds, want, words, at (places, from 0, where the seed's tokens stand) for the documents that hold a seed.
+
+    Seeds with a column lang meet the documents of that language alone.
 
     Documents meet seeds by the seed's first token, so no document is paired with a seed that it can't hold. Up to FEW
     seeds, of which this is checked, go to the documents; more are joined with each document's distinct tokens. A
     document is a doc_id; a row without one is a document of its own.
     """
-    s = seeds.select("seed", tokens(F.col("seed")).alias("want")).where("size(want) > 0").distinct().withColumn("token", F.col("want")[0])
+    by = ["token", "lang"] if "lang" in seeds.columns else ["token"]
+    s = seeds.withColumn("want", tokens(F.col("seed"))).where("size(want) > 0").distinct().withColumn("token", F.col("want")[0])
     doc = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("row "), F.monotonically_increasing_id().cast("string")))
-    d = docs.select(doc.alias("doc"), tokens(F.col("text")).alias("words"))
+    d = docs.select(doc.alias("doc"), tokens(F.col("text")).alias("words"), *by[1:])
     if few := s.limit(FEW + 1).count() <= FEW:
         d = d.crossJoin(F.broadcast(s.agg(F.collect_set("token").alias("firsts"))))  # one row
-    met = d.select("doc", "words", F.explode(F.array_intersect("words", "firsts") if few else F.array_distinct("words")).alias("token")).join(F.broadcast(s) if few else s, "token").drop("token")
+    met = d.select("doc", "words", *by[1:], F.explode(F.array_intersect("words", "firsts") if few else F.array_distinct("words")).alias("token")).join(F.broadcast(s) if few else s, by).drop("token")
     places = F.filter(F.sequence(F.lit(0), F.size("words") - 1), lambda i: F.slice("words", i + 1, F.size("want")) == F.col("want"))
     return met.withColumn("at", places).where("size(at) > 0")
 
 
-def _limited(terms: DataFrame, limit: int) -> DataFrame:
-    return first_rows(terms, "seed", [F.desc("volume"), F.asc("text")], limit, F.col("text"), "ord")
+def _limited(terms: DataFrame, limit: int | None, keys: Sequence[str] = ("seed",)) -> DataFrame:
+    return first_rows(terms, keys, [F.desc("volume"), F.asc("text")], F.col("limit") if limit is None else limit, F.col("text"), "ord")
 
 
-def suggest_terms(docs: DataFrame, seeds: DataFrame, limit: int) -> DataFrame:
-    """seed, text, volume, ord: n-grams around a seed, up to two tokens longer; volume is the number of documents."""
+def suggest_terms(docs: DataFrame, seeds: DataFrame, limit: int | None = None) -> DataFrame:
+    """The columns of seeds (seed; lang and limit, if there are any), text, volume, ord: n-grams around a seed, up to two tokens longer; volume is the number of documents.
+
+    Without `limit` each seed's own counts, a column of seeds.
+    """
     held = _holding(docs, seeds).withColumn("more", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))
     n = F.size("want") + F.col("more")
     starts = F.flatten(F.transform("at", lambda i: F.sequence(i - F.col("more"), i)))
     inside = F.filter(F.array_distinct(starts), lambda i: (i >= 0) & (i + n <= F.size("words")))
-    grams = held.select("doc", "seed", F.explode(F.array_distinct(F.transform(inside, lambda i: F.array_join(F.slice("words", i + 1, n), " ")))).alias("text"))
-    return _limited(grams.groupBy("seed", "text").agg(F.count_distinct("doc").alias("volume")), limit)
+    grams = held.select("doc", *seeds.columns, F.explode(F.array_distinct(F.transform(inside, lambda i: F.array_join(F.slice("words", i + 1, n), " ")))).alias("text"))
+    return _limited(grams.groupBy(*seeds.columns, "text").agg(F.count_distinct("doc").alias("volume")), limit, seeds.columns)
 
 
-def related_terms(docs: DataFrame, seeds: DataFrame, limit: int, least: int = 4) -> DataFrame:
-    """seed, text, volume, ord: tokens of `least` characters or more in the documents that hold the seed; volume is their number."""
-    held = _holding(docs, seeds).select("doc", "seed", F.explode(F.array_distinct("words")).alias("text")).where(F.length("text") >= least)
-    return _limited(held.groupBy("seed", "text").agg(F.count_distinct("doc").alias("volume")), limit)
+def related_terms(docs: DataFrame, seeds: DataFrame, limit: int | None = None, least: int = 4) -> DataFrame:
+    """As suggest_terms: tokens of `least` characters or more in the documents that hold the seed; volume is their number."""
+    held = _holding(docs, seeds).select("doc", *seeds.columns, F.explode(F.array_distinct("words")).alias("text")).where(F.length("text") >= least)
+    return _limited(held.groupBy(*seeds.columns, "text").agg(F.count_distinct("doc").alias("volume")), limit, seeds.columns)
+
+
+def requested_terms(docs: DataFrame, requests: DataFrame, n: int) -> DataFrame:
+    """seed, lang, text, volume, rank: the n best terms for each seed and language of keyword requests.
+
+    requests: as requests.keyword_requests; a request is answered from the documents (doc_id, text, lang) in its
+    language, with as many terms as its limit says.
+    """
+    asked = requests.select("seed", F.col("language_name").alias("lang"), "limit", "source")
+    of = lambda source: asked.where(F.col("source") == source).drop("source").distinct()
+    return rank_terms(suggest_terms(docs, of("suggested")).drop("limit"), related_terms(docs, of("related")).drop("limit"), n)
 
 
 def rank_terms(suggested: DataFrame, related: DataFrame, n: int) -> DataFrame:
-    """The n terms of each seed with the largest volume (0 at least), the seed itself aside; ties: suggested first, then their order."""
-    both = suggested.select("seed", "text", "volume", F.struct(F.lit(0).alias("s"), "ord").alias("o")).unionByName(related.select("seed", "text", "volume", F.struct(F.lit(1).alias("s"), "ord").alias("o")))
-    best = both.where("text <> seed").groupBy("seed", "text").agg(F.greatest(F.lit(0), F.max("volume")).alias("volume"), F.min("o").alias("o"))
-    order = W.partitionBy("seed").orderBy(F.desc("volume"), F.asc("o"))
-    return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n).select("seed", "text", "volume", "rank")
+    """The n terms of each seed (and language, if there is one) with the largest volume (0 at least), the seed itself aside; ties: suggested first, then their order."""
+    keys = [c for c in suggested.columns if c not in ("text", "volume", "ord")]
+    part = lambda df, place: df.select(*keys, "text", "volume", F.struct(F.lit(place).alias("s"), "ord").alias("o"))
+    both = part(suggested, 0).unionByName(part(related, 1))
+    best = both.where("text <> seed").groupBy(*keys, "text").agg(F.greatest(F.lit(0), F.max("volume")).alias("volume"), F.min("o").alias("o"))
+    order = W.partitionBy(*keys).orderBy(F.desc("volume"), F.asc("o"))
+    return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n).select(*keys, "text", "volume", "rank")

@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 SALTS = 64
 
 
-def first_rows(df: DataFrame, group: str, order: Sequence[Column], limit: int | Column, salt: Column, into: str) -> DataFrame:
+def first_rows(df: DataFrame, group: str | Sequence[str], order: Sequence[Column], limit: int | Column, salt: Column, into: str) -> DataFrame:
     """The `limit` first rows of each group, with their place from 0 in `into`: first of each part of a group by salt, then of the parts' firsts. order is total; salt is anything that spreads a group's rows."""
     most = F.lit(limit) if isinstance(limit, int) else limit
-    part = W.partitionBy(group, "__salt").orderBy(*order)
+    by = [group] if isinstance(group, str) else list(group)
+    part = W.partitionBy(*by, "__salt").orderBy(*order)
     few = df.withColumn("__salt", F.pmod(F.xxhash64(salt), F.lit(SALTS))).withColumn("__n", F.row_number().over(part)).where(F.col("__n") <= most)
-    return few.drop("__salt", "__n").withColumn(into, F.row_number().over(W.partitionBy(group).orderBy(*order))).where(F.col(into) <= most).withColumn(into, F.col(into) - 1)
+    return few.drop("__salt", "__n").withColumn(into, F.row_number().over(W.partitionBy(*by).orderBy(*order))).where(F.col(into) <= most).withColumn(into, F.col(into) - 1)

@@ -10,9 +10,12 @@ from pyspark.sql import functions as F
 
 from ..operators.classify import classify
 from ..operators.dedupe import flag_current_run, flag_previous_runs
+from ..operators.keywords import requested_terms
 from ..operators.products import flag_probability, with_details
-from ..operators.search import products
+from ..operators.requests import keyword_requests
+from ..operators.search import products, search_pages
 from ..schema import PROBABILITY_THRESHOLD, Prompt
+from ..shared import Scratch
 
 
 def annotate(hits: DataFrame, requests: DataFrame, country: str, details: DataFrame, seen: DataFrame | None = None, marketplaces: DataFrame | None = None, excluded: DataFrame | None = None, threshold: float = PROBABILITY_THRESHOLD) -> DataFrame:
@@ -30,3 +33,33 @@ def run(hits: DataFrame, requests: DataFrame, country: str, details: DataFrame,
     """annotate(), then the labels of all prompts for the rows that no stage flagged."""
     record = ["run_id", "search_id", "position", "search_term", "search_term_type", "url", "marketplace_name", "domain", "product_name", "product_price", "product_description", "product_images", "probability", "filtered", "filtered_at_stage"]
     return classify(annotate(hits, requests, country, details, **more).select(*map(F.col, record)), prompts, predict)
+
+
+def search_table(runs: DataFrame, docs: DataFrame, n_terms: int, per_term: int) -> DataFrame:
+    """The searches of runs: the initial term first, then up to n_terms enriched ones by rank, with per_term results each.
+
+    runs: run_id, search_term, language, location, num_results, one row for each run; docs: doc_id, text, lang, from which
+    the keyword requests are answered. Columns: run_id, search_id, search_ord, search_term, search_term_type, term,
+    num_results, sites.
+    """
+    seeds = runs.select(F.col("search_term").alias("seed")).distinct()
+    asked = keyword_requests(seeds, runs.select("language", "location").distinct(), n_terms)
+    asked = asked.join(runs.select(F.col("search_term").alias("seed"), F.col("language").alias("language_name")).distinct(), ["seed", "language_name"], "left_semi")
+    terms = requested_terms(docs, asked, n_terms).select(F.col("seed").alias("search_term"), F.col("lang").alias("language"), "text", "rank")
+    own = runs.select("run_id", F.lit(0).alias("search_ord"), "search_term", F.lit("initial").alias("search_term_type"), F.col("num_results").cast("int").alias("num_results"))
+    more = runs.join(terms, ["search_term", "language"]).select("run_id", F.col("rank").alias("search_ord"), F.col("text").alias("search_term"), F.lit("enriched").alias("search_term_type"), F.lit(per_term).alias("num_results"))
+    search_id = F.concat_ws("/", "run_id", F.col("search_ord").cast("string"))
+    return own.unionByName(more).withColumns({"search_id": search_id, "term": F.col("search_term"), "sites": F.lit(None).cast("array<string>")})
+
+
+def enriched_run(runs: DataFrame, docs: DataFrame, pages: DataFrame, country: str, details: Callable[[DataFrame], DataFrame], prompts: Sequence[Prompt], predict: Callable[[pd.DataFrame], pd.Series], n_terms: int, per_term: int, **more) -> DataFrame:
+    """From seeds to labels: keyword requests, ranked terms, searches, hits, flags, details and labels of all runs.
+
+    runs and docs: as search_table; pages: page_id, url, html; details: makes the details of pages (one row for each
+    url). Searches and hits are written once, as several steps read them; details are made of pages that were hit, no others.
+    """
+    scratch = Scratch(runs.sparkSession, "enriched")
+    searches = scratch.write(search_table(runs, docs, n_terms, per_term))
+    hits = scratch.write(search_pages(pages, searches))
+    found = pages.join(hits.select("page_id").distinct(), "page_id", "left_semi")
+    return run(hits, searches, country, details(found), prompts, predict, **more)

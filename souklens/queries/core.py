@@ -13,6 +13,7 @@ from ..schema import COUNTRY, CURRENT_RUN, PREVIOUS_RUN, PROBABILITY, Prompt, fl
 from ..shared import shared_folder
 from ..sources import dims, replies
 from ..streaming import dedupe as streaming
+from ..streaming import pipeline as stream_stages
 from . import sql
 
 HOSTS = [("Alpha", "example.com, Shop.example.com"), ("Beta", ["m.ththth.example.net", "example.com"]), ("Gamma", "example.org,ththre.example.com")]
@@ -188,10 +189,10 @@ def probability_flag(spark, d):
     return products.flag_probability(a).select("url", "probability", "filtered", "filtered_at_stage")
 
 
-def _page_details(spark, d) -> DataFrame:
-    """Details of all pages, every fourth page's being empty; the probability is a twentieth of page_id mod 20."""
+def _page_details(spark, d, pages: DataFrame | None = None) -> DataFrame:
+    """Details of pages, all if none are given, every fourth page's being empty; the probability is a twentieth of page_id mod 20."""
     there = F.col("page_id") % 4 != 3
-    pages = table(spark, d, "pages").withColumn("html", F.when(there, F.col("html")))
+    pages = (pages or table(spark, d, "pages")).withColumn("html", F.when(there, F.col("html")))
     return products.extract_products(pages).withColumn("probability", F.when(there, (F.col("page_id") % 20) / F.lit(20.0))).drop("page_id")
 
 
@@ -330,12 +331,33 @@ def stream_known(spark, d):
     return spark.read.parquet(f"{base}/out").select("page_id", "filtered", "filtered_at_stage")
 
 
+def enriched_run(spark, d):
+    """A run for each seed and language: the initial search takes every page that has the seed, five enriched ones ten pages each."""
+    pages, docs = table(spark, d, "pages"), table(spark, d, "documents").select("doc_id", "text", "lang")
+    runs = _seeds(spark).crossJoin(docs.select("lang").distinct()).crossJoin(pages.agg(F.count("*").alias("num_results")))  # few seeds and languages
+    runs = runs.select(F.concat_ws("_", "seed", "lang").alias("run_id"), F.col("seed").alias("search_term"), F.col("lang").alias("language"), F.lit("Switzerland").alias("location"), "num_results")
+    out = pipeline.enriched_run(runs, docs, pages, "org", lambda p: _page_details(spark, d, p), PROMPTS, keyword_rule, 5, 10, seen=_seen(spark, d), marketplaces=dims.hosts(spark, HOSTS), excluded=dims.hosts(spark, EXCLUDED))
+    return results.wide(out, [p.name for p in PROMPTS]).select("run_id", "search_id", "search_term", "search_term_type", F.col("position").cast("long").alias("position"), "url", "domain", "marketplace_name", "product_name", "probability", "filtered", "filtered_at_stage", "relevance", "length")
+
+
+def stream_pipeline(spark, d):
+    """Every page is a hit of one to three searches."""
+    pages = spark.read.parquet(f"{d}/pages.parquet").schema
+    stream = spark.readStream.schema(pages).option("maxFilesPerTrigger", 4).parquet(f"{d}/page[s].parquet")
+    hits = stream.select(F.explode(F.sequence(F.lit(0), (F.col("page_id") % 3).cast("int"))).alias("search_id"), F.col("page_id").alias("position"), "url")
+    out = stream_stages.annotated(hits, _searches(spark), "org", _page_details(spark, d), PROMPTS, keyword_rule, _seen(spark, d), dims.hosts(spark, HOSTS), dims.hosts(spark, EXCLUDED))
+    base = shared_folder(spark)
+    streaming.run(out, streaming.batch_sink(f"{base}/out"), f"{base}/state")
+    wide = results.wide(spark.read.parquet(f"{base}/out"), [p.name for p in PROMPTS])
+    return wide.groupBy("url", "domain", "marketplace_name", "product_name", "filtered", "filtered_at_stage", "relevance", "length").agg(F.count("*").alias("n"))
+
+
 def queries() -> dict:
     own = (
         url_domain, country_flag, marketplace_lookup, exclude_hosts, language_lookup, location_lookup, search_string, search_json, quarantined_hits, search_pages, hit_counts, keyword_requests, suggest_terms,
         related_terms, keyword_json, rank_terms, search_requests, dedupe_current_run, dedupe_previous_run, seen_urls_update, product_json, probability_flag, details_join, product_html, prompt_check, render_prompt,
         label_guard, classify_pages, classification_wide, csv_round_trip, run_list, load_run, stage_funnel, pipeline_end_to_end, stream_dedupe,
-        write_and_load_run, run_registry, language_scan, location_scan, stream_known,
+        write_and_load_run, run_registry, language_scan, location_scan, stream_known, enriched_run, stream_pipeline,
     )
     return {f.__name__: f for f in own}
 

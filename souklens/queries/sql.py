@@ -46,10 +46,10 @@ def oracles(hosts, excluded, seeds, prompts, replies, stages) -> dict[str, str]:
     prods = f"""{searched(200, False)}, prods as (select search_id, search_id search_ord, position, url, {domain("url")} dom, not {in_country("url", "'org'")} bad from hits)"""
     seen = "(select distinct url from pages where page_id % 5 = 0)"
 
-    def flags(rows: str, use_seen: bool) -> str:
+    def flags(rows: str, use_seen: bool, run: str = "") -> str:
         known = f"url in (select url from {seen})" if use_seen else "false"
         return f"""a as (select *, case when bad then {country} when {known} then {previous} end st0 from {rows}),
-            b as (select *, case when st0 is not null then st0 when row_number() over (partition by url, st0 order by search_ord, position) > 1 then {current} end st1 from a)"""
+            b as (select *, case when st0 is not null then st0 when row_number() over (partition by {run}url, st0 order by search_ord, position) > 1 then {current} end st1 from a)"""
 
     docs_words = f"dw as (select doc_id, {tokens('text')} words from documents), hold as (select doc_id, words, i, seed from dw join {seed_rows} s(i, seed) on list_contains(words, seed))"
     grams = f"""{docs_words}, g as (select distinct doc_id, seed, array_to_string(words[st:st + m], ' ') as text from (select doc_id, seed, words, m, unnest(range(1, len(words) - m + 1)) st from (select *, unnest([0, 1, 2]) m from hold))
@@ -82,6 +82,21 @@ def oracles(hosts, excluded, seeds, prompts, replies, stages) -> dict[str, str]:
     full = f"""{prods}, kept as (select * from prods where dom not in ({gone})), {flags("kept", True)}, {html}, {details},
         res as (select b.*, dt.product_name, dt.product_description, dt.probability, case when st1 is not null then st1 when dt.probability <= 0.1 then {probability} end stage from b left join dt using (url))"""
 
+    # By seed and language: terms, searches, and all that follows.
+    enriched = f"""dw as (select doc_id, lang, {tokens('text')} words from documents), hold as (select doc_id, lang, words, seed from dw join {seed_rows} s(i, seed) on list_contains(words, seed)),
+        g as (select distinct doc_id, seed, lang, array_to_string(words[st:st + m], ' ') as text from (select *, unnest(range(1, len(words) - m + 1)) st from (select *, unnest([0, 1, 2]) m from hold)) where list_contains(words[st:st + m], seed)),
+        t as (select 0 s, seed, lang, text, doc_id from g union all select distinct 1, seed, lang, token, doc_id from (select seed, lang, doc_id, unnest(words) token from hold) where length(token) >= 4),
+        lim as (select * from (select s, seed, lang, text, count(*) volume, row_number() over (partition by s, seed, lang order by count(*) desc, text) as ord from t group by 1, 2, 3, 4) where ord <= 5),
+        best as (select seed, lang, text, row_number() over (partition by seed, lang order by max(volume) desc, min({{'s': s, 'ord': ord}})) as rank from lim where text <> seed group by 1, 2, 3),
+        runs as (select seed || '_' || lang run_id, seed, lang from {seed_rows} s(i, seed), (select distinct lang from documents)),
+        req as (select run_id, 0 search_ord, seed term, 'initial' kind, (select count(*) from pages) num from runs union all select run_id, rank, text, 'enriched', 10 from runs join best using (seed, lang) where rank <= 5),
+        want as (select *, run_id || '/' || search_ord search_id, list_distinct({tokens('term')}) ws from req), {page_words},
+        f as (select search_id, num, page_id, url, count(*) score from w join (select search_id, num, len(ws) n_want, unnest(ws) token from want) using (token) group by search_id, num, n_want, page_id, url having count(distinct token) = n_want),
+        hits as (select * from (select *, row_number() over (partition by search_id order by score desc, page_id) - 1 as position from f) where position < num),
+        prods as (select run_id, search_id, search_ord, term, kind, position, url, {domain("url")} dom, not {in_country("url", "'org'")} bad from hits join want using (search_id))"""
+    rest = f"""{html}, {details}, res as (select b.*, dt.product_name, dt.product_description, dt.probability, case when st1 is not null then st1 when dt.probability <= 0.1 then {probability} end stage from b left join dt using (url))"""
+    labels = f"case when stage is null then {relevance('product_name', 'product_description')} end relevance, case when stage is null then {length('product_name', 'product_description')} end length"
+
     return {
         "url_domain": f"select page_id, {domain('url')} as domain from pages",
         "country_flag": f"select page_id, cc, not {in_country('url', 'cc')} filtered, case when not {in_country('url', 'cc')} then {country} end filtered_at_stage from pages, (values ('org'), ('ht')) c(cc)",
@@ -120,6 +135,12 @@ def oracles(hosts, excluded, seeds, prompts, replies, stages) -> dict[str, str]:
         "language_scan": "select distinct upper(lang) as name, lang code from documents",
         "location_scan": "select n_name as name, lower(substring(n_name, 1, 2)) code from nation",
         "stream_known": f"select page_id, st is not null filtered, st filtered_at_stage from (select page_id, case when page_id % 7 = 0 then {country} when url in (select url from {seen}) then {previous} end st from pages)",
+        "enriched_run": f"""with {enriched}, kept as (select * from prods where dom not in ({gone})), {flags("kept", True, "run_id, ")}, {rest}
+            select run_id, search_id, term search_term, kind search_term_type, position, url, dom as domain, coalesce(market, 'Google') marketplace_name, product_name, probability, stage is not null filtered, stage filtered_at_stage, {labels}
+            from res left join {markets} m(mdom, market) on dom = mdom""",
+        "stream_pipeline": f"""with kept as (select * from (select *, 0 position, {domain("url")} dom, not {in_country("url", "'org'")} bad from (select url, unnest(range(0, page_id % 3 + 1)) search_ord from pages)) where dom not in ({gone})), {flags("kept", True)}, {rest}
+            select url, domain, marketplace_name, product_name, filtered, filtered_at_stage, relevance, length, count(*) n from (
+                select url, dom as domain, coalesce(market, 'Google') marketplace_name, product_name, stage is not null filtered, stage filtered_at_stage, {labels} from res left join {markets} m(mdom, market) on dom = mdom) group by all""",
         "stage_funnel": f"with {full} select coalesce(stage, 'kept') stage, count(*) n from res group by 1",
         "pipeline_end_to_end": f"""with {full} select search_id, position, seed search_term, url, dom as domain, coalesce(market, 'Google') marketplace_name, product_name, probability, stage is not null filtered, stage filtered_at_stage,
             case when stage is null then {relevance("product_name", "product_description")} end relevance, case when stage is null then {length("product_name", "product_description")} end length

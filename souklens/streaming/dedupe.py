@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from ..operators.dedupe import new_seen_urls
 from ..schema import CURRENT_RUN, PREVIOUS_RUN
 
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -64,6 +65,22 @@ def batch_sink(path: str) -> Callable[[DataFrame, int], None]:
     return lambda batch, i: batch.write.mode("overwrite").parquet(f"{path}/batch={i}")
 
 
+def refreshing_sink(path: str, known: str) -> Callable[[DataFrame, int], None]:
+    """A batch_sink that flags the urls which earlier batches let pass, and adds its own to them.
+
+    known: a folder of tables (url), one for each batch, made here; urls of earlier runs go to its batch=-1. A batch
+    sees the folders before its own alone, so one that comes again has the same rows.
+    """
+
+    def sink(batch: DataFrame, i: int) -> None:
+        spark = batch.sparkSession
+        seen = spark.read.schema("url string, batch long").parquet(known).where(F.col("batch") < i)
+        batch_sink(path)(flag_known(batch, seen), i)
+        new_seen_urls(spark.read.schema(batch.schema).parquet(f"{path}/batch={i}"), seen).write.mode("overwrite").parquet(f"{known}/batch={i}")
+
+    return sink
+
+
 def run(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str) -> None:
     """Runs a stream over all that is there and ends; each micro-batch goes to the sink."""
     query = stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -172,6 +172,26 @@ def test_streams_that_drop_and_flag(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "b")).count() == 4
 
 
+def test_requests_are_answered_in_their_language(spark):
+    docs = spark.createDataFrame([(1, "red seed", "en"), (2, "red seed box", "en"), (3, "roter seed", "de"), (4, "seed blau", "de"), (5, "seed red", None)], "doc_id long, text string, lang string")
+    seeds, runs = spark.createDataFrame([("seed",)], "seed string"), spark.createDataFrame([("en", "Bern"), ("de", "Bern"), ("fr", "Bern")], "language string, location string")
+    got = lambda limit, n: [(r.lang, r["rank"], r.text, r.volume) for r in keywords.requested_terms(docs, requests.keyword_requests(seeds, runs, limit), n).orderBy("lang", "rank").collect()]
+    assert got(10, 2) == [("de", 1, "roter seed", 1), ("de", 2, "seed blau", 1), ("en", 1, "red seed", 2), ("en", 2, "red seed box", 1)]
+    assert got(1, 5) == [("en", 1, "red seed", 2)]  # all other lists of one term have the seed itself, which goes
+
+
+def test_sink_that_learns_urls(spark, tmp_path):
+    batch = lambda *urls: spark.createDataFrame([(u, False, None) for u in urls], "url string, filtered boolean, filtered_at_stage string")
+    out, known = str(tmp_path / "out"), str(tmp_path / "known")
+    spark.createDataFrame([("old",)], "url string").write.parquet(f"{known}/batch=-1")
+    sink = streaming.refreshing_sink(out, known)
+    for i, urls in ((0, ("old", "a", "a")), (1, ("a", "b", None)), (0, ("old", "a", "a")), (1, ("a", "b", None))):  # both come again
+        sink(batch(*urls), i)
+    got = sorted((r.batch, r.url or "", r.filtered_at_stage) for r in spark.read.parquet(out).collect())
+    assert got == [(0, "a", None), (0, "a", None), (0, "old", PREVIOUS_RUN), (1, "", None), (1, "a", PREVIOUS_RUN), (1, "b", None)]
+    assert sorted((r.batch, r.url) for r in spark.read.parquet(known).collect()) == [(-1, "old"), (0, "a"), (1, "b")]
+
+
 def test_runs_are_numbered_in_many_tasks(spark):
     from datetime import datetime, timedelta
 
