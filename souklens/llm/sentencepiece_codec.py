@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from .unigram import MARK, Vocabulary
 
 #: Distinct segments that a task remembers, and pieces in them.
-REMEMBER, PIECES = 100_000, 2_000_000
+REMEMBER, PIECES = 300_000, 2_000_000
 #: Segments that are looked up at a time, bytes of text that make up a slice, and ids that are decoded at a time.
 SEGMENTS, SLICE, IDS = 65_536, 1 << 20, 1 << 18
 
@@ -32,16 +32,24 @@ def shared_prefix(a: str, b: str) -> int:
 
 
 def backward_trie(v: Vocabulary) -> dict:
-    """The pieces from their last character to their first; a node's entry None holds (id, score) of the piece that ends here."""
+    """The pieces from their last character to their first. A node is [next nodes by character, id, score] of the piece that ends here; its id is -1 if none does."""
     root: dict = {}
-    for piece, hit in v.pieces.items():
-        node = root
+    for piece, (i, score) in v.pieces.items():
+        nodes = root
         for c in reversed(piece):
-            node = node.setdefault(c, {})
-        node[None] = hit
+            node = nodes.setdefault(c, [{}, -1, 0.0])
+            nodes = node[0]
+        node[1:] = i, score
     return root
 
 
+class Chunks(dict):
+    """The bytes of each id; none for ids that aren't there."""
+
+    def __missing__(self, i: int | None) -> bytes:
+        return b""
+
+
 def best_paths(words: Iterable[str], v: Vocabulary, trie: dict | None = None) -> Iterator[tuple[str, list[int]]]:
     """Each distinct word with the ids of its best path, in the order of the words.
 
@@ -50,7 +58,7 @@ def best_paths(words: Iterable[str], v: Vocabulary, trie: dict | None = None) ->
     that end at a place are met from the shortest to the longest, so of equal scores the last met stays.
     """
     trie = backward_trie(v) if trie is None else trie
-    pieces, unknown = v.pieces, v.unknown_score
+    unknown = v.unknown_score
     score, start, piece = array("d", [0.0]), array("i", [0]), array("i", [-1])
     before = ""
     for word in sorted(set(words)):
@@ -58,17 +66,16 @@ def best_paths(words: Iterable[str], v: Vocabulary, trie: dict | None = None) ->
         del score[at + 1 :], start[at + 1 :], piece[at + 1 :]
         for end in range(at + 1, len(word) + 1):
             begin = end - 1
-            top, origin, best = (float("-inf") if word[begin] in pieces else score[begin] + unknown), begin, -1
             node = trie.get(word[begin])
+            top, origin, best = (score[begin] + unknown if node is None or node[1] < 0 else float("-inf")), begin, -1
             while node is not None:
-                if None in node:
-                    i, gain = node[None]
-                    if (value := score[begin] + gain) >= top:
-                        top, origin, best = value, begin, i
-                begin -= 1
-                if begin < 0:
+                nodes, i, gain = node
+                if i >= 0 and (value := score[begin] + gain) >= top:
+                    top, origin, best = value, begin, i
+                if not nodes or not begin:
                     break
-                node = node.get(word[begin])
+                begin -= 1
+                node = nodes.get(word[begin])
             score.append(top)
             start.append(origin)
             piece.append(best)
@@ -86,7 +93,7 @@ class Codec:
     def __init__(self, v: Vocabulary):
         self.v, self.trie = v, backward_trie(v)
         self._clear()
-        self.chunks = {i: p.replace(MARK, " ").encode("utf-8", "surrogatepass") for i, p in v.by_id.items()} | {i: bytes([b]) for b, i in enumerate(v.byte_ids)}
+        self.chunks = Chunks({i: p.replace(MARK, " ").encode("utf-8", "surrogatepass") for i, p in v.by_id.items()} | {i: bytes([b]) for b, i in enumerate(v.byte_ids)})
 
     def _clear(self) -> None:
         self.index: dict[str, int] = {}
@@ -132,9 +139,8 @@ class Codec:
 
     def decode(self, ids: np.ndarray | list[int]) -> str:
         """Bytes become characters again (what isn't UTF-8 becomes U+FFFD), marks spaces; the space in front goes. Null and unknown ids stand for nothing."""
-        blank = lambda i: self.chunks.get(i, b"")
         ids = ids.tolist() if isinstance(ids, np.ndarray) and len(ids) <= IDS else ids
-        text = b"".join([b"".join(map(blank, ids[i : i + IDS].tolist() if isinstance(ids, np.ndarray) else ids[i : i + IDS])) for i in range(0, len(ids), IDS)]).decode("utf-8", "replace")
+        text = b"".join([b"".join(map(self.chunks.__getitem__, ids[i : i + IDS].tolist() if isinstance(ids, np.ndarray) else ids[i : i + IDS])) for i in range(0, len(ids), IDS)]).decode("utf-8", "replace")
         return text[1:] if text.startswith(" ") else text
 
 

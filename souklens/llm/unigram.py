@@ -6,6 +6,7 @@ import re
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from operator import itemgetter
 
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
@@ -86,7 +87,7 @@ class Vocabulary:
         return list(self.each_segment(text))
 
     def each_segment(self, text: str | None) -> Iterator[str]:
-        return (m[0] for m in self.segment.finditer(MARK + text.replace(" ", MARK))) if text else iter(())
+        return map(itemgetter(0), self.segment.finditer(MARK + text.replace(" ", MARK))) if text else iter(())
 
     def unknown_ids(self, char: str) -> list[int]:
         return [self.byte_ids[b] for b in char.encode("utf-8", "surrogatepass")] if self.byte_ids else [self.unknown_id]
