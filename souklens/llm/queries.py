@@ -147,13 +147,14 @@ def _secret_sql() -> str:
     patterns = [(secrets.ASSIGN, 1), (secrets.ACCESS, 0), (secrets.HEX, 0), (run, 0)]
     found = " union all ".join(f"select r, {i} ord, '{secrets.KINDS[i]}' kind, regexp_extract_all(t, {quoted(p)}) hits, regexp_extract_all(t, {quoted(p)}, {group}) vals, string_split_regex(t, {quoted(p)}) gaps from d" for i, (p, group) in enumerate(patterns))
     weights = ", ".join(str(secrets.weight(i)) for i in range(1, secrets.WINDOW + 1))
+    limits = " ".join(f"when regexp_matches(v, {quoted(form)}) then {secrets.most_weight(bits)}" for _, form, bits in secrets.CLASSES)
     return f"""with d as (select row_number() over () r, doc_id, coalesce(text, '') t from documents), f as ({found}),
         p as (select r, ord, kind, vals[i] v, (list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(hits[1:i - 1], lambda x: length(x))), 0))::bigint b, b + length(hits[i]) e from (select *, unnest(range(1, len(hits) + 1)) i from f)),
         s as (select * from p where ord in (1, 2) or ord = 0 and length(v) >= {secrets.MIN_VALUE}),
-        c as (select * from p where ord = 3 and regexp_matches(v, '[0-9]') and not regexp_matches(v, {quoted(secrets.ALLOWED)}) and not exists (select 1 from s where s.r = p.r and s.b < p.e and p.b < s.e)),
+        c as (select * from p where ord = 3 and regexp_matches(v, '[0-9]') and not regexp_matches(v, {quoted(secrets.ALLOWED)}) and (regexp_matches(v, {quoted(secrets.ONE_CASE)}) or length(regexp_replace(v, {quoted(secrets.WORDS)}, '', 'g')) > 1) and not exists (select 1 from s where s.r = p.r and s.b < p.e and p.b < s.e)),
         k as (select r, b, i, x, count(*) n from (select r, b, i, unnest(string_split(substr(v, i, {secrets.WINDOW}), '')) x from (select r, b, v, unnest(range(1, length(v) - {secrets.WINDOW} + 2)) i from c)) group by all),
         h as (select r, b, min(total) least from (select r, b, i, sum([{weights}][n]) total from k group by all) group by all),
-        o as (select * from s union all select c.* from c join h using (r, b) where least <= case when regexp_matches(v, '^[0-9a-fA-F]+$') then {secrets.most_weight(secrets.BITS["hex"])} else {secrets.most_weight(secrets.BITS["base64"])} end)
+        o as (select * from s union all select c.* from c join h using (r, b) where least <= case {limits} end)
         select doc_id, count(*) filter (ord = 0) n_assign, count(*) filter (ord = 1) n_access, count(*) filter (ord = 2) n_hex,
             sha256(coalesce(string_agg(kind || ':' || b || ':' || e, ',' order by b, ord) filter (ord < 3), '')) base_sha256, coalesce(string_agg(kind || ':' || b || ':' || e, ',' order by b, ord), '') spans
         from d left join o using (r) group by r, doc_id"""

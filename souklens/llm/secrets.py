@@ -15,13 +15,16 @@ KINDS = ("assign", "access", "hex", "entropy")
 MIN_VALUE = 8
 
 #: Candidates for entropy: unbroken runs of LEAST characters or more that hold a digit.
-LEAST, WINDOW = 24, 24
+LEAST, WINDOW = 20, 20
 RUN = "A-Za-z0-9+/_-"
 CANDIDATE = rf"(?<![{RUN}])(?=[A-Za-z+/_-]*+[0-9])[{RUN}]{{{LEAST},}}+"
-#: Bits for each character that a window needs, by character class: hexadecimal digits, and all others.
-BITS = {"hex": 3.0, "base64": 4.0}
-#: Runs that are no secrets: numbers, identifiers in 8-4-4-4-12 form, dates and times, words joined by strokes with a number, documented sample keys.
-ALLOWED = (r"^[0-9+/_-]+$|^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$|^[a-z]+([-_/][a-z]+)*[-_/]?[0-9]*$|EXAMPLE|example")
+#: Runs that are no secrets: numbers, identifiers in 8-4-4-4-12 form, one lower-case word with a number, documented sample keys.
+ALLOWED = r"^[0-9+/_-]+$|^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$|^[a-z]+[0-9]*$|EXAMPLE|example"
+#: Nor are paths and names: runs of letters of both cases or with signs of which words, numbers and signs leave one letter at most.
+ONE_CASE, WORDS = "^([0-9a-z]+|[0-9A-Z]+)$", "[A-Z]?[a-z]{2,}|[0-9+/_-]+"
+#: Character classes: name, form of the whole run, and the bits for each character that a window needs; the first form that fits counts.
+#: Each class has its own limit, since a window of 20 out of 16, 32 or 36 characters can't reach what one out of 62 or 66 does.
+CLASSES = (("hex", "^[0-9a-fA-F]+$", 2.9), ("one_case", ONE_CASE, 3.4), ("both_cases", "^[0-9A-Za-z]+$", 3.6), ("signs", "^", 3.9))
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-"
 SCALE = 1_000_000_000
 
@@ -36,6 +39,18 @@ def most_weight(bits: float) -> int:
     return round(WINDOW * (math.log2(WINDOW) - bits) * SCALE)
 
 
+def allowed(value: Column) -> Column:
+    return value.rlike(ALLOWED) | (~value.rlike(ONE_CASE) & (F.length(F.regexp_replace(value, WORDS, "")) <= 1))
+
+
+def limit(value: Column) -> Column:
+    """most_weight of the class of a run."""
+    out = F.lit(most_weight(CLASSES[-1][2]))
+    for _, form, bits in reversed(CLASSES[:-1]):
+        out = F.when(value.rlike(form), most_weight(bits)).otherwise(out)
+    return out
+
+
 def _with_running(df: DataFrame, values: Column, step, into: str) -> DataFrame:
     """df with `into`: what step(total, value) has come to at each place of `values`, longs from 0; step has to be associative (a sum, a maximum).
 
@@ -118,9 +133,10 @@ def scanned(docs: DataFrame, text: str = "text", into: str = "secrets") -> DataF
     """docs with one array column `into` of structs (start, ord, end, kind, value), sorted by start, then kind.
 
     Kinds: assign (a name such as password, a sign and a value of eight characters or more), access (AKIA...), hex (32
-    digits or more), and entropy: runs of 24 characters or more, in which some window of 24 has the bits for each
-    character that its class needs, unless they are on the allow list or touch a span of another kind. Positions count
-    code points, ends are exclusive. A null or empty text has an empty array. Whole texts, no shuffle, no user function;
+    digits or more), and entropy: runs of LEAST characters or more with a digit, in which some window of WINDOW has the
+    bits for each character that the run's class needs (CLASSES: hexadecimal digits; digits with letters of one case;
+    with letters of both; with other signs), unless they are on the allow list or touch a span of another kind. Runs of
+    letters alone and shorter ones are not looked at. Positions count code points, ends are exclusive. A null or empty text has an empty array. Whole texts, no shuffle, no user function;
     the work grows with a text's length, and with its spans to the power of 1.5. Repeated rows stay, an empty table gives
     an empty one. All other columns pass through (but `into` itself and names that start with "__s_").
     """
@@ -130,12 +146,13 @@ def scanned(docs: DataFrame, text: str = "text", into: str = "secrets") -> DataF
         a = _with_spans(a, t, pattern, kind, f"__s_{kind}", kind == "assign")
     a = a.withColumn("__s_assign", F.filter("__s_assign", lambda x: F.length(x["value"]) >= MIN_VALUE))
     a = a.withColumn("__s_base", F.sort_array(F.concat("__s_assign", "__s_access", "__s_hex")))
-    a = a.withColumn("__s_entropy", F.filter("__s_entropy", lambda x: ~x["value"].rlike(ALLOWED)))
+    a = a.withColumn("__s_entropy", F.filter("__s_entropy", lambda x: ~allowed(x["value"])))
     a = _apart(a, "__s_entropy", "__s_base", "__s_runs")
-    limit = lambda v: F.when(v.rlike("^[0-9a-fA-F]+$"), most_weight(BITS["hex"])).otherwise(most_weight(BITS["base64"]))
     a = a.withColumn("__s_runs", F.filter("__s_runs", lambda x: _least_window_weight(x["value"]) <= limit(x["value"])))
     a = a.withColumn("__s_all", F.sort_array(F.concat("__s_base", "__s_runs")))
-    return a.select(*[docs[c] for c in docs.columns], F.col("__s_all").alias(into))
+    # Always true, but the planner can't know: a filter on `into` must not be pushed down with all these expressions written out in it again and again.
+    held = F.when(F.monotonically_increasing_id() >= 0, F.col("__s_all"))
+    return a.select(*[docs[c] for c in docs.columns], held.alias(into))
 
 
 def redacted(docs: DataFrame, text: str = "text", mask: str = "[SECRET]") -> DataFrame:

@@ -303,6 +303,20 @@ def test_texts_with_very_many_secrets(spark):
     assert secrets.redacted(few).first().text == re.sub(r"token=\S+|AKIA\S+|zX9\S+|secret: \S+", "[SECRET]", "".join(parts[:500]))
 
 
+def test_classes_of_secrets(spark):
+    r = random.Random(3)
+    small, big, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    alphabets = {"base32": big + "234567", "base36": small + digits, "base62": big + small + digits, "base64": big + small + digits + "+/", "hex": digits + "ABCDEF"}
+    keys = [(f"{name} {length}", "".join(r.choice(a) for _ in range(length))) for name, a in alphabets.items() for length in (20, 40) for _ in range(400)]
+    keys = [(c, k) for c, k in keys if any(x.isdigit() for x in k)]
+    plain = ["spring-collection-2019-linen-shirts", "getHttpResponseHeaders2Map", "images/products/2019/shoes_summer", "00000000000000012345abc", "2019-11-30T10:20:30", "aaaaaaaaaaaaaaaaaaaaaaaa1", "letters" * 5, "X1b" * 7, "docs/Release-2019/summary_final-Version3", "AbstractBeanFactory2Impl", "user_profile-settings/v2/update", "ab-" * 40_000 + "1"]
+    df = spark.createDataFrame([*[(c, f"the key {k} is") for c, k in keys], *[("plain", t) for t in plain]], "kind string, text string")
+    found = {x.kind: x["count"] for x in secrets.scanned(df).where(F.size("secrets") == 1).groupBy("kind").count().collect()}
+    of = Counter(c for c, _ in keys)
+    shares = {c: found.get(c, 0) / n for c, n in of.items()}
+    assert "plain" not in found and all(x >= (0.99 if c.endswith("40") else 0.75 if c.startswith("base64") else 0.94) for c, x in shares.items()), (found, shares)
+
+
 def test_window_entropy(spark):
     for value in ("ab" * 20, "zX9kQ2mB7vN4cR8tY1wL5pJ3hG6fD0sA", "a" * 24):
         got = spark.createDataFrame([(value,)], "v string").select(secrets._least_window_weight(F.col("v")).alias("w")).first().w
