@@ -5,6 +5,7 @@ import random
 import re
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -538,20 +539,54 @@ def test_mixing(spark, docs, empty, monkeypatch):
     assert mixing.mixed(odd, tokens=F.col("n")).count() == 0
 
 
-def test_pipeline(spark, tmp_path):
+def test_pipeline(spark, tmp_path, monkeypatch, library):
+    """All five stages against SQL (quality), all pairs, budgets and prefixes by hand, and another tokeniser; the permuted values themselves are the operator's."""
     import corpus_pipeline
-
-    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
-    docs.write.parquet(str(tmp_path / "documents.parquet"))
-    step = docs
-    for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
-        step = stage(spark, step, str(tmp_path))
-        assert i == len(corpus_pipeline.STAGES) - 1 or step.columns == docs.columns
-    got = {r.doc_id: r for r in step.collect()}
-    good = {r.doc_id for r in quality.measured(docs).where("quality.kept").collect()}
-    groups = {r.doc_id: r.component_id for r in ngram_jaccard.grouped(docs.where(F.col("doc_id").isin(sorted(good)))).collect()}
+    from souklens.llm import queries as q
+
+    rows = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("doc_id < 80").collect()]
+    base = [(t, lang, source) for _, t, lang, source, _ in rows if len(words_of(t)) > 60][:8]
+    mails = [f"person{i}@mail{i}.example.org" for i in range(8)]
+    more = [(t + f" write to {mails[i]} now", lang, source) for i, (t, lang, source) in enumerate(base)] + [(t.upper(), lang, source) for t, lang, source in base[:3]] + [(None, "en", "src1"), ("", None, None), (base[0][0], None, None)]
+    rows += [(10_000 + i, t, lang, source, len(t or "")) for i, (t, lang, source) in enumerate(more)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "documents.parquet"))
+
+    def same_columns(stage):
+        def run(spark, docs, sf_dir):
+            out = stage(spark, docs, sf_dir)
+            assert out.columns == docs.columns
+            return out
+
+        return run
+
+    last = len(corpus_pipeline.STAGES) - 1
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [(n, f if i == last else same_columns(f)) for i, (n, f) in enumerate(corpus_pipeline.STAGES)])
+    got = {r.doc_id: r for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
+
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    good = {i for i, kept in con.sql(f"select doc_id, kept from ({q.oracle_sql()['op4_quality_rules']})").fetchall() if kept}
+    left = sorted(r for r in rows if r[0] in good)
+    groups, links = by_hand(["".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in r[1]) for r in left])
+    left = [r for i, r in enumerate(left) if groups[i][0] == i]
     names = pii.Pseudonyms(corpus_pipeline.pii_key(spark))
-    texts = {r.doc_id: r.text for r in docs.collect()}
-    assert set(got) <= {d for d in good if groups[d] == d} and len(got) > 20
-    assert all(r.round_trip and r.text == names.replaced(texts[d])[0] and r.n_chars == len(r.text) for d, r in got.items())
-    assert sorted(r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).select("doc_id").collect()) == sorted(got)
+    left = [(i, names.replaced(t)[0], lang, source) for i, t, lang, source, _ in left]
+    h = spark.createDataFrame(left, "doc_id long, text string, lang string, source string").select("doc_id", F.xxhash64(F.lit(1), F.lit(0), "doc_id", F.xxhash64("text")).alias("h"))
+    place, leaves = {r.doc_id: r.h for r in h.collect()}, {}
+    for r in left:
+        domain = next((d for form, d in mixing.DOMAINS if re.search(form, r[3] or "")), "other")
+        leaves.setdefault((domain, r[2] or "", r[3] or ""), []).append((place[r[0]], r[0], len(words_of(r[1]))))
+    size = {k: sum(n for *_, n in xs) for k, xs in leaves.items()}
+    share, want = shares_by_hand(size, 0.5 * sum(size.values()), mixing.WEIGHTS), set()
+    for k, xs in leaves.items():
+        before = 0
+        for _, i, n in sorted(xs):
+            if before < share[k]:
+                want.add(i)
+            before += n
+    texts = {i: t for i, t, *_ in left}
+    assert got.keys() == want and len(links) >= 10 and 20 < len(want) < len(left) < len(good) < len(rows)
+    for i, r in got.items():
+        assert r.text == texts[i] and r.round_trip and r.n_chars == len(r.text) and r.n_tokens == len(r.ids) and not any(m in r.text for m in mails)
+        assert r.text[:1] == " " or len(r.text) >= 3000 or library.encode(r.text, add_special_tokens=False).ids == list(r.ids)
