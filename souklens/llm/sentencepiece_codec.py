@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from array import array
 from collections.abc import Iterable, Iterator
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -103,7 +102,7 @@ class Codec:
         """The ids of all segments one after the other, and how many each has."""
         if len(self.index) > REMEMBER or len(self.flat) > PIECES:
             self._clear()
-        for s, ids in best_paths((s for s in segments if s not in self.index), self.v, self.trie):
+        for s, ids in best_paths(set(segments).difference(self.index), self.v, self.trie):
             self.index[s] = len(self.ends) - 1
             self.flat.extend(ids)
             self.ends.append(len(self.flat))
@@ -114,7 +113,7 @@ class Codec:
         return flat[places] if len(places) else np.empty(0, np.int32), n
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids one after the other, and how many each text has. At most SEGMENTS segments are looked at together, whatever the texts' lengths."""
+        """All ids one after the other, and how many each text has. SEGMENTS segments and a block's are looked at together at most, whatever the texts' lengths."""
         parts, per_text = [np.empty(0, np.int32)], np.zeros(len(texts), np.int64)
         segments, owners = [], []  # owners: (text, how many segments)
 
@@ -127,8 +126,7 @@ class Codec:
             owners.clear()
 
         for t, text in enumerate(texts):
-            found = self.v.each_segment(text)
-            while more := list(islice(found, SEGMENTS - len(segments))):
+            for more in self.v.segment_lists(text):
                 segments += more
                 owners.append((t, len(more)))
                 if len(segments) >= SEGMENTS:

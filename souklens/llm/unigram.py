@@ -6,12 +6,14 @@ import re
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from operator import itemgetter
+from itertools import chain
 
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
 #: A vocabulary goes to every executor; larger ones are refused.
 MAX_PIECES = 2_000_000
+#: Characters that are cut into segments at a time.
+BLOCK = 1 << 16
 
 
 def _fields(data: bytes):
@@ -51,6 +53,7 @@ class Vocabulary:
     unknown_score: float = 0.0
     longest: int = 1
     segment: re.Pattern = field(default=None, repr=False)
+    cuts: bool = True  # whether segments end at marks
 
     @staticmethod
     def load(path: str) -> Vocabulary:
@@ -76,7 +79,7 @@ class Vocabulary:
         by_id = by_id or {i: p for p, (i, _) in pieces.items()}
         v = Vocabulary(pieces, by_id, byte_ids or [], unknown_id, min((s for _, s in pieces.values()), default=0.0) - UNKNOWN_PENALTY, max(map(len, pieces), default=1))
         if any(MARK in p.lstrip(MARK) for p in pieces):
-            v.segment = re.compile(r"(?s).+")  # some piece crosses words: a text is one segment
+            v.cuts, v.segment = False, re.compile(r"(?s).+")  # some piece crosses words: a text is one segment
         else:
             alone = "".join(c for c in "\n\t\r" if not any(c in p and len(p) > 1 for p in pieces))
             v.segment = re.compile(f"{MARK}*[^{MARK}{alone}]+|{MARK}+" + (f"|[{alone}]" if alone else ""))
@@ -87,7 +90,18 @@ class Vocabulary:
         return list(self.each_segment(text))
 
     def each_segment(self, text: str | None) -> Iterator[str]:
-        return map(itemgetter(0), self.segment.finditer(MARK + text.replace(" ", MARK))) if text else iter(())
+        return chain.from_iterable(self.segment_lists(text))
+
+    def segment_lists(self, text: str | None) -> Iterator[list[str]]:
+        """The segments in lists, one for each BLOCK characters or so of the text; blocks end before a mark that follows another character, where a segment ends in any case."""
+        marked, at = MARK + text.replace(" ", MARK) if text else "", 0
+        while at < len(marked):
+            end = at + BLOCK if self.cuts else len(marked)
+            while (end := marked.find(MARK, end)) > 0 and marked[end - 1] == MARK:
+                end += 1
+            end = end if end > 0 else len(marked)
+            yield self.segment.findall(marked, at, end)
+            at = end
 
     def unknown_ids(self, char: str) -> list[int]:
         return [self.byte_ids[b] for b in char.encode("utf-8", "surrogatepass")] if self.byte_ids else [self.unknown_id]

@@ -356,6 +356,7 @@ def test_token_counts_and_ids(spark, vocabulary, library):
 def test_long_texts_are_encoded_in_parts(spark, vocabulary, monkeypatch):
     monkeypatch.setattr(sentencepiece_codec, "SEGMENTS", 7)
     monkeypatch.setattr(sentencepiece_codec, "REMEMBER", 20)
+    monkeypatch.setattr(unigram, "BLOCK", 5)
     parts, whole = sentencepiece_codec.Codec(vocabulary), {t: [i for _, s in [(0, x) for x in vocabulary.segments(t)] for i in dict(sentencepiece_codec.best_paths([s], vocabulary))[s]] for t in TEXTS}
     ids, sizes = parts.encode([None, *TEXTS, "", *TEXTS])
     assert sizes.tolist() == [0, *map(len, whole.values()), 0, *map(len, whole.values())] and ids.tolist() == 2 * [i for x in whole.values() for i in x]
