@@ -7,7 +7,7 @@ import logging
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, licenses, mixing, ngram_jaccard, pii, quality, secrets, sentencepiece_codec, token_count, url_filter
+from . import embedding_dedup, lexical_search, licenses, mixing, ngram_jaccard, pii, quality, secrets, sentencepiece_codec, token_count, url_filter
 from .common import table
 
 log = logging.getLogger(__name__)
@@ -70,6 +70,10 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("s")).alias("spans"))
 
 
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -77,7 +81,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_pii, op2_ngram_jaccard, op3_url_filters, op4_quality_rules, op5_license_scans, op6_token_counts, op7_embedding_dedup, op8_sentencepiece, op9_mixing, op10_secret_scans, pipeline)}
+    return {f.__name__: f for f in (op1_pii, op2_ngram_jaccard, op3_url_filters, op4_quality_rules, op5_license_scans, op6_token_counts, op7_embedding_dedup, op8_sentencepiece, op9_mixing, op10_secret_scans, op13_lexical_search, pipeline)}
 
 
 #: Words of a text, with A-Z in lower case for those that compare words.
@@ -160,7 +164,20 @@ def _secret_sql() -> str:
         from d left join o using (r) group by r, doc_id"""
 
 
+def _search_sql() -> str:
+    found = lambda text: f"regexp_extract_all(translate(coalesce({text}, ''), '{lexical_search.UPPER}', '{lexical_search.LOWER}'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+    return f"""with d as (select row_number() over () r, doc_id, {found('text')} w from documents),
+        i as (select distinct item_id, t from (select item_id, unnest({found('text')}) t from benchmark)),
+        tf as (select r, t, count(*) tf from (select r, unnest(w) t from d) where t in (select t from i) group by 1, 2),
+        c as (select count(*) filter (len(w) > 0) docs, sum(len(w))::bigint total from d),
+        h as (select t, floor(1000 * ln((2 * docs + 2)::double / (2 * count(*) + 1)))::bigint weight from tf, c group by t, docs),
+        m as (select r, doc_id, 100 - 90 + (90 * len(w) * docs) // total m from d, c where len(w) > 0),
+        s as (select item_id, r, doc_id, sum(weight * ((1000000000 * tf) // (1000 * tf + 8 * m)))::bigint score from i join tf using (t) join h using (t) join m using (r) group by all)
+        select item_id, rank::int as rank, doc_id, score from (select *, row_number() over (partition by item_id order by score desc, doc_id nulls last) as rank from s where score > 0) where rank <= 10"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_ngram_jaccard": _JACCARD_SQL, "op3_url_filters": _url_sql(), "op4_quality_rules": _quality_sql(), "op5_license_scans": _license_sql(), "op7_embedding_dedup": _EMBEDDING_SQL, "op10_secret_scans": _secret_sql(),
+        "op13_lexical_search": _search_sql(),
     }
