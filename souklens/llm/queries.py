@@ -7,7 +7,7 @@ import logging
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, lexical_search, licenses, mixing, ngram_jaccard, pii, quality, secrets, sentencepiece_codec, token_count, url_filter
+from . import embedding_dedup, lexical_search, licenses, mixing, ngram_jaccard, pii, quality, secrets, sentencepiece_codec, token_count, url_filter, vector_search
 from .common import table
 
 log = logging.getLogger(__name__)
@@ -70,6 +70,10 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("s")).alias("spans"))
 
 
+def op11_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_search.searched(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical_search.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -81,7 +85,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_pii, op2_ngram_jaccard, op3_url_filters, op4_quality_rules, op5_license_scans, op6_token_counts, op7_embedding_dedup, op8_sentencepiece, op9_mixing, op10_secret_scans, op13_lexical_search, pipeline)}
+    return {f.__name__: f for f in (op1_pii, op2_ngram_jaccard, op3_url_filters, op4_quality_rules, op5_license_scans, op6_token_counts, op7_embedding_dedup, op8_sentencepiece, op9_mixing, op10_secret_scans, op11_topk_search, op13_lexical_search, pipeline)}
 
 
 #: Words of a text, with A-Z in lower case for those that compare words.
@@ -164,6 +168,11 @@ def _secret_sql() -> str:
         from d left join o using (r) group by r, doc_id"""
 
 
+_TOPK_SQL = """with e as (select row_number() over () r, vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) v from embeddings where embedding is not null and len(list_filter(embedding, lambda x: x is not null and isfinite(x))) = len(embedding)),
+    s as (select q.r, q.vec_id query_id, c.vec_id, c.r other, list_inner_product(q.v, c.v)::bigint score from e q join e c on q.r <> c.r and len(q.v) = len(c.v) where q.vec_id % 50 = 0)
+    select query_id, rank::int as rank, vec_id, score from (select *, row_number() over (partition by r order by score desc, vec_id nulls last, other) as rank from s) where rank <= 5"""
+
+
 def _search_sql() -> str:
     found = lambda text: f"regexp_extract_all(translate(coalesce({text}, ''), '{lexical_search.UPPER}', '{lexical_search.LOWER}'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
     return f"""with d as (select row_number() over () r, doc_id, {found('text')} w from documents),
@@ -179,5 +188,5 @@ def _search_sql() -> str:
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_ngram_jaccard": _JACCARD_SQL, "op3_url_filters": _url_sql(), "op4_quality_rules": _quality_sql(), "op5_license_scans": _license_sql(), "op7_embedding_dedup": _EMBEDDING_SQL, "op10_secret_scans": _secret_sql(),
-        "op13_lexical_search": _search_sql(),
+        "op11_topk_search": _TOPK_SQL, "op13_lexical_search": _search_sql(),
     }
