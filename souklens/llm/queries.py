@@ -7,7 +7,7 @@ import logging
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, lexical_search, licenses, mixing, ngram_jaccard, pii, quality, secrets, sentencepiece_codec, token_count, url_filter, vector_search
+from . import alignment, embedding_dedup, lexical_search, licenses, mixing, ngram_jaccard, pii, quality, secrets, sentencepiece_codec, token_count, url_filter, vector_search
 from .common import table
 
 log = logging.getLogger(__name__)
@@ -15,6 +15,7 @@ log = logging.getLogger(__name__)
 #: The setting that holds the key of the pseudonyms, and the key of tests and trials, which whoever has this file knows.
 KEY_SETTING, KEY = "spark.souklens.pii.key", b"a key for tests alone"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+BYTE_BPE = "/opt/tokenizers/byte_bpe_50k.json"
 
 
 def pii_key(spark: SparkSession) -> bytes:
@@ -74,6 +75,10 @@ def op11_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_search.searched(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.aligned(table(spark, sf_dir, "documents"), BYTE_BPE, MODEL)
+
+
 def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical_search.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -85,7 +90,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_pii, op2_ngram_jaccard, op3_url_filters, op4_quality_rules, op5_license_scans, op6_token_counts, op7_embedding_dedup, op8_sentencepiece, op9_mixing, op10_secret_scans, op11_topk_search, op13_lexical_search, pipeline)}
+    return {f.__name__: f for f in (op1_pii, op2_ngram_jaccard, op3_url_filters, op4_quality_rules, op5_license_scans, op6_token_counts, op7_embedding_dedup, op8_sentencepiece, op9_mixing, op10_secret_scans, op11_topk_search, op12_alignment, op13_lexical_search, pipeline)}
 
 
 #: Words of a text, with A-Z in lower case for those that compare words.
