@@ -25,7 +25,6 @@ ONE_CASE, WORDS = "^([0-9a-z]+|[0-9A-Z]+)$", "[A-Z]?[a-z]{2,}|[0-9+/_-]+"
 #: Character classes: name, form of the whole run, and the bits for each character that a window needs; the first form that fits counts.
 #: Each class has its own limit, since a window of 20 out of 16, 32 or 36 characters can't reach what one out of 62 or 66 does.
 CLASSES = (("hex", "^[0-9a-fA-F]+$", 2.9), ("one_case", ONE_CASE, 3.4), ("both_cases", "^[0-9A-Za-z]+$", 3.6), ("signs", "^", 3.9))
-ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-"
 SCALE = 1_000_000_000
 
 
@@ -109,24 +108,23 @@ def _apart(df: DataFrame, runs: str, base: str, into: str) -> DataFrame:
 
 
 def _least_window_weight(value: Column) -> Column:
-    """The smallest sum of weights over all windows of a candidate, by counts that change by one character in and one out."""
-    table = F.array(*[F.lit(weight(i)) for i in range(WINDOW + 2)])
-    of = lambda count: F.element_at(table, count + 1)
-    places = F.transform(F.split(value, ""), lambda c: F.position(c, F.lit(ALPHABET)))
-    begin = F.struct(F.transform(F.sequence(F.lit(1), F.lit(len(ALPHABET))), lambda _: F.lit(0)).alias("counts"), F.lit(0).cast("long").alias("sum"), F.lit(2**62).cast("long").alias("least"))
-
-    def step(acc: Column, x: Column) -> Column:
-        i, new, old = x["i"], x["new"], x["old"]
-        c_old = F.when(old > 0, F.element_at(acc["counts"], F.greatest(old, F.lit(1)))).otherwise(F.lit(0))
-        after = acc["sum"] + F.when(old > 0, of(F.greatest(c_old - 1, F.lit(0))) - of(c_old)).otherwise(F.lit(0).cast("long"))
-        c_new = F.element_at(acc["counts"], new) - F.when(old == new, 1).otherwise(0)
-        total = after + of(c_new + 1) - of(c_new)
-        counts = F.transform(acc["counts"], lambda c, j: c + F.when(j + 1 == new, 1).otherwise(0) - F.when(j + 1 == old, 1).otherwise(0))
-        return F.struct(counts.alias("counts"), total.alias("sum"), F.when(i >= WINDOW, F.least(acc["least"], total)).otherwise(acc["least"]).alias("least"))
-
-    shifted = F.concat(F.array_repeat(F.lit(0), WINDOW), places)
-    steps = F.transform(places, lambda p, i: F.struct((i + 1).alias("i"), p.alias("new"), F.element_at(shifted, i + 1).alias("old")))
-    return F.aggregate(steps, begin, step, lambda acc: acc["least"])
+    """The smallest sum of weights over all windows of a candidate, by counts that change by one character out and one in.
+
+    The state is the last WINDOW characters, in which the counts of the one that goes and the one that comes are taken,
+    so the work for each character does not depend on the run's length. Each step compares the sum of the step before,
+    since an expression that is used twice in a lambda is worked out twice.
+    """
+    gains = F.array(*[F.lit(weight(i) - weight(i - 1)) for i in range(1, WINDOW + 1)])  # of the i-th equal character in a window
+    times = lambda xs, c: F.size(F.filter(xs, lambda x: x == c))
+    least = lambda acc: F.when(acc["n"] >= WINDOW, F.least(acc["least"], acc["sum"])).otherwise(acc["least"])
+    begin = F.struct(F.array_repeat(F.lit(""), WINDOW).alias("last"), F.lit(0).alias("n"), F.lit(0).cast("long").alias("sum"), F.lit(2**62).cast("long").alias("least"))
+
+    def step(acc: Column, c: Column) -> Column:
+        out = F.when(acc["n"] >= WINDOW, F.element_at(gains, times(acc["last"], F.element_at(acc["last"], 1)))).otherwise(F.lit(0).cast("long"))
+        into = F.element_at(gains, times(F.slice(acc["last"], 2, WINDOW - 1), c) + 1)
+        return F.struct(F.concat(F.slice(acc["last"], 2, WINDOW - 1), F.array(c)).alias("last"), (acc["n"] + 1).alias("n"), (acc["sum"] - out + into).alias("sum"), least(acc).alias("least"))
+
+    return F.aggregate(F.split(value, ""), begin, step, least)
 
 
 def scanned(docs: DataFrame, text: str = "text", into: str = "secrets") -> DataFrame:
@@ -136,9 +134,10 @@ def scanned(docs: DataFrame, text: str = "text", into: str = "secrets") -> DataF
     digits or more), and entropy: runs of LEAST characters or more with a digit, in which some window of WINDOW has the
     bits for each character that the run's class needs (CLASSES: hexadecimal digits; digits with letters of one case;
     with letters of both; with other signs), unless they are on the allow list or touch a span of another kind. Runs of
-    letters alone and shorter ones are not looked at. Positions count code points, ends are exclusive. A null or empty text has an empty array. Whole texts, no shuffle, no user function;
-    the work grows with a text's length, and with its spans to the power of 1.5. Repeated rows stay, an empty table gives
-    an empty one. All other columns pass through (but `into` itself and names that start with "__s_").
+    letters alone and shorter ones are not looked at. Positions count code points, ends are exclusive. A null or empty
+    text has an empty array. Whole texts, no shuffle, no user function; the work grows with a text's length, however
+    long a single run is, and with its spans to the power of 1.5. Repeated rows stay, an empty table gives an empty
+    one. All other columns pass through (but `into` itself and names that start with "__s_").
     """
     t = F.coalesce(F.col(text), F.lit(""))
     a = docs

@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import time
 from collections import Counter
 
 import duckdb
@@ -319,11 +320,25 @@ def test_classes_of_secrets(spark):
 
 
 def test_window_entropy(spark):
-    for value in ("ab" * 20, "zX9kQ2mB7vN4cR8tY1wL5pJ3hG6fD0sA", "a" * 24):
+    r = random.Random(8)
+    for value in ("ab" * 20, "zX9kQ2mB7vN4cR8tY1wL5pJ3hG6fD0sA", "a" * 24, "abcdefghij0123456789", *["".join(r.choice("abcdeF0+/_-") for _ in range(n)) for n in (20, 21, 39, 3000)]):
         got = spark.createDataFrame([(value,)], "v string").select(secrets._least_window_weight(F.col("v")).alias("w")).first().w
         assert got == min(sum(secrets.weight(c) for c in Counter(value[i : i + secrets.WINDOW]).values()) for i in range(len(value) - secrets.WINDOW + 1))
 
 
+def test_very_long_run(spark):
+    """An unbroken run, such as an image within a page, takes time in proportion to its length."""
+    r, took = random.Random(9), {}
+    text = "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(1_000_000))
+    for n in (10_000, 100_000, 1_000_000):
+        df = spark.createDataFrame([(1, f"data:image/png;base64, {text[:n]} end")], "doc_id long, text string")
+        t = time.perf_counter()
+        (found,) = secrets.scanned(df).first().secrets
+        took[n] = time.perf_counter() - t
+        assert (found.kind, found.start, found.end) == ("entropy", 23, 23 + n)
+    assert took[1_000_000] < 30 and took[1_000_000] < 100 * max(took[10_000], 0.3)
+
+
 @pytest.fixture(scope="module")
 def vocabulary():
     return unigram.Vocabulary.load(MODEL)
