@@ -13,9 +13,16 @@ PRICE = r"([$€£] ?[0-9]+(?:[.,][0-9]{2})?|[0-9]+(?:[.,][0-9]{2})? ?(?:€|EUR
 BUY = r"(?i)\b(buy|cart|shop)\b"
 
 
+def one_for_each_url(details: DataFrame) -> DataFrame:
+    """url and the fields of details: of several rows with one url the one with the most fields; of equally full ones the largest by the fields in order."""
+    images = F.coalesce("product_images", F.array().cast("array<string>"))
+    there = sum(F.col(c).isNotNull().cast("int") for c in FIELDS if c != "product_images") + (F.size(images) > 0).cast("int")
+    return details.groupBy("url").agg(F.max(F.struct(there.alias("n"), *FIELDS)).alias("x")).select("url", *[F.col(f"x.{c}").alias(c) for c in FIELDS])
+
+
 def with_details(products: DataFrame, details: DataFrame) -> DataFrame:
-    """Products with the fields of details by url; a product without details keeps nulls and stays unflagged. details has one row for each url."""
-    return products.drop(*FIELDS).join(details.select("url", *FIELDS), "url", "left")
+    """Products with the fields of details by url; a product without details keeps nulls and stays unflagged. A url with several details has the fullest, so that no hit is multiplied."""
+    return products.drop(*FIELDS).join(one_for_each_url(details), "url", "left")
 
 
 def _plain(html: Column) -> Column:

@@ -13,6 +13,11 @@ def sites(hosts: DataFrame) -> DataFrame:
     return hosts.agg(F.array_sort(F.collect_list(F.struct("ord", "domains"))).alias("x")).select(F.flatten(F.col("x.domains")).alias("sites"))
 
 
+def run_sites(hosts: DataFrame) -> DataFrame:
+    """run_id and all domains of its hosts in order, from rows (run_id, ord, domains)."""
+    return hosts.groupBy("run_id").agg(F.array_sort(F.collect_list(F.struct("ord", "domains"))).alias("x")).select("run_id", F.flatten(F.col("x.domains")).alias("sites"))
+
+
 def search_string(term: Column, site_list: Column) -> Column:
     """The term, restricted to sites if there are any."""
     return F.when(F.size(site_list) > 0, F.concat(term, F.lit(" site:"), F.array_join(site_list, " OR site:"))).otherwise(term)

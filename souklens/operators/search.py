@@ -39,14 +39,18 @@ def search_pages(pages: DataFrame, requests: DataFrame) -> DataFrame:
     return ranked.select("search_id", "page_id", "url", "score", "position")
 
 
-def products(hits: DataFrame, requests: DataFrame, country: str, marketplaces: DataFrame | None = None, excluded: DataFrame | None = None) -> DataFrame:
+def products(hits: DataFrame, requests: DataFrame, country: str | None, marketplaces: DataFrame | None = None, excluded: DataFrame | None = None) -> DataFrame:
     """Hits (search_id, position, url) as product records: domain, marketplace, country flag; excluded hosts are gone.
 
-    requests: search_id, search_ord, search_term, search_term_type.
+    requests: search_id, search_ord, search_term, search_term_type, and run_id and country where they differ by search:
+    without `country` each search has its own, and tables of hosts with a run_id hold for that run alone.
     """
-    rows = hits.join(requests.select("search_id", "search_ord", "search_term", "search_term_type"), "search_id").withColumn("domain", domain(F.col("url")))
-    rows = with_marketplace(rows, marketplaces).withColumns({"filtered": F.lit(False), "filtered_at_stage": F.lit(None).cast("string")})
-    return exclude_hosts(flagged(rows, ~in_country(F.col("url"), F.lit(country)), COUNTRY), excluded)
+    own = [c for c in ("run_id", "country") if c in requests.columns]
+    by = lambda table: ["run_id"] if table is not None and "run_id" in table.columns else []
+    code = F.lit(country) if country else F.col("country")
+    rows = hits.join(requests.select("search_id", "search_ord", "search_term", "search_term_type", *own), "search_id").withColumn("domain", domain(F.col("url")))
+    rows = with_marketplace(rows, marketplaces, by=by(marketplaces)).withColumns({"filtered": F.lit(False), "filtered_at_stage": F.lit(None).cast("string")})
+    return exclude_hosts(flagged(rows, ~in_country(F.col("url"), code), COUNTRY), excluded, by=by(excluded)).drop("country")
 
 
 def hit_counts(hits: DataFrame) -> DataFrame:

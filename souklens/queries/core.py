@@ -20,6 +20,13 @@ HOSTS = [("Alpha", "example.com, Shop.example.com"), ("Beta", ["m.ththth.example
 EXCLUDED = [("Bad", "example.net, example.org")]
 SEEDS = ("attion", "thtion", "thanea")
 LANGUAGES = [("English", "en"), ("German", "DE"), ("French", "fr"), ("Spanish", "es-old"), ("Spanish", "es")]
+#: Runs that differ in country, allowed hosts, excluded hosts and prompts: run_id, search_term, language, location, language_code, location_code.
+RUNS = [("net", "attion", "English", "NATION_5", None, ""), ("org", "thtion", "German", "NATION_3", "", "ORG"), ("ht", "thanea", "French", "NATION_2", "FR", None)]
+#: Countries by nation: those of key 0, 1, 2, 3 and so on in turn.
+CODES = ("org", "net", "ht", "th")
+RUN_HOSTS = [("net", 0, "Alpha", ["example.com", "Shop.example.com"]), ("net", 1, "Beta", ["example.com"]), ("ht", 0, "Beta", ["example.net"]), ("ht", 1, "Gamma", ["example.org"])]
+RUN_EXCLUDED = [("org", 0, "Bad", ["example.net"]), ("ht", 0, "Bad", ["example.org", "m.ththre.example.net"])]
+RUN_PROMPTS = [("net", 0, "relevance", [0, 1]), ("org", 0, "relevance", [0, 1]), ("org", 1, "extra.length", [0]), ("org", 2, "extra.length", [0, 1, 2]), ("ht", 0, "extra.length", [0, 1, 2, 3])]
 PROMPTS = (Prompt("relevance", "Offers of goods", "Say 1 for an offer, else 0.", (0, 1)), Prompt("extra.length", "Length of the name", "Say the length class.", (0, 1, 2)))
 
 
@@ -247,6 +254,20 @@ def classify_pages(spark, d):
     return c.select("page_id", "filtered", F.size("classifications").cast("long").alias("n_labels"), F.try_element_at("classifications", F.lit("relevance")).alias("relevance"))
 
 
+def failing_rule(batch: pd.DataFrame) -> pd.Series:
+    """keyword_rule that raises if a name of the batch has "ee", and leaves out replies for names whose length is a multiple of seven."""
+    if batch["product_name"].str.contains("ee", regex=False).any():
+        raise ValueError("name with ee")
+    return keyword_rule(batch)[batch["product_name"].str.len() % 7 != 0]
+
+
+def classify_with_failures(spark, d):
+    a = products.extract_products(table(spark, d, "pages")).withColumns({"filtered": F.col("page_id") % 6 == 0, "filtered_at_stage": F.when(F.col("page_id") % 6 == 0, COUNTRY)})
+    c = classify.classify(a, PROMPTS, make=lambda: failing_rule, errors="errors")
+    of = lambda m, name: F.try_element_at(m, F.lit(name))
+    return c.select("page_id", of("classifications", "relevance").alias("relevance"), of("classifications", "extra.length").alias("length"), of("errors", "relevance").alias("relevance_error"), of("errors", "extra.length").alias("length_error"))
+
+
 def classification_wide(spark, d):
     return results.wide(_classified(spark, d).select("page_id", "product_name", "classifications"), [p.name for p in PROMPTS])
 
@@ -340,6 +361,17 @@ def enriched_run(spark, d):
     return results.wide(out, [p.name for p in PROMPTS]).select("run_id", "search_id", "search_term", "search_term_type", F.col("position").cast("long").alias("position"), "url", "domain", "marketplace_name", "product_name", "probability", "filtered", "filtered_at_stage", "relevance", "length")
 
 
+def runs_with_own_hosts(spark, d):
+    pages, docs = table(spark, d, "pages"), table(spark, d, "documents").select("doc_id", "text", "lang")
+    runs = spark.createDataFrame(RUNS, "run_id string, search_term string, language string, location string, language_code string, location_code string").crossJoin(pages.agg(F.count("*").alias("num_results")))
+    languages = dims.last_wins(spark.createDataFrame([(i, *x) for i, x in enumerate(LANGUAGES)], "ord int, name string, code string"))
+    locations = dims.last_wins(table(spark, d, "nation").select(F.col("n_nationkey").alias("ord"), F.col("n_name").alias("name"), F.element_at(F.array(*map(F.lit, CODES)), (F.col("n_nationkey") % len(CODES) + 1).cast("int")).alias("code")))
+    own, excluded = (spark.createDataFrame(x, "run_id string, ord int, name string, domains array<string>") for x in (RUN_HOSTS, RUN_EXCLUDED))
+    prompts = spark.createDataFrame([(r, i, n, "context", f"Answer by {n}", c) for r, i, n, c in RUN_PROMPTS], "run_id string, ord int, name string, context string, system_prompt string, allowed_classes array<int>")
+    out = pipeline.runs_with_own_settings(runs, docs, pages, lambda p: _page_details(spark, d, p), languages, locations, own, excluded, prompts, keyword_rule, 5, 10, seen=_seen(spark, d))
+    return results.wide(out, [p.name for p in PROMPTS]).select("run_id", "search_id", "search_term", "search_term_type", F.col("position").cast("long").alias("position"), "url", "domain", "marketplace_name", "product_name", "probability", "filtered", "filtered_at_stage", "relevance", "length")
+
+
 def stream_pipeline(spark, d):
     """Every page is a hit of one to three searches."""
     pages = spark.read.parquet(f"{d}/pages.parquet").schema
@@ -358,9 +390,10 @@ def queries() -> dict:
         related_terms, keyword_json, rank_terms, search_requests, dedupe_current_run, dedupe_previous_run, seen_urls_update, product_json, probability_flag, details_join, product_html, prompt_check, render_prompt,
         label_guard, classify_pages, classification_wide, csv_round_trip, run_list, load_run, stage_funnel, pipeline_end_to_end, stream_dedupe,
         write_and_load_run, run_registry, language_scan, location_scan, stream_known, enriched_run, stream_pipeline,
+        classify_with_failures, runs_with_own_hosts,
     )
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return sql.oracles(HOSTS, EXCLUDED, SEEDS, PROMPTS, REPLIES, (COUNTRY, CURRENT_RUN, PREVIOUS_RUN, PROBABILITY))
+    return sql.oracles(HOSTS, EXCLUDED, SEEDS, PROMPTS, REPLIES, (COUNTRY, CURRENT_RUN, PREVIOUS_RUN, PROBABILITY), (RUNS, RUN_HOSTS, RUN_EXCLUDED, CODES))

@@ -28,7 +28,7 @@ def tokens(t: str) -> str:
     return f"regexp_extract_all(lower({t}), '[\\p{{L}}\\p{{N}}]+')"
 
 
-def oracles(hosts, excluded, seeds, prompts, replies, stages) -> dict[str, str]:
+def oracles(hosts, excluded, seeds, prompts, replies, stages, own) -> dict[str, str]:
     country, current, previous, probability = map(text, stages)
     split = lambda d: d if isinstance(d, list) else [x.strip() for x in d.split(",")]
     flat = [(i, j, n, x) for i, (n, d) in enumerate(hosts) for j, x in enumerate(split(d))]
@@ -95,6 +95,20 @@ def oracles(hosts, excluded, seeds, prompts, replies, stages) -> dict[str, str]:
         hits as (select * from (select *, row_number() over (partition by search_id order by score desc, page_id) - 1 as position from f) where position < num),
         prods as (select run_id, search_id, search_ord, term, kind, position, url, {domain("url")} dom, not {in_country("url", "'org'")} bad from hits join want using (search_id))"""
     rest = f"""{html}, {details}, res as (select b.*, dt.product_name, dt.product_description, dt.probability, case when st1 is not null then st1 when dt.probability <= 0.1 then {probability} end stage from b left join dt using (url))"""
+    # By run: what each of them has for itself.
+    rows = lambda xs: "(values " + ", ".join("(" + ", ".join(map(str, x)) + ")" for x in xs) + ")"
+    own_runs = rows((text(r), text(t), text({"English": "en", "German": "de", "French": "fr"}[lang]), text((code or own[3][int(place.rpartition('_')[2]) % len(own[3])]).lower()), "[" + ", ".join(text(x) for o, _, _, ds in own[1] if o == r for x in ds) + "]") for r, t, lang, place, _, code in own[0])
+    own_hosts = rows((text(r), i, text(n), text(x)) for r, i, n, ds in own[1] for x in ds)
+    own_gone = rows((text(r), text(x)) for r, _, _, ds in own[2] for x in ds)
+    settings = f"""{enriched.split("runs as (")[0]} runs as (select * from {own_runs} r(run_id, seed, lang, cc, sites)),
+        req as (select run_id, cc, sites, 0 search_ord, seed term, 'initial' kind, (select count(*) from pages) num from runs union all select run_id, cc, sites, rank, text, 'enriched', 10 from runs join best using (seed, lang) where rank <= 5),
+        want as (select *, run_id || '/' || search_ord search_id, list_distinct({tokens('term')}) ws from req), {page_words},
+        f as (select search_id, num, page_id, url, count(*) score from w join (select search_id, sites, num, len(ws) n_want, unnest(ws) token from want) using (token)
+            where len(sites) = 0 or len(list_filter(sites, lambda x: d = x or ends_with(d, '.' || x))) > 0 group by search_id, num, n_want, page_id, url having count(distinct token) = n_want),
+        hits as (select * from (select *, row_number() over (partition by search_id order by score desc, page_id) - 1 as position from f) where position < num),
+        prods as (select run_id, search_id, search_ord, term, kind, position, url, {domain("url")} dom, not {in_country("url", "cc")} bad from hits join want using (search_id)),
+        kept as (select * from prods where (run_id, dom) not in (select (r, x) from {own_gone} g(r, x)))"""
+    failed = "case when open and contains(product_name, 'ee') then 'ValueError: name with ee' when open and length(product_name) % 7 = 0 then '0 replies for 1 rows' end"
     labels = f"case when stage is null then {relevance('product_name', 'product_description')} end relevance, case when stage is null then {length('product_name', 'product_description')} end length"
 
     return {
@@ -126,6 +140,15 @@ def oracles(hosts, excluded, seeds, prompts, replies, stages) -> dict[str, str]:
         "render_prompt": f"select doc_id, prompt, system system_message, 'Context: ' || context || chr(10) || chr(10) || 'Product Details: document ' || doc_id || chr(10) || text || '\\n' || chr(10) || 'Relevance:' user_message, 2::bigint n_messages from documents, {prompt_rows}",
         "label_guard": f"select p_partkey, case when p_partkey % 10 <> 9 and trim(r, ' ' || chr(10)) in ('0', '1', '+0', '+1') then trim(r, ' ' || chr(10))::int else -1 end as label from (select *, ({reply_list})[p_partkey % {len(replies)} + 1] r from part)",
         "classify_pages": f"with {html} select page_id, page_id % 6 = 0 filtered, case when page_id % 6 = 0 then 0 else 2 end::bigint n_labels, case when page_id % 6 <> 0 then {relevance('product_name', 'product_description')} end relevance from html",
+        "classify_with_failures": f"""with {html}, o as (select *, page_id % 6 <> 0 and product_name is not null and product_description is not null open from html)
+            select page_id, case when page_id % 6 <> 0 then case when {failed} is null then {relevance('product_name', 'product_description')} else -1 end end relevance,
+            case when page_id % 6 <> 0 then case when {failed} is null then {length('product_name', 'product_description')} else -1 end end length, {failed} relevance_error, {failed} length_error from o""",
+        "runs_with_own_hosts": f"""with {settings}, {flags("kept", True, "run_id, ")}, {rest},
+            m as (select r mrun, lower(x) mdom, arg_min(n, i) market from {own_hosts} h(r, i, n, x) group by 1, 2)
+            select run_id, search_id, term search_term, kind search_term_type, position, url, dom as domain, coalesce(market, 'Google') marketplace_name, product_name, probability, stage is not null filtered, stage filtered_at_stage,
+            case when stage is null and run_id <> 'ht' then {relevance('product_name', 'product_description')} end relevance,
+            case when stage is not null or run_id = 'net' then null when product_name is null or product_description is null or run_id = 'org' and length(product_name) % 4 = 3 then -1 else length(product_name) % 4 end length
+            from res left join m on run_id = mrun and dom = mdom""",
         "classification_wide": f"with {html} select page_id, product_name, case when page_id % 6 <> 0 then {relevance('product_name', 'product_description')} end relevance, case when page_id % 6 <> 0 then {length('product_name', 'product_description')} end length from html",
         "csv_round_trip": f"with {html} select {html_row} from html",
         "run_list": f"select run_id, cast(row_number() over (order by ts, run_id) - 1 - count(*) over () as int) as index from {runs}",

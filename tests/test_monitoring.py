@@ -1,11 +1,14 @@
 """Golden rows and edge rows of the market monitoring operators."""
 
+import time
+
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from souklens.functions import text, urls
 from souklens.operators import classify, dedupe, hosts, keywords, products, requests, results
+from souklens.plans import pipeline as plans
 from souklens.schema import CURRENT_RUN, PREVIOUS_RUN, PROBABILITY, Prompt
 from souklens.sources import dims, replies
 from souklens.streaming import dedupe as streaming
@@ -52,11 +55,11 @@ def test_codes(spark, tmp_path):
 
 
 def test_prompts(spark):
-    Prompt("a", "c", "s", (0, 1)), Prompt("a", "c", "s", ())
-    for bad in ((-1, 0), (0.5, 1)):
+    Prompt("a", "c", "s", (3, 5, 8)), Prompt("a", "c", "s", ())
+    for bad in ((4, -2), (True, 2), (1.5,)):
         with pytest.raises(ValueError):
             Prompt("a", "c", "s", bad)
-    bad = spark.createDataFrame([("a", [-1, 0])], "name string, allowed_classes array<int>")
+    bad = spark.createDataFrame([("a", [6, -3])], "name string, allowed_classes array<int>")
     with pytest.raises(Exception, match="negative class"):
         dims.checked_prompts(bad).collect()
 
@@ -115,6 +118,92 @@ def test_classify(spark):
     assert out == {1: {"a": 1, "x.b": -1}, 2: {"a": -1, "x.b": -1}, 3: {}} and seen.value == 2
 
 
+def products_of(spark, names, parts=2):
+    rows = [(i, f"u{i}", n, "d", False, [n], None) for i, n in enumerate(names)]
+    return spark.createDataFrame(rows, "id int, url string, product_name string, product_description string, filtered boolean, product_images array<string>, gone int").repartition(parts)
+
+
+def test_predictor_that_fails_for_some_rows(spark):
+    """A row that makes it raise, or has no reply, loses its own label alone, whatever stands in the same batch."""
+    names = [f"n{i}" for i in range(40)] + ["bad", "bad", "short", None]
+    asked = spark.sparkContext.accumulator(0)
+
+    def predict(batch: pd.DataFrame) -> pd.Series:
+        asked.add(1)
+        if (batch["product_name"] == "bad").any():
+            raise KeyError("no such thing")
+        return pd.Series(1, index=batch.index)[batch["product_name"] != "short"]  # numbers are replies, too
+
+    out = classify.classify(products_of(spark, names, 1), [Prompt("a", "c", "s", (0, 1)), Prompt("b", "c", "s", (0,))], predict, errors="errors").collect()
+    by = {r.id: r for r in out}
+    assert len(out) == len(names) and by[3].product_images == ["n3"] and by[3].gone is None
+    assert all(by[i].classifications == {"a": 1, "b": -1} and by[i].errors == {} for i in range(40))
+    assert by[40].classifications == {"a": -1, "b": -1} and by[40].errors == dict.fromkeys("ab", "KeyError: 'no such thing'")
+    assert by[42].errors == dict.fromkeys("ab", "0 replies for 1 rows") and by[43].classifications == {"a": -1, "b": -1} and by[43].errors == {}
+    assert asked.value < 2 * 2 * (3 * 6 + 1)
+
+
+def test_predictor_that_always_fails(spark):
+    def predict(batch):
+        raise RuntimeError("down")
+
+    out = classify.classify(products_of(spark, ["a", "b", "c"]), [Prompt("a", "c", "s", (1,))], predict, default=-7).collect()
+    assert [r.classifications for r in out] == [{"a": -7}] * 3
+    assert classify.classify(products_of(spark, []), [Prompt("a", "c", "s", (1,))], predict).collect() == []
+    assert [r.classifications for r in classify.classify(products_of(spark, ["a"]), [], predict, errors="e").collect()] == [{}]
+
+
+def test_predictor_made_once_for_each_task(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def make():
+        made.add(1)
+        time.sleep(0.2)  # a model that is slow to load
+        return lambda batch: pd.Series(["1"] * len(batch))
+
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
+    out = classify.classify(products_of(spark, ["x"] * 60, 3), [Prompt("a", "c", "s", (1,)), Prompt("b", "c", "s", (1,))], make=make).collect()
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert made.value == 3 and all(r.classifications == {"a": 1, "b": 1} for r in out) and len(out) == 60
+
+
+def test_prompts_by_run(spark):
+    df = products_of(spark, ["x", "y", "z"]).withColumn("run_id", F.element_at(F.array(F.lit("r"), F.lit("q"), F.lit("none")), F.col("id") + 1))
+    prompts = spark.createDataFrame([("r", 0, "a", "c", "old", [1]), ("r", 1, "a", "c", "new", [0, 1]), ("r", 2, "b", "c", "s", [2]), ("q", 0, "b", "c", "new", [1])], "run_id string, ord int, name string, context string, system_prompt string, allowed_classes array<int>")
+
+    def predict(batch):
+        assert batch["prompt"].nunique() == 1 and batch["system_prompt"].nunique() == 1 and "old" not in set(batch["system_prompt"])
+        return pd.Series(["1"] * len(batch))
+
+    out = {r.run_id: r.classifications for r in classify.classify(df, prompts, predict).collect()}
+    assert out == {"r": {"a": 1, "b": -1}, "q": {"b": 1}, "none": {}}
+
+
+def test_hosts_by_run(spark):
+    h = spark.createDataFrame([("r", 0, "Markt", ["a.ch", "B.ch"]), ("q", 1, "Bazar", ["b.ch"])], "run_id string, ord int, name string, domains array<string>")
+    df = spark.createDataFrame([("r", "b.ch"), ("q", "b.ch"), ("q", "a.ch"), ("p", "a.ch"), (None, "a.ch")], "run_id string, domain string")
+    assert {(r.run_id, r.domain): r.marketplace_name for r in hosts.with_marketplace(df, h, by=["run_id"]).collect()} == {("r", "b.ch"): "Markt", ("q", "b.ch"): "Bazar", ("q", "a.ch"): "Google", ("p", "a.ch"): "Google", (None, "a.ch"): "Google"}
+    assert {(r.run_id, r.domain) for r in hosts.exclude_hosts(df, h, by=["run_id"]).collect()} == {("r", "b.ch"), ("q", "a.ch"), ("p", "a.ch"), (None, "a.ch")}
+
+
+def test_settings_by_run(spark):
+    runs = spark.createDataFrame([("r", "t", "German", "Wien", None, ""), ("q", "t", "Latin", "Roma", "LA", "VA")], "run_id string, search_term string, language string, location string, language_code string, location_code string")
+    dim = lambda n, c: spark.createDataFrame([(n, c)], "name string, code string")
+    h = spark.createDataFrame([("r", 1, "N", ["b.at"]), ("r", 0, "M", ["a.at", "b.at"])], "run_id string, ord int, name string, domains array<string>")
+    out = {r.run_id: (r.language, r.country, r.sites) for r in plans.own_settings(runs, dim("German", "DE"), dim("Wien", "at"), h).collect()}
+    assert out == {"r": ("de", "at", ["a.at", "b.at", "b.at"]), "q": ("la", "va", None)}
+    with pytest.raises(Exception, match="unknown location: Wien"):
+        plans.own_settings(runs, dim("German", "DE"), dim("Bern", "ch"), h).collect()
+
+
+def test_details_of_one_url_twice(spark):
+    kind = "url string, product_name string, product_price string, product_description string, product_images array<string>, probability double"
+    details = spark.createDataFrame([("u", "n", None, "d", [], 0.5), ("u", "n", "1", "d", ["i"], 0.4), ("u", None, None, None, None, None), ("v", "a", None, None, [], None), ("v", "b", None, None, [], None), (None, "x", "y", "z", [], 1.0)], kind)
+    hits = spark.createDataFrame([(0, "u"), (1, "u"), (2, "v"), (3, "w"), (4, None)], "id int, url string")
+    assert {r.id: r.product_name for r in products.with_details(hits, details).collect()} == {0: "n", 1: "n", 2: "b", 3: None, 4: None}
+    assert {r.product_price for r in products.with_details(hits, details).where("url = 'u'").collect()} == {"1"}
+
+
 def test_wide_and_csv(spark, tmp_path):
     assert results.label_columns(["u"], ["rel", "x.y"]) == {"rel": "rel", "x.y": "y"}
     assert results.label_columns(["u"], ["a", "x.a"]) == {"a": "classifications.a", "x.a": "classifications.x.a"}
