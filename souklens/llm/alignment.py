@@ -32,10 +32,10 @@ from ..shared import Scratch
 
 #: Remainders of B ids by which runs are split; records of a run before it is split; records of a group of runs.
 RADICES, RUN, GROUP = 16, 1_000_000, 2_000_000
-#: Characters of texts that are looked at together.
-CHUNK = 2_000_000
+#: Characters of texts that are looked at together, and new segments that are encoded together.
+CHUNK, TOGETHER = 2_000_000, 20_000
 #: Segments that a task remembers, and their characters; then it starts anew.
-REMEMBER, REMEMBER_CHARS = 150_000, 8_000_000
+REMEMBER, REMEMBER_CHARS = 300_000, 8_000_000
 #: A space between characters that are no white space: no token of either tokenizer reaches over it, so segments are encoded on their own.
 CUT = re.compile(r" (?=\S)(?<=\S )")
 MARK = "▁"
@@ -62,7 +62,8 @@ class Encoder:
         self.a_bytes = [bytes(map(alphabet.__getitem__, x)) if (x := self.a.id_to_token(i) or "") and set(x) <= alphabet.keys() else (x or "").encode() for i in range(size)]
         piece = lambda i: bytes([int(self.b.id_to_piece(i)[3:5], 16)]) if self.b.is_byte(i) else self.b.id_to_piece(i).replace(MARK, " ").encode()
         self.b_bytes = [piece(i) for i in range(self.b.get_piece_size())]
-        self.a_text, self.b_text = [str(i) for i in range(size)], [str(i) for i in range(len(self.b_bytes))]
+        self.a_size, self.b_size = np.array([len(x) for x in self.a_bytes]), np.array([len(x) for x in self.b_bytes])
+        self.texts = [f"{i}{c}" for i in range(size) for c in ",|"] + [f"{i}{c}" for i in range(len(self.b_bytes)) for c in ",;\n"]
         self.forget()
 
     def forget(self) -> None:
@@ -73,43 +74,50 @@ class Encoder:
         return len(self.known) > REMEMBER or self.chars > REMEMBER_CHARS
 
     def add(self, segments: list[str]) -> None:
-        spaced = [f" {s}" for s in segments]
-        for s, plain, a, ids_b in zip(segments, spaced, self.a.encode_batch_fast(spaced, add_special_tokens=False), self.b.encode(segments, num_threads=1), strict=True):
-            self.known[s] = len(self.known)
-            self.chars += len(s)
-            ids_a, want = a.ids, plain.encode()
-            right = b"".join([self.a_bytes[i] for i in ids_a]) == want and b"".join([self.b_bytes[i] for i in ids_b]) == want
-            groups = self._align(ids_a, ids_b) if right else []
-            self.groups.append(";".join(groups))
-            self.first.append(len(self.links))
-            self.sizes.extend((len(ids_a), len(ids_b), len(groups), self.first[-1] - self.first[-2], right))
-
-    def _align(self, ids_a: list[int], ids_b: list[int]) -> list[str]:
-        """Adds a link, B id * size of A + A id, for each stretch between neighbouring token ends; gives the groups as text."""
-        groups, i, j, from_i, from_j = [], 0, 0, 0, 0
-        end_a, end_b = len(self.a_bytes[ids_a[0]]), len(self.b_bytes[ids_b[0]])
-        while True:
-            self.links.append(ids_b[j] * self.n_a + ids_a[i])
-            if end_a == end_b:
-                i, j = i + 1, j + 1
-                groups.append(f"{','.join([self.a_text[x] for x in ids_a[from_i:i]])}|{','.join([self.b_text[x] for x in ids_b[from_j:j]])}")
-                if i == len(ids_a):
-                    return groups
-                from_i, from_j = i, j
-                end_a, end_b = end_a + len(self.a_bytes[ids_a[i]]), end_b + len(self.b_bytes[ids_b[j]])
-            elif end_a < end_b:
-                i += 1
-                end_a += len(self.a_bytes[ids_a[i]])
-            else:
-                j += 1
-                end_b += len(self.b_bytes[ids_b[j]])
-
-    def numbers(self, text: str) -> list[int]:
-        """The numbers of a text's segments; new ones are added."""
-        parts = CUT.split(text)
-        if new := [s for s in dict.fromkeys(parts) if s not in self.known]:
-            self.add(new)
-        return [self.known[s] for s in parts]
+        plain = [f" {s}".encode() for s in segments]
+        tokens_a = [x.ids for x in self.a.encode_batch_fast([f" {s}" for s in segments], add_special_tokens=False)]
+        tokens_b = self.b.encode(segments, num_threads=1)
+        n, size = len(segments), np.array([len(x) for x in plain])
+        many_a, many_b = (np.array([len(x) for x in ids]) for ids in (tokens_a, tokens_b))
+        a, b = (np.fromiter(itertools.chain.from_iterable(ids), np.int64, m.sum()) for ids, m in ((tokens_a, many_a), (tokens_b, many_b)))
+        right = self._right(plain, a, many_a, self.a_bytes, self.a_size) & self._right(plain, b, many_b, self.b_bytes, self.b_size)
+        a, b = a[np.repeat(right, many_a)], b[np.repeat(right, many_b)]
+        counts, links, groups = self._align(a, b, np.cumsum(size[right]))
+        sizes = np.zeros((n, 5), np.int64)
+        sizes[right] = np.stack([many_a[right], many_b[right], *counts, np.ones(len(groups), np.int64)], axis=1)
+        self.known.update(zip(segments, range(len(self.known), len(self.known) + n), strict=True))
+        self.chars += sum(map(len, segments))
+        rest = iter(groups)
+        self.groups += [next(rest) if x else "" for x in right.tolist()]
+        self.first.frombytes((len(self.links) + np.cumsum(sizes[:, 3])).tobytes())
+        self.links.frombytes(links.tobytes())
+        self.sizes.frombytes(sizes.tobytes())
+
+    @staticmethod
+    def _right(plain: list[bytes], ids: np.ndarray, many: np.ndarray, texts: list[bytes], size: np.ndarray) -> np.ndarray:
+        """Whether each segment's tokens give back its bytes."""
+        joined, until = b"".join([texts[i] for i in ids.tolist()]), np.concatenate([[0], np.cumsum(size[ids])])[np.cumsum(many)].tolist()
+        return np.array([joined[s:e] == x for s, e, x in zip([0, *until], until, plain)], bool)
+
+    def _align(self, a: np.ndarray, b: np.ndarray, ends: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, list[str]]:
+        """Of segments one behind the other, whose tokens are a and b and which end at these bytes: numbers of groups and links; the links, B id * size of A + A id, one for each stretch between neighbouring token ends; the groups as text."""
+        end_a, end_b = np.cumsum(self.a_size[a]), np.cumsum(self.b_size[b])
+        stretch, common = np.union1d(end_a, end_b), np.intersect1d(end_a, end_b, assume_unique=True)
+        links = b[np.searchsorted(end_b, stretch)] * self.n_a + a[np.searchsorted(end_a, stretch)]
+        counts = [np.bincount(np.searchsorted(ends, x), minlength=len(ends)) for x in (common, stretch)]
+        # The text of each token with what follows it: "," within a group, "|" behind its A part, ";" behind its B part, a line's end behind a segment.
+        follow_a, follow_b = np.isin(end_a, common).astype(np.int64), np.isin(end_b, common).astype(np.int64) + np.isin(end_b, ends)
+        code = np.concatenate([a * 2 + follow_a, 2 * self.n_a + b * 3 + follow_b])
+        order = np.argsort(np.concatenate([np.searchsorted(common, end_a) * 2, np.searchsorted(common, end_b) * 2 + 1]), kind="stable")
+        return counts, links, "".join([self.texts[c] for c in code[order].tolist()]).split("\n")[:-1]
+
+    def numbers(self, texts: list[str | None]) -> list[list[int]]:
+        """The numbers of each text's segments; new ones are added, many at a time."""
+        parts = [CUT.split(t) if t else [] for t in texts]
+        new = [s for s in dict.fromkeys(itertools.chain.from_iterable(parts)) if s not in self.known]
+        for i in range(0, len(new), TOGETHER):
+            self.add(new[i : i + TOGETHER])
+        return [[self.known[s] for s in p] for p in parts]
 
 
 class Spill:
@@ -166,11 +174,10 @@ def _spilled(docs: DataFrame, a_path: str, b_path: str, text: str, doc_id: str,
             while at < len(ids):
                 if encoder.full():
                     encoder.forget()
-                chunk, size = [], 0
-                while at + len(chunk) < len(ids) and size < CHUNK:
-                    t = texts[at + len(chunk)]
-                    chunk.append(encoder.numbers(t) if t else [])
-                    size += len(t or "")
+                until, size = at, 0
+                while until < len(ids) and size < CHUNK:
+                    size, until = size + len(texts[until] or ""), until + 1
+                chunk = encoder.numbers(texts[at:until])
                 sizes, links, first = np.array(encoder.sizes).reshape(-1, 5), np.array(encoder.links), np.array(encoder.first)
                 rows, kept = [], []
                 for k, numbers in enumerate(chunk):
