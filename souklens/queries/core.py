@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import urls
-from ..operators import classify, dedupe, hosts, keywords, products, requests, results, search
+from ..operators import classify, dedupe, hosts, index, keywords, products, requests, results, search
 from ..plans import pipeline
 from ..schema import COUNTRY, CURRENT_RUN, PREVIOUS_RUN, PROBABILITY, Prompt, flagged
 from ..shared import shared_folder
@@ -88,6 +90,22 @@ def quarantined_hits(spark, d):
     return bad.groupBy("reason").agg(F.count("*").alias("n"))
 
 
+def _broken(df: DataFrame, key: str) -> DataFrame:
+    """Replies of which some are cut short, missing, empty, no JSON or of another shape, by their key."""
+    k = F.pmod(F.col(key), F.lit(11))
+    shape = F.lit('{"organic_results": "none", "tasks": "none", "product": "none"}')
+    text = F.coalesce("payload", F.lit("{}"))
+    return df.select(F.when(k == 0, F.substring(text, F.lit(1), F.length(text) - 1)).when(k == 2, "junk").when(k == 3, "").when(k == 4, shape).when(k != 1, text).alias("payload"))
+
+
+def quarantined_replies(spark, d):
+    suggested, related = _keyword_replies(spark, d)
+    parts = _part_details(spark, d).withColumn("key", F.regexp_extract("url", "[0-9]+$", 0).cast("long"))
+    kinds = {"search": (_replies(spark, d), "search_id"), "suggested": (suggested, "doc_id"), "related": (related, "doc_id"), "details": (parts, "key")}
+    found = [replies.unreadable(_broken(df, key), kind).select(F.lit(kind).alias("kind"), "reason", "payload") for kind, (df, key) in kinds.items()]
+    return reduce(DataFrame.unionByName, found).groupBy("kind", "reason").agg(F.count("*").alias("n"), F.count("payload").alias("kept"))
+
+
 def _searches(spark, n: int = 200) -> DataFrame:
     rows = [(i, "run1", i, t, "initial", t, n, ["example.com", "example.net"] if i == 2 else None) for i, t in enumerate(SEEDS)]
     return spark.createDataFrame(rows, "search_id int, run_id string, search_ord int, search_term string, search_term_type string, term string, num_results int, sites array<string>")
@@ -97,6 +115,17 @@ def search_pages(spark, d):
     return search.search_pages(table(spark, d, "pages"), _searches(spark)).select("search_id", "page_id", F.col("score").cast("long").alias("score"), F.col("position").cast("long").alias("position"))
 
 
+def indexed_search(spark, d):
+    index.write_index(table(spark, d, "pages"), path := shared_folder(spark))
+    return index.indexed_search(spark, path, _searches(spark)).select("search_id", "page_id", F.col("score").cast("long").alias("score"), F.col("position").cast("long").alias("position"))
+
+
+def ranked_hits(spark, d):
+    """Every page that has a seed, by rank: limits that leave all of a search's hits."""
+    hits = search.search_pages(table(spark, d, "pages"), _searches(spark, 2**31 - 1).withColumn("sites", F.lit(None).cast("array<string>")))
+    return hits.select("search_id", "page_id", F.col("score").cast("long").alias("score"), F.col("position").cast("long").alias("position"))
+
+
 def hit_counts(spark, d):
     return search.hit_counts(search_pages(spark, d))
 
@@ -390,7 +419,7 @@ def queries() -> dict:
         related_terms, keyword_json, rank_terms, search_requests, dedupe_current_run, dedupe_previous_run, seen_urls_update, product_json, probability_flag, details_join, product_html, prompt_check, render_prompt,
         label_guard, classify_pages, classification_wide, csv_round_trip, run_list, load_run, stage_funnel, pipeline_end_to_end, stream_dedupe,
         write_and_load_run, run_registry, language_scan, location_scan, stream_known, enriched_run, stream_pipeline,
-        classify_with_failures, runs_with_own_hosts,
+        classify_with_failures, runs_with_own_hosts, indexed_search, ranked_hits, quarantined_replies,
     )
     return {f.__name__: f for f in own}
 

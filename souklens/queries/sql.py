@@ -122,6 +122,10 @@ def oracles(hosts, excluded, seeds, prompts, replies, stages, own) -> dict[str,
         "search_json": "select search_id, position, url from (select cast(page_id // 10 as int) search_id, cast(row_number() over (partition by page_id // 10 order by page_id) - 1 as int) as position, page_id, url from pages) where position < 8 and page_id % 7 <> 0",
         "quarantined_hits": "select 'no link' reason, count(*) n from pages where page_id % 7 = 0",
         "search_pages": f"with {searched(200, True)} select search_id, page_id, score, position from hits",
+        "quarantined_replies": """with k as (select distinct 'search' kind, page_id // 10 id from pages union all select kind, doc_id from documents, (values ('suggested'), ('related')) x(kind) union all select 'details', p_partkey from part)
+            select kind, case id % 11 when 1 then 'no reply' when 4 then 'other shape' else 'no JSON' end reason, count(*) n, count(*) filter (id % 11 <> 1) kept from k where id % 11 < 5 group by 1, 2""",
+        "indexed_search": f"with {searched(200, True)} select search_id, page_id, score, position from hits",
+        "ranked_hits": f"with {searched(2**31 - 1, False)} select search_id, page_id, score, position from hits",
         "hit_counts": f"with {searched(200, True)} select search_id, count(*) n_hits from hits group by 1",
         "keyword_requests": f"select seed, lang language_name, 'Switzerland' location_name, 10 \"limit\", source, case when source = 'suggested' then true end include_serp_info, case when source = 'suggested' then true end include_seed_keyword from {seed_rows} s(i, seed), (select distinct lang from documents), (values ('suggested'), ('related')) c(source)",
         "suggest_terms": f"with {grams} select * from sug",

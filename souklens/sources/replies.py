@@ -8,6 +8,23 @@ from pyspark.sql import functions as F
 from ..schema import DETAIL_REPLY, RELATED_REPLY, SEARCH_REPLY, SUGGESTED_REPLY
 
 
+#: What each kind of reply is read by.
+KINDS = {"search": SEARCH_REPLY, "suggested": SUGGESTED_REPLY, "related": RELATED_REPLY, "details": DETAIL_REPLY}
+
+
+def unreadable(replies: DataFrame, kind: str, payload: str = "payload") -> DataFrame:
+    """The replies of a kind (KINDS) that can't be read whole, with their payload and a reason: no reply (null), no JSON, or other shape (JSON of which some part isn't what the kind has there).
+
+    The other functions read what they can of such a reply; here it is kept as it came, so that nothing is lost unseen.
+    """
+    read = F.from_json(payload, f"{KINDS[kind]}, __corrupt string", {"columnNameOfCorruptRecord": "__corrupt"})
+    a = replies.withColumn("__r", read)
+    bad = F.col("__r").isNull() | F.col("__r.__corrupt").isNotNull()
+    why = F.when(F.col(payload).isNull(), "no reply").when(F.trim(payload).eqNullSafe("") | F.try_parse_json(payload).isNull(), "no JSON").otherwise("other shape")
+    array = F.coalesce(F.trim(payload).startswith("["), F.lit(False))  # of which from_json would take the first element
+    return a.where(bad | array).drop("__r").withColumn("reason", why)
+
+
 def search_hits(replies: DataFrame, payload: str = "payload") -> DataFrame:
     """One row for each link, with its rank as position; all columns of replies but the payload stay."""
     parsed = replies.withColumn("__r", F.from_json(payload, SEARCH_REPLY))

@@ -1,15 +1,18 @@
 """Golden rows and edge rows of the market monitoring operators."""
 
+import re
 import time
 
 import pandas as pd
 import pytest
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from souklens.functions import text, urls
-from souklens.operators import classify, dedupe, hosts, keywords, products, requests, results
+from souklens.operators import classify, dedupe, hosts, index, keywords, products, requests, results, search, top
 from souklens.plans import pipeline as plans
 from souklens.schema import CURRENT_RUN, PREVIOUS_RUN, PROBABILITY, Prompt
+from souklens.shared import Scratch
 from souklens.sources import dims, replies
 from souklens.streaming import dedupe as streaming
 
@@ -78,6 +81,19 @@ def test_replies(spark):
     assert [(r.text, r.volume) for r in good.collect()] == [("a", 10)] and [r.reason for r in bad.collect()] == ["no volume"]
 
 
+def test_replies_that_are_no_json(spark):
+    """What can't be read is kept with its reason; of a reply with one bad part the rest is read all the same."""
+    search_ = [None, "", "junk", '{"organic_results":[{"link":"a"}', "[1, 2]", "5", "{}", '{"organic_results":null}', '{"organic_results":"none"}', '{"organic_results":[{"link":"a"},7]}', '{"organic_results":[{"link":"b"}]}']
+    df = spark.createDataFrame(list(enumerate(search_)), "search_id int, payload string")
+    reasons = {r.search_id: r.reason for r in replies.unreadable(df, "search").collect()}
+    assert reasons == {0: "no reply", 1: "no JSON", 2: "no JSON", 3: "no JSON", 4: "other shape", 5: "other shape", 8: "other shape", 9: "other shape"}
+    assert {r.payload for r in replies.unreadable(df, "search").where("search_id = 9").collect()} == {search_[9]}
+    assert ("b",) in {(r.url,) for r in replies.search_hits(df).collect()}
+    for kind, ok, bad in (("suggested", '{"tasks":[{"result":null}]}', '{"tasks":[{"result":[{"items":[{"keyword_info":{"search_volume":"many"}}]}]}]}'), ("related", '{"tasks":[]}', '{"tasks":{}}'), ("details", '{"product":{"metadata":{"probability":"x"}}}', '{"product":"none"}')):
+        df = spark.createDataFrame([(0, ok), (1, bad), (2, bad[:-1])], "i int, payload string")
+        assert {r.i: r.reason for r in replies.unreadable(df, kind).collect()} == {1: "other shape", 2: "no JSON"}, kind
+
+
 def test_details(spark):
     product = '{"product":{"name":"n","price":12.50,"mainImage":{"url":"m"},"images":[{"url":"m"},{"url":""},{"url":null},{"url":"n"}],"metadata":{"probability":"0.1"}}}'
     rows = replies.product_details(spark.createDataFrame([("u", product), ("v", "{}")], "url string, payload string")).orderBy("url").collect()
@@ -204,13 +220,111 @@ def test_details_of_one_url_twice(spark):
     assert {r.product_price for r in products.with_details(hits, details).where("url = 'u'").collect()} == {"1"}
 
 
+PAGES = [
+    (0, "http://a.example.at/1", "<p>Red bike, red bell</p>"), (1, "http://b.example.ch", "red <b>bike</b>"), (1, "http://b.example.ch", "bike bell"), (1, "http://c.example.ch", "red bike"), (2, "http://www.example.at", "red"),
+    (3, None, "red bike"), (None, "http://a.example.at", "bike red red"), (4, "http://d.at", None), (5, "http://d.at", ""), (6, "http://xexample.at", "red bike"), (7, "http://a.example.at/2", "<script>red</script> bike"),
+]
+SEARCHES = [("s", "Red bike", 100, None), ("t", "red RED", 2, []), ("u", "bike", 100, ["example.at"]), ("v", "absent", 5, None), ("w", "", 5, None), ("x", "red bike", 2**31 - 1, None)]
+
+
+def hit_rows(df):
+    return sorted((tuple(r) for r in df.select("search_id", "position", "page_id", "url", "score").collect()), key=str)
+
+
+@pytest.mark.parametrize("few", [200, 0])
+def test_search_with_and_without_index(spark, tmp_path, monkeypatch, few):
+    monkeypatch.setattr(search, "FEW", few)  # wanted tokens sent to the pages, or joined
+    pages = spark.createDataFrame(PAGES, "page_id long, url string, html string").repartition(3)
+    requests_ = spark.createDataFrame(SEARCHES, "search_id string, term string, num_results int, sites array<string>")
+    want = hit_rows(search.search_pages(pages, requests_))
+    assert [r[1:] for r in want if r[0] == "s"] == [(0, None, "http://a.example.at", 3), (1, 0, "http://a.example.at/1", 3), (2, 1, "http://b.example.ch", 3), (3, 1, "http://c.example.ch", 2), (4, 3, None, 2), (5, 6, "http://xexample.at", 2)]
+    assert [r[2] for r in want if r[0] == "u"] == [None, 0, 7] and [r[1:] for r in want if r[0] == "x"] == [r[1:] for r in want if r[0] == "s"] and not [r for r in want if r[0] in "vw"]
+    index.write_index(pages, str(tmp_path), buckets=7)
+    found = index.indexed_search(spark, str(tmp_path), requests_)
+    assert hit_rows(found) == want
+    plan = index.indexed_search(spark, str(tmp_path), requests_.where("num_results <= 100"))._jdf.queryExecution().executedPlan().toString()
+    assert "html" not in plan and re.search(r"PartitionFilters: \[[^]]*bucket#\d+ IN", plan)
+    index.write_index(pages.limit(0), str(tmp_path / "none"))
+    assert index.indexed_search(spark, str(tmp_path / "none"), requests_).collect() == []
+
+
+def test_places_of_a_large_group(spark):
+    """No task has more than a tenth of a list of a million rows, and small groups and nulls are placed beside it."""
+    df = spark.range(1_000_000, numPartitions=8).select(F.lit("big").alias("g"), F.pmod(F.xxhash64("id"), F.lit(1000)).alias("score"), "id")
+    df = df.unionByName(spark.createDataFrame([("a", 1, 1), ("a", 2, 2), (None, 5, 3), (None, 4, 4)], "g string, score long, id long"))
+    settings = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}  # else ranges of less than 64 MB are put together
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    scratch = Scratch(spark, "test")
+    out = top.placed(df, "g", [F.desc("score"), F.asc("id")], "place", scratch)
+    sizes = [r["count"] for r in scratch.paths[next(iter(scratch.paths))][1].groupBy(F.shiftright("__at", 33)).count().collect()]
+    for k, v in before.items():
+        spark.conf.set(k, v)
+    assert max(sizes) < 100_000
+    small = sorted(map(tuple, out.where("g is null or g = 'a'").select("g", "id", "place").collect()), key=str)
+    assert small == [("a", 1, 1), ("a", 2, 0), (None, 3, 0), (None, 4, 1)]
+    order = W.orderBy(F.desc("score"), F.asc("id"))
+    assert out.where("g = 'big'").withColumn("want", F.row_number().over(order) - 1).where("want <> place").count() == 0
+    assert out.where("g = 'big'").count() == 1_000_000
+    assert top.placed(df.limit(0), "g", [F.asc("id")], "place", scratch).count() == 0
+
+
+def run_rows(spark, runs, day, **more):
+    df = spark.createDataFrame([(r, i, f"2024-01-{day:02}") for r in runs for i in range(3)], "run_id string, i int, at string").withColumn("ts", F.to_timestamp("at")).drop("at")
+    return df.withColumns({k: F.lit(v) for k, v in more.items()})
+
+
+def test_runs_are_seen_once_committed(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "store")
+    results.write_runs(run_rows(spark, ["a/b", "c"], 2), path)
+    ids = lambda: {r["index"]: r.run_id for r in results.registry(spark, path).collect()}
+    assert ids() == {-2: "a/b", -1: "c"}
+
+    def stop(*_):
+        raise RuntimeError("the writer ends here")
+
+    with monkeypatch.context() as m:  # rows are there, the manifest is not
+        m.setattr(results, "_commit", stop)
+        with pytest.raises(RuntimeError):
+            results.write_runs(run_rows(spark, ["c", "d"], 5, i=99), path)
+    assert ids() == {-2: "a/b", -1: "c"} and sorted(r.i for r in results.load_results(spark, path).collect()) == [0, 1, 2]
+    with monkeypatch.context() as m:  # the rows themselves are not all there
+        m.setattr(results, "_write_rows", stop)
+        with pytest.raises(RuntimeError):
+            results.write_runs(run_rows(spark, ["e"], 6), path)
+    assert ids() == {-2: "a/b", -1: "c"}
+    # Two writers, the second of which commits first; each run has the rows of its last commit.
+    one, two = results.staged(run_rows(spark, ["c"], 3, i=7, late="x"), path), results.staged(run_rows(spark, ["c", "f"], 4, i=8), path)
+    results.commit(spark, path, two)
+    assert {r.i for r in results.load_results(spark, path, -2).collect()} == {8} and ids() == {-3: "a/b", -2: "c", -1: "f"}
+    results.commit(spark, path, one)
+    got = results.load_results(spark, path, -2).collect()
+    assert {(r.run_id, r.i, r.late) for r in got} == {("c", 7, "x")} and len(got) == 3
+    assert {(r.i, r.late) for r in results.load_results(spark, path, -3).collect()} == {(0, None), (1, None), (2, None)}  # a later column
+    everything = results.all_results(spark, path)
+    assert sorted((r.run_id, r.i, r.late) for r in everything.collect() if r.run_id != "c") == [("a/b", i, None) for i in range(3)] + [("f", 8, None)] * 3
+    assert everything.where("run_id = 'c' and late = 'x'").count() == 3 and everything.count() == 9
+    with pytest.raises(IndexError):
+        results.load_results(spark, path, -4)
+
+
+def test_csv_of_one_run(spark, tmp_path):
+    """Empty texts and nulls stay apart, and a run's file has all columns in order."""
+    rows = run_rows(spark, ["a"], 2).withColumns({"name": F.element_at(F.array(F.lit(""), F.lit(None).cast("string"), F.lit('say "x"\n, y')), F.col("i") + 1), "images": F.array(F.lit("u"))})
+    results.write_runs(rows, str(tmp_path / "store"))
+    results.write_run_csv(spark, str(tmp_path / "store"), str(tmp_path / "csv"), -1)
+    back = results.read_csv(spark, str(tmp_path / "csv" / "a"), "i int, ts timestamp, name string, images string")
+    assert {r.i: (r.name, r.images) for r in back.collect()} == {0: ("", '["u"]'), 1: (None, '["u"]'), 2: ('say "x"\n, y', '["u"]')}
+
+
 def test_wide_and_csv(spark, tmp_path):
     assert results.label_columns(["u"], ["rel", "x.y"]) == {"rel": "rel", "x.y": "y"}
     assert results.label_columns(["u"], ["a", "x.a"]) == {"a": "classifications.a", "x.a": "classifications.x.a"}
     df = spark.createDataFrame([('q"uo\nte', ["a", "b"], {"rel": 1}), ("", [], {})], "url string, images array<string>, classifications map<string,int>")
     results.write_csv(results.wide(df, ["rel"]), str(tmp_path / "c"))
     back = results.read_csv(spark, str(tmp_path / "c"), "url string, images string, rel int")
-    assert sorted(map(tuple, back.collect()), key=str) == sorted([('q"uo\nte', '["a","b"]', 1), (None, "[]", None)], key=str)
+    assert sorted(map(tuple, back.collect()), key=str) == sorted([('q"uo\nte', '["a","b"]', 1), ("", "[]", None)], key=str)
     results.written(df, lambda x: called_with.append(x.count()))
     assert called_with == [2]
 
