@@ -402,15 +402,21 @@ def runs_with_own_hosts(spark, d):
 
 
 def stream_pipeline(spark, d):
-    """Every page is a hit of one to three searches."""
-    pages = spark.read.parquet(f"{d}/pages.parquet").schema
-    stream = spark.readStream.schema(pages).option("maxFilesPerTrigger", 4).parquet(f"{d}/page[s].parquet")
-    hits = stream.select(F.explode(F.sequence(F.lit(0), (F.col("page_id") % 3).cast("int"))).alias("search_id"), F.col("page_id").alias("position"), "url")
-    out = stream_stages.annotated(hits, _searches(spark), "org", _page_details(spark, d), PROMPTS, keyword_rule, _seen(spark, d), dims.hosts(spark, HOSTS), dims.hosts(spark, EXCLUDED))
-    base = shared_folder(spark)
-    streaming.run(out, streaming.batch_sink(f"{base}/out"), f"{base}/state")
+    """Every page is a hit of one to three searches; of a url's hits the first by search and position stays, in whatever batch it comes. The run ends with a row that closes it."""
+    pages, base = table(spark, d, "pages"), shared_folder(spark)
+    stream = spark.readStream.schema(pages.schema).option("maxFilesPerTrigger", 4).parquet(f"{d}/page[s].parquet")
+    time = lambda at: F.timestamp_seconds(F.lit(at))
+    hits = stream.select(F.explode(F.sequence(F.lit(0), (F.col("page_id") % 3).cast("int"))).alias("search_id"), F.col("page_id").alias("position"), "url", time(1_700_000_000).alias("found_at"))
+    spark.createDataFrame([], hits.schema).write.parquet(f"{base}/ends")
+    both = hits.unionByName(spark.readStream.schema(hits.schema).parquet(f"{base}/ends")).withWatermark("found_at", "1 hour")
+    flagged_ = stream_stages.flagged_hits(both, _searches(spark), "org", _seen(spark, d), dims.hosts(spark, HOSTS), dims.hosts(spark, EXCLUDED), time="found_at", wait_ms=7_200_000)
+    details = lambda wanted: _page_details(spark, d, pages.join(wanted, "url", "left_semi"))
+    sink = stream_stages.detailing_sink(base, f"{base}/details", details, PROMPTS, keyword_rule)
+    streaming.run(flagged_, sink, f"{base}/state")
+    spark.range(1).select(F.lit(-1).alias("search_id"), F.lit(-1).cast("long").alias("position"), F.lit(None).cast("string").alias("url"), time(1_700_086_400).alias("found_at")).write.mode("append").parquet(f"{base}/ends")
+    streaming.run(flagged_, sink, f"{base}/state")
     wide = results.wide(spark.read.parquet(f"{base}/out"), [p.name for p in PROMPTS])
-    return wide.groupBy("url", "domain", "marketplace_name", "product_name", "filtered", "filtered_at_stage", "relevance", "length").agg(F.count("*").alias("n"))
+    return wide.select("search_id", "position", "url", "domain", "marketplace_name", "product_name", "filtered", "filtered_at_stage", "relevance", "length")
 
 
 def queries() -> dict:

@@ -1,5 +1,6 @@
 """Golden rows and edge rows of the market monitoring operators."""
 
+import os
 import re
 import time
 
@@ -15,6 +16,7 @@ from souklens.schema import CURRENT_RUN, PREVIOUS_RUN, PROBABILITY, Prompt
 from souklens.shared import Scratch
 from souklens.sources import dims, replies
 from souklens.streaming import dedupe as streaming
+from souklens.streaming import pipeline as stream_stages
 
 
 def column(spark, kind, values, expr):
@@ -375,6 +377,104 @@ def test_streams_that_drop_and_flag(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "b")).count() == 4
 
 
+HIT = "url string, search_ord int, position int, filtered boolean, filtered_at_stage string, at timestamp"
+
+
+def hit_stream(spark, folder):
+    os.makedirs(folder, exist_ok=True)
+    return spark.readStream.schema(HIT).option("maxFilesPerTrigger", 1).parquet(folder)
+
+
+def add_hits(spark, folder, rows):
+    """One file with hits (url, search_ord, position, flagged, second)."""
+    df = spark.createDataFrame([(u, s, p, f, "x" if f else None, t) for u, s, p, f, t in rows], HIT.replace("at timestamp", "t long"))
+    df.select("*", F.timestamp_seconds("t").alias("at")).drop("t").coalesce(1).write.mode("append").parquet(folder)
+    time.sleep(1.1)  # files are taken by age
+
+
+def stages(spark, path):
+    return sorted(((r.url, r.search_ord, r.position, r.filtered_at_stage) for r in spark.read.parquet(path).collect()), key=str)
+
+
+def test_first_by_rank_in_a_stream(spark, tmp_path):
+    """Whatever the order and batches in which hits arrive, the rows are those of the batch operator."""
+    t0 = 1_700_000_000
+    files = [
+        [("u", 2, 0, False, t0), ("v", 1, 5, False, t0), (None, 0, 0, False, t0), ("w", 0, 0, True, t0)],
+        [("u", 0, 7, False, t0 + 5), ("v", 1, 6, False, t0 + 1), (None, 0, 1, False, t0 + 1), ("w", 3, 1, False, t0 + 2)],
+        [("u", 0, 3, False, t0 + 3), ("u", 1, 0, True, t0 + 3), ("w", 2, 9, False, t0 + 3)],
+    ]
+    folder, out, state = (str(tmp_path / x) for x in ("in", "out", "state"))
+    for rows in files:
+        add_hits(spark, folder, rows)
+    stream = streaming.flag_by_rank(hit_stream(spark, folder).withWatermark("at", "1 minute"), "at", wait_ms=60_000)
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    streaming.run(stream, streaming.batch_sink(out), state)
+    assert ("u", 0, 3, None) not in stages(spark, out)  # not known to be the first before its time is over
+    add_hits(spark, folder, [(None, 9, 9, False, t0 + 3600)])
+    streaming.run(stream, streaming.batch_sink(out), state)
+    whole = spark.createDataFrame([(u, s, p, f, "x" if f else None, "r") for rows in files for u, s, p, f, _ in rows] + [(None, 9, 9, False, None, "r")], HIT.replace("at timestamp", "run_id string"))
+    want = sorted(((r.url, r.search_ord, r.position, r.filtered_at_stage) for r in dedupe.flag_current_run(whole).collect()), key=str)
+    assert stages(spark, out) == want and spark.conf.get("spark.sql.streaming.stateStore.providerClass") == before
+    add_hits(spark, folder, [("u", 0, 0, False, t0 + 3601), ("new", 0, 0, False, t0 + 10), (None, 9, 9, False, t0 + 7200)])  # closed; too late; and what moves the watermark
+    streaming.run(stream, streaming.batch_sink(out), state)
+    assert [x for x in stages(spark, out) if x not in want] == [("u", 0, 0, CURRENT_RUN)]
+
+
+def test_closed_urls_are_forgotten_in_event_time(spark, tmp_path):
+    t0, (folder, out, state) = 1_700_000_000, (str(tmp_path / x) for x in ("in", "out", "state"))
+    stream = streaming.flag_by_rank(hit_stream(spark, folder).withWatermark("at", "1 second"), "at", wait_ms=10_000, keep_ms=60_000)
+    for second, rows in ((0, ["u"]), (30, []), (40, ["u"]), (200, []), (201, ["u"]), (400, [])):
+        add_hits(spark, folder, [(u, second, 0, False, t0 + second) for u in rows] + [(None, second, 1, False, t0 + second)])
+        streaming.run(stream, streaming.batch_sink(out), state)
+    assert [x[1:] for x in stages(spark, out) if x[0] == "u"] == [(0, 0, None), (201, 0, None), (40, 0, CURRENT_RUN)]
+
+
+def test_repeats_within_a_bound_of_event_time(spark, tmp_path):
+    t0, (folder, out, state) = 1_700_000_000, (str(tmp_path / x) for x in ("in", "out", "state"))
+    stream = streaming.drop_repeated_within(hit_stream(spark, folder), "at", "1 minute")
+    for rows in ([("u", 0, 0), ("v", 0, 0)], [("u", 1, 30), ("v", 1, 20)], [("x", 0, 300)], [("x", 1, 301)], [("u", 2, 310), ("u", 3, 311), ("late", 0, 5)]):
+        add_hits(spark, folder, [(u, s, 0, False, t0 + t) for u, s, t in rows])
+    streaming.run(stream, streaming.batch_sink(out), state)
+    assert [x[:2] for x in stages(spark, out)] == [("u", 0), ("u", 2), ("v", 0), ("x", 0)]
+
+
+def test_time_to_live_of_seen_urls(spark, tmp_path):
+    folder, out, state = (str(tmp_path / x) for x in ("in", "out", "state"))
+    stream = streaming.flag_repeated(hit_stream(spark, folder), ttl_ms=20_000)
+    for wait, rows in ((0, [("u", 0), (None, 0)]), (0, [("u", 1), (None, 1)]), (21, [("u", 2), (None, 2)])):
+        time.sleep(wait)
+        add_hits(spark, folder, [(u, s, 0, False, 0) for u, s in rows])
+        streaming.run(stream, streaming.batch_sink(out), state, idle=False)
+    assert [(x[0], x[1], x[3]) for x in stages(spark, out)] == [("u", 0, None), ("u", 1, CURRENT_RUN), ("u", 2, None), (None, 0, None), (None, 1, None), (None, 2, None)]
+
+
+def test_details_are_made_once_for_each_url(spark, tmp_path):
+    """However many micro-batches there are, no page is looked at twice, and none that was not hit."""
+    folder, base = str(tmp_path / "in"), str(tmp_path / "o")
+    made = spark.sparkContext.accumulator(0)
+
+    def details(urls):
+        def one(batches):
+            for pdf in batches:
+                made.add(len(pdf))
+                pdf = pdf[pdf["url"] != "gone"]
+                yield pdf.assign(product_name="n " + pdf["url"], product_price=None, product_description="d", product_images=[[]] * len(pdf), probability=0.05 if (pdf["url"] == "low").any() else 0.9)
+
+        return urls.mapInPandas(one, stream_stages.DETAILS)
+
+    for rows in (["a", "b", "gone"], ["a", "c", "b"], ["low"], ["a", "gone", None, "low"]):
+        add_hits(spark, folder, [(u, 0, i, False, 0) for i, u in enumerate(rows)])
+    sink = stream_stages.detailing_sink(base, f"{base}/details", details, [Prompt("p", "c", "s", (1,))], lambda b: pd.Series(["1"] * len(b)))
+    stream = hit_stream(spark, folder)
+    streaming.run(stream, sink, f"{base}/state")
+    got = spark.read.parquet(f"{base}/out").collect()
+    assert made.value == 5 and len(got) == 11 and spark.read.parquet(f"{base}/details").where("batch >= 0").count() == 5
+    assert {(r.url, r.product_name, r.filtered_at_stage, r.classifications.get("p")) for r in got} == {("a", "n a", None, 1), ("b", "n b", None, 1), ("c", "n c", None, 1), ("low", "n low", PROBABILITY, None), ("gone", None, None, -1), (None, None, None, -1)}
+    sink(spark.read.schema(HIT).parquet(folder).where("url = 'c'"), 1)  # a batch that comes again
+    assert spark.read.parquet(f"{base}/out").where("batch = 1").count() == 1
+
+
 def test_requests_are_answered_in_their_language(spark):
     docs = spark.createDataFrame([(1, "red seed", "en"), (2, "red seed box", "en"), (3, "roter seed", "de"), (4, "seed blau", "de"), (5, "seed red", None)], "doc_id long, text string, lang string")
     seeds, runs = spark.createDataFrame([("seed",)], "seed string"), spark.createDataFrame([("en", "Bern"), ("de", "Bern"), ("fr", "Bern")], "language string, location string")
