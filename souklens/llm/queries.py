@@ -138,16 +138,17 @@ _EMBEDDING_SQL = """with recursive v as (select vec_id, embedding::double[] e fr
 
 
 def _license_sql() -> str:
-    texts = [(i, *x) for i, x in enumerate([(*p, True) for p in licenses.PHRASES] + [(*n, False) for n in licenses.NOTICES])]
-    grams = ", ".join(f"({i}, '{label}', {base}, {len(w) - 1}, {p}, '{w[p]}', '{w[p + 1]}')" for i, text, label, base in texts for w in [text.split()] for p in range(len(w) - 1))
+    word = lambda w, p: f"'{w[p]}'" if 0 <= p < len(w) else "null"
+    grams = ", ".join(f"({i}, '{label}', {base}, '{form}', '{needed}', {edits}, {p}, {word(w, p)}, {word(w, p + 1)}, {word(w, p - 2)}, {word(w, p + 3)})" for i, label, base, form, needed, edits, w in licenses.templates() for p in range(len(w) - 1))
     return f"""with d as (select row_number() over () r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') w from documents),
-        t(template, label, base, n_grams, tpos, a, b) as (values {grams}),
-        g as (select r, i - 1 pos, w[i] a, w[i + 1] b from (select r, w, unnest(range(1, len(w))) i from d)),
-        v as (select r, template, label, base, n_grams, pos - tpos diagonal, list(distinct tpos) places, min(pos) first from g join t using (a, b) group by all),
-        c as (select *, case when base or coalesce(diagonal - lag(diagonal) over (partition by r, template order by diagonal) > {licenses.NEAR}, true) then 1 else 0 end cut from v),
-        m as (select *, sum(cut) over (partition by r, template order by diagonal rows unbounded preceding) run from c),
-        u as (select r, template, label, base, n_grams, run, len(list_distinct(flatten(list(places)))) voted, min(first) start from m group by 1, 2, 3, 4, 5, 6),
-        s as (select r, label, base, start, voted / n_grams cover from u where case when base then voted = n_grams else voted / n_grams >= {licenses.COVER} end),
+        t(template, label, base, form, needed, edits, tpos, a, b, e, f) as (values {grams}),
+        g as (select r, i - 1 pos, w[i] a, w[i + 1] b, case when i > 2 then w[i - 2] end e, w[i + 3] f from (select r, w, unnest(range(1, len(w))) i from d)),
+        h as (select r, template, label, base, form, needed, edits, pos - tpos diagonal, pos, tpos, [0, 1] || case when g.e = t.e then [-2] else [] end || case when g.f = t.f then [3] else [] end os from g join t on g.a = t.a and g.b = t.b),
+        l as (select r, template, diagonal, pos + o as spot, substr(form, (tpos + o + 1)::int, 1) c from (select x.r, x.template, x.diagonal, x.form, y.pos, y.tpos, unnest(y.os) o from (select distinct r, template, base, form, diagonal from h) x join h y on y.r = x.r and y.template = x.template and y.diagonal between x.diagonal and x.diagonal + case when x.base then 0 else {licenses.NEAR} end)),
+        p as (select r, template, diagonal, min(spot) lo, max(spot) hi from l group by all),
+        z as (select r, template, diagonal, lo, string_agg(coalesce(c, '?'), '' order by spot) shown from (select p.r, p.template, p.diagonal, lo, q.spot, min(c) c from (select *, unnest(range(lo, hi + 1)) spot from p) q join p using (r, template, diagonal, lo, hi) left join l on l.r = p.r and l.template = p.template and l.diagonal = p.diagonal and l.spot = q.spot group by all) group by all),
+        s as (select distinct z.r, label, base, lo start, 1 - levenshtein(shown, form) / length(form) cover from z join t using (template)
+            where levenshtein(shown, form) <= edits and len(list_filter(string_split(needed, ','), lambda c: not contains(shown, c))) = 0),
         j as (select d.r, doc_id, len(w) n_words, label, base, start, cover from d left join s on s.r = d.r)
         select doc_id, n_words, count(*) filter (base) n_base, min(start) filter (base) first_word, max(start) filter (base) last_word,
             coalesce(array_to_string(list_sort(list(distinct label) filter (base)), ','), '') base_labels, coalesce(array_to_string(list_sort(list(distinct label) filter (label is not null)), ','), '') as labels,
