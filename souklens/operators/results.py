@@ -9,12 +9,13 @@ import uuid
 from collections.abc import Callable, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import last_segment
+from ..schema import STAGES
 
 log = logging.getLogger(__name__)
 
@@ -171,6 +172,16 @@ def write_run_csv(spark: SparkSession, path: str, to: str, index: int = -1) -> N
     write_csv(rows.drop("run_id"), f"{to}/{run}", "overwrite")
 
 
+def written_with_counts(df: DataFrame, path: str, mode: str = "error") -> tuple[DataFrame, dict[str, int]]:
+    """Writes annotated rows as Parquet; gives the stored rows, and the funnel: how many rows each stage flagged, counted by the job that writes them."""
+    counted = Observation("funnel")
+    stage = F.coalesce("filtered_at_stage", F.lit("kept"))
+    names = {f"n{i}": s for i, s in enumerate(("kept", *STAGES))}
+    known = [F.count_if(stage == s).alias(n) for n, s in names.items()]
+    df.observe(counted, *known, F.count_if(~stage.isin(*names.values())).alias("other")).write.mode(mode).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), {names.get(n, n): c for n, c in counted.get.items()}
+
+
 def funnel(df: DataFrame) -> DataFrame:
     return df.groupBy(F.coalesce("filtered_at_stage", F.lit("kept")).alias("stage")).agg(F.count("*").alias("n"))
 

@@ -165,7 +165,7 @@ def keyword_json(spark, d):
 
 def rank_terms(spark, d):
     docs, s = table(spark, d, "documents"), _seeds(spark)
-    return keywords.rank_terms(keywords.suggest_terms(docs, s, 50), keywords.related_terms(docs, s, 50), 20).select("seed", "text", "volume", F.col("rank").cast("long").alias("rank"))
+    return keywords.ranked(keywords.both_terms(docs, s, 50), 20).select("seed", "text", "volume", F.col("rank").cast("long").alias("rank"))
 
 
 def search_requests(spark, d):
@@ -357,6 +357,12 @@ def stage_funnel(spark, d):
     return results.funnel(_annotated(spark, d))
 
 
+def run_metrics(spark, d):
+    """The funnel of a run, counted while its rows are written."""
+    rows, counts = results.written_with_counts(_annotated(spark, d), shared_folder(spark))
+    return spark.createDataFrame(sorted(counts.items()), "stage string, n long").where(F.col("n") > 0)
+
+
 def pipeline_end_to_end(spark, d):
     hits, s = _hits(spark, d)
     out = pipeline.run(hits, s, "org", _page_details(spark, d), PROMPTS, keyword_rule, seen=_seen(spark, d), marketplaces=dims.hosts(spark, HOSTS), excluded=dims.hosts(spark, EXCLUDED))
@@ -425,7 +431,7 @@ def queries() -> dict:
         related_terms, keyword_json, rank_terms, search_requests, dedupe_current_run, dedupe_previous_run, seen_urls_update, product_json, probability_flag, details_join, product_html, prompt_check, render_prompt,
         label_guard, classify_pages, classification_wide, csv_round_trip, run_list, load_run, stage_funnel, pipeline_end_to_end, stream_dedupe,
         write_and_load_run, run_registry, language_scan, location_scan, stream_known, enriched_run, stream_pipeline,
-        classify_with_failures, runs_with_own_hosts, indexed_search, ranked_hits, quarantined_replies,
+        classify_with_failures, runs_with_own_hosts, indexed_search, ranked_hits, quarantined_replies, run_metrics,
     )
     return {f.__name__: f for f in own}
 

@@ -167,6 +167,7 @@ def oracles(hosts, excluded, seeds, prompts, replies, stages, own) -> dict[str,
             from res left join {markets} m(mdom, market) on dom = mdom""",
         "stream_pipeline": f"""with kept as (select * from (select *, {domain("url")} dom, not {in_country("url", "'org'")} bad from (select url, page_id as position, unnest(range(0, page_id % 3 + 1))::int search_ord from pages)) where dom not in ({gone})), {flags("kept", True)}, {rest}
             select search_ord search_id, position, url, dom as domain, coalesce(market, 'Google') marketplace_name, product_name, stage is not null filtered, stage filtered_at_stage, {labels} from res left join {markets} m(mdom, market) on dom = mdom""",
+        "run_metrics": f"with {full} select coalesce(stage, 'kept') stage, count(*) n from res group by 1",
         "stage_funnel": f"with {full} select coalesce(stage, 'kept') stage, count(*) n from res group by 1",
         "pipeline_end_to_end": f"""with {full} select search_id, position, seed search_term, url, dom as domain, coalesce(market, 'Google') marketplace_name, product_name, probability, stage is not null filtered, stage filtered_at_stage,
             case when stage is null then {relevance("product_name", "product_description")} end relevance, case when stage is null then {length("product_name", "product_description")} end length

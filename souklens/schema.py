@@ -11,6 +11,7 @@ COUNTRY = "country code filtering"
 CURRENT_RUN = "URL collection (current run deduplication)"
 PREVIOUS_RUN = "URL collection (previous run deduplication)"
 PROBABILITY = "Zyte probability threshold"
+STAGES = (COUNTRY, PREVIOUS_RUN, CURRENT_RUN, PROBABILITY)
 #: Defaults.
 DEFAULT_MARKETPLACE = "Google"
 KEYWORD_LIMIT = 10

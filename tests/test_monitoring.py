@@ -483,6 +483,28 @@ def test_requests_are_answered_in_their_language(spark):
     assert got(1, 5) == [("en", 1, "red seed", 2)]  # all other lists of one term have the seed itself, which goes
 
 
+def test_terms_of_both_sources_from_one_pass(spark):
+    """The same rows as from each source alone; a doc_id that comes twice counts once, documents without one count each."""
+    rows = [(1, "red bike bell"), (1, "red bike"), (2, "a red bike"), (None, "red bike"), (None, "red bike"), (3, "bike red"), (4, None), (5, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    seeds = spark.createDataFrame([("red",), ("red bike",), ("absent",), ("red",)], "seed string")
+    both = keywords.both_terms(docs, seeds.distinct(), 100)
+    for source, alone in (("suggested", keywords.suggest_terms(docs, seeds, 100)), ("related", keywords.related_terms(docs, seeds, 100))):
+        got = both.where(F.col("source") == source).drop("source").select(alone.columns)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, alone.collect()))
+    volume = {(r.seed, r.text): r.volume for r in both.where("source = 'suggested'").collect()}
+    assert volume["red", "red bike"] == 4 and volume["red", "red"] == 5 and volume["red bike", "red bike bell"] == 1 and volume["red", "bike red"] == 1
+    assert {(r.seed, r.text): r.volume for r in both.where("source = 'related'").collect()} == {("red", "bike"): 5, ("red", "bell"): 1, ("red bike", "bike"): 4, ("red bike", "bell"): 1}
+    plan = keywords.ranked(both, 5)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("explode(concat(") <= 1
+
+
+def test_funnel_counted_while_writing(spark, tmp_path):
+    df = spark.createDataFrame([(1, None), (2, PROBABILITY), (3, PROBABILITY), (4, "own stage")], "i int, filtered_at_stage string")
+    stored, counts = results.written_with_counts(df, str(tmp_path / "r"))
+    assert {k: v for k, v in counts.items() if v} == {"kept": 1, PROBABILITY: 2, "other": 1} and stored.count() == 4
+
+
 def test_sink_that_learns_urls(spark, tmp_path):
     batch = lambda *urls: spark.createDataFrame([(u, False, None) for u in urls], "url string, filtered boolean, filtered_at_stage string")
     out, known = str(tmp_path / "out"), str(tmp_path / "known")
