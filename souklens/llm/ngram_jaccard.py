@@ -80,6 +80,10 @@ class Bounds:
         """Tokens that it has in common with each set it is linked to."""
         return -(-self.percent * n // 100)
 
+    def largest(self, n, common):
+        """The size of the largest set that it may be linked to with so many tokens in common."""
+        return (100 + self.percent) * common // self.percent - n
+
     def spare(self, n):
         """First tokens, beyond those that may all be its own, that are looked at."""
         return np.maximum(1, n * self.percent // 800)
@@ -259,9 +263,19 @@ def _cut(sets: DataFrame) -> DataFrame:
     return sets.repartitionByRange(*keys).sortWithinPartitions(*keys).mapInArrow(work, _GROUP)
 
 
+_SIZES = ("need", "smallest", "largest", "reach_from", "reach_to")
+
+
+def _sizes(n: np.ndarray, outside: np.ndarray, bounds: Bounds) -> tuple[int, ...]:
+    """_SIZES of members with n tokens, so many of which stand in other groups."""
+    return tuple(int(x) for x in (bounds.met(n).min(), n.min(), n.max(), bounds.shared(n).min(), bounds.largest(n, outside).max()))
+
+
 def _able(groups: DataFrame, cells: DataFrame, bounds: Bounds) -> DataFrame:
-    """Groups of the members that may have links outside, with `probes` (their rarest tokens) and `need` (how many of them a pair of groups has to share).
+    """Groups of the members that may have links outside, with `probes` (their rarest tokens), `need` (how many of them a pair of groups has to share), and the range of sizes that they have and that their partners may have.
 
+    A member has no more in common with a set elsewhere than its tokens that stand in other groups. So pages of one
+    template, which share its tokens but have too many of their own, reach no partner of their own size.
     cells: (key, token) of the tokens that stand in several groups.
     """
     often = cells.groupBy("token").agg(F.count("*").alias("often"))
@@ -288,17 +302,19 @@ def _able(groups: DataFrame, cells: DataFrame, bounds: Bounds) -> DataFrame:
                     probes.append(at[np.lexsort((at, often[at]))[: bounds.first(n) - (n - len(at))]])
                 kept, at = np.unique(np.concatenate(parts), return_inverse=True)
                 new = _row(g.nodes[able], g.weights[able], g.sizes[able], g.union[kept], at, np.cumsum([len(x) for x in parts]))
-                done.append((int(row[0].as_py()), *new[1:], _signed(g.union[np.unique(np.concatenate(probes))]), int(bounds.met(g.sizes[able]).min())))
-            yield pa.RecordBatch.from_arrays([*_batch([d[:7] for d in done]).columns, pa.array([d[7] for d in done], pa.list_(pa.int64())), pa.array([d[8] for d in done], pa.int64())], names=[*_NAMES, "probes", "need"])
+                done.append((int(row[0].as_py()), *new[1:], _signed(g.union[np.unique(np.concatenate(probes))]), *_sizes(g.sizes[able], outside[able], bounds)))
+            numbers = [pa.array([d[8 + i] for d in done], pa.int64()) for i in range(len(_SIZES))]
+            yield pa.RecordBatch.from_arrays([*_batch([d[:7] for d in done]).columns, pa.array([d[7] for d in done], pa.list_(pa.int64())), *numbers], names=[*_NAMES, "probes", *_SIZES])
 
-    return rows.mapInArrow(work, _GROUP + ", probes array<long>, need long")
+    return rows.mapInArrow(work, _GROUP + ", probes array<long>" + "".join(f", {c} long" for c in _SIZES))
 
 
 def _qualifying(able: DataFrame) -> DataFrame:
-    """Pairs (g, h) of groups that share as many probes as a link between them would have them share."""
-    probes = able.select("grp", "need", F.explode("probes").alias("token"))
-    a, b = probes.select(F.col("grp").alias("g"), F.col("need").alias("need_g"), "token"), probes.select(F.col("grp").alias("h"), F.col("need").alias("need_h"), "token")
-    met = a.join(b, "token").where("g < h").groupBy("g", "h", "need_g", "need_h").agg(F.count("*").alias("met"))
+    """Pairs (g, h) of groups that share as many probes as a link between them would have them share, and have members of sizes that the other's may be linked to."""
+    probes = able.select("grp", *_SIZES, F.explode("probes").alias("token"))
+    a, b = (probes.select(F.col("grp").alias(g), "token", *[F.col(c).alias(f"{c}_{g}") for c in _SIZES]) for g in "gh")
+    fit = " and ".join(f"smallest_{x} <= reach_to_{y} and largest_{x} >= reach_from_{y}" for x, y in ("gh", "hg"))
+    met = a.join(b, "token").where(f"g < h and {fit}").groupBy("g", "h", "need_g", "need_h").agg(F.count("*").alias("met"))
     return met.where("met >= greatest(need_g, need_h)").select("g", "h")
 
 

@@ -127,6 +127,21 @@ def families(seed=2):
     return texts
 
 
+def test_pages_of_one_template(spark, monkeypatch):
+    """Pages that share a long passage, but not enough for a link, open no pair of groups; those that have little else do, and no link is lost."""
+    monkeypatch.setattr(ngram_jaccard, "MEMBERS", 16)
+    opened, whole = [], ngram_jaccard._qualifying
+    monkeypatch.setattr(ngram_jaccard, "_qualifying", lambda able: (opened.append(able.count()), pairs_.append((x := whole(able)).count()), x)[2])
+    passage, pairs_ = " ".join(f"t{i}" for i in range(150)), []
+    for own, linked in ((24, False), (6, True)):
+        texts = [f"{passage} " + " ".join(f"d{d}w{i}" for i in range(own)) for d in range(150)]
+        sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
+        assert (100 * len(sets[0] & sets[1]) >= 80 * len(sets[0] | sets[1])) == linked
+        got = ngram_jaccard.grouped(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+        assert {r.n_links for r in got} == {149 if linked else 0} and {r.component_id for r in got} == ({0} if linked else set(range(150)))
+    assert pairs_[0] == 0 and opened[0] > 5 and pairs_[1] > 5
+
+
 @pytest.mark.parametrize("members", [256, 3])
 @pytest.mark.parametrize("percent", [80, 50])
 def test_links_within_and_between_groups(spark, monkeypatch, members, percent):
