@@ -83,7 +83,11 @@ def counted(docs: DataFrame, model: str | Vocabulary, text: str = "text", into:
 
 
 def counts_only(docs: DataFrame, model: str | Vocabulary, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """doc_id and n_tokens; the text itself goes to the workers but not back."""
+    """doc_id and n_tokens of every row; the text itself goes to the workers but not back.
+
+    Null and empty texts have 0 tokens, a null doc_id stays null, repeated rows have a row each, an empty table gives an
+    empty one. Other columns are not read, whatever their names; very long texts are counted whole, segment by segment.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model if isinstance(model, Vocabulary) else Vocabulary.load(model))
     slim = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     schema = slim.select("doc_id").schema.add("n_tokens", "long")
