@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import hashlib
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schema import CURRENT_RUN, PREVIOUS_RUN, flagged
@@ -12,6 +14,30 @@ def seen_urls(df: DataFrame) -> DataFrame:
     return df.where("url is not null").select("url").distinct()
 
 
+#: Buckets of a store of seen urls.
+BUCKETS = 64
+
+
+def _store(spark: SparkSession, path: str, buckets: int) -> str:
+    """The name of the table that this session has for the store; the files are the store, whatever session wrote them."""
+    name = f"seen_{hashlib.sha256(f'{path} {buckets}'.encode()).hexdigest()[:24]}"
+    spark.sql(f"create table if not exists {name} (url string) using parquet clustered by (url) sorted by (url) into {int(buckets)} buckets location '{path}/{int(buckets)}'")
+    spark.catalog.refreshTable(name)
+    return name
+
+
+def stored_seen(spark: SparkSession, path: str, buckets: int = BUCKETS) -> DataFrame:
+    """The urls of the store at path, which add_seen() fills; empty before that. A join with it by url shuffles the other side alone, as the store lies in buckets by url."""
+    return spark.table(_store(spark, path, buckets))
+
+
+def add_seen(urls: DataFrame, path: str, buckets: int = BUCKETS) -> None:
+    """Adds urls (url) that the store at path does not have yet; each bucket gets one file more. Nulls are left out."""
+    name = _store(urls.sparkSession, path, buckets)
+    new = seen_urls(urls).join(urls.sparkSession.table(name), "url", "left_anti")
+    new.repartition(buckets, "url").write.mode("append").format("parquet").bucketBy(buckets, "url").sortBy("url").saveAsTable(name)
+
+
 def flag_previous_runs(df: DataFrame, seen: DataFrame) -> DataFrame:
     """Flags unflagged rows whose url is in seen (url)."""
     known = df.join(seen_urls(seen).withColumnRenamed("url", "__url"), F.col("url") == F.col("__url"), "left")

@@ -198,6 +198,15 @@ def dedupe_previous_run(spark, d):
     return dedupe.flag_current_run(dedupe.flag_previous_runs(_products(spark, d), _seen(spark, d))).select(*FLAGS).withColumn("position", F.col("position").cast("long"))
 
 
+def dedupe_with_store(spark, d):
+    """dedupe_previous_run with the seen urls in a bucketed store, filled in two turns."""
+    seen, path = _seen(spark, d), shared_folder(spark, "seen")
+    for part in (seen.where(F.length("url") % 2 == 0), seen):
+        dedupe.add_seen(part, path)
+    rows = dedupe.flag_previous_runs(_products(spark, d), dedupe.stored_seen(spark, path))
+    return dedupe.flag_current_run(rows).select(*FLAGS).withColumn("position", F.col("position").cast("long"))
+
+
 def seen_urls_update(spark, d):
     p = dedupe.flag_current_run(dedupe.flag_previous_runs(_products(spark, d), _seen(spark, d)))
     return dedupe.new_seen_urls(p, _seen(spark, d))
@@ -431,7 +440,7 @@ def queries() -> dict:
         related_terms, keyword_json, rank_terms, search_requests, dedupe_current_run, dedupe_previous_run, seen_urls_update, product_json, probability_flag, details_join, product_html, prompt_check, render_prompt,
         label_guard, classify_pages, classification_wide, csv_round_trip, run_list, load_run, stage_funnel, pipeline_end_to_end, stream_dedupe,
         write_and_load_run, run_registry, language_scan, location_scan, stream_known, enriched_run, stream_pipeline,
-        classify_with_failures, runs_with_own_hosts, indexed_search, ranked_hits, quarantined_replies, run_metrics,
+        classify_with_failures, runs_with_own_hosts, indexed_search, ranked_hits, quarantined_replies, run_metrics, dedupe_with_store,
     )
     return {f.__name__: f for f in own}
 

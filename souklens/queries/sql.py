@@ -135,6 +135,7 @@ def oracles(hosts, excluded, seeds, prompts, replies, stages, own) -> dict[str,
         "search_requests": f"with {grams} select search_term, search_term_type, num, search_term q, 'ctr:CH&cr:countryCH' tbs from (select seed search_term, 'initial' search_term_type, 50 num from {seed_rows} s(i, seed) union all select text, 'enriched', 10 from ranked where rank <= 5)",
         "dedupe_current_run": f"with {prods}, {flags('prods', False)} select search_id, position, url, st1 is not null filtered, st1 filtered_at_stage from b",
         "dedupe_previous_run": f"with {prods}, {flags('prods', True)} select search_id, position, url, st1 is not null filtered, st1 filtered_at_stage from b",
+        "dedupe_with_store": f"with {prods}, {flags('prods', True)} select search_id, position, url, st1 is not null filtered, st1 filtered_at_stage from b",
         "seen_urls_update": f"with {prods}, {flags('prods', True)} select distinct url from b where st1 is null",
         "product_json": f"select u url, case when ok then p_name end product_name, case when ok then p_partkey::varchar end product_price, case when ok then p_type end product_description, case when ok then 'm' || p_partkey || ',' || p_brand else '' end product_images, {part_prob} probability from {parts}",
         "probability_flag": f"select u url, {part_prob} probability, coalesce({part_prob} <= 0.1, false) filtered, case when {part_prob} <= 0.1 then {probability} end filtered_at_stage from {parts}",

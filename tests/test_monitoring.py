@@ -124,6 +124,26 @@ def test_repeated_urls(spark, partitions):
     assert {r.url for r in dedupe.new_seen_urls(out, spark.createDataFrame([("u",)], "url string")).collect()} == {"v"}
 
 
+def test_store_of_seen_urls(spark, tmp_path):
+    """The store is joined without a shuffle of its own, and holds each url once, whichever sessions add them."""
+    urls_ = lambda *xs: spark.createDataFrame([(x,) for x in xs], "url string")
+    path = str(tmp_path / "seen")
+    assert dedupe.stored_seen(spark, path, 8).count() == 0
+    dedupe.add_seen(urls_("a", "b", "b", None), path, 8)
+    dedupe.add_seen(urls_("b", "c"), path, 8)
+    for session in (spark, spark.newSession()):
+        assert sorted(r.url for r in dedupe.stored_seen(session, path, 8).collect()) == ["a", "b", "c"]
+    hits = spark.createDataFrame([("a", False), ("x", False), (None, False), ("c", True)], "url string, filtered boolean").withColumn("filtered_at_stage", F.when(F.col("filtered"), "earlier"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    out = dedupe.flag_previous_runs(hits, dedupe.stored_seen(spark, path, 8))
+    got, plan = {r.url: r.filtered_at_stage for r in out.collect()}, out._jdf.queryExecution().executedPlan().toString()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert got == {"a": PREVIOUS_RUN, "x": None, None: None, "c": "earlier"}
+    initial = plan.partition("Initial Plan")[2] or plan
+    assert initial.count("Exchange hashpartitioning") == 1 and "Bucketed: true" in initial
+
+
 def test_classify(spark):
     df = spark.createDataFrame([(1, "u", "n", "", False), (2, "v", None, "d", False), (3, "w", "n", "d", True)], "id int, url string, product_name string, product_description string, filtered boolean")
     seen = spark.sparkContext.accumulator(0)
