@@ -55,26 +55,34 @@ def flag_repeated(hits: DataFrame, ttl_ms: int | None = None) -> DataFrame:
 
 
 class FirstByRank(StatefulProcessor):
-    """Holds the best unflagged row of each url until its time is over; all others go out flagged at once."""
+    """Holds the best unflagged row of each url until its time is over; all others go out flagged at once.
+
+    One state for each url, the row and whether the url is closed, as each call for state is a message to another process.
+    """
 
     def __init__(self, schema: T.StructType, order: tuple[str, ...], wait_ms: int, keep_ms: int | None):
         self.schema, self.order, self.wait_ms, self.keep_ms = schema, order, wait_ms, keep_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.best = handle.getValueState("best", self.schema)
-        self.closed = handle.getValueState("closed", "closed boolean")
+        fields = [T.StructField(f.name, f.dataType) for f in self.schema]
+        self.state = handle.getValueState("best", T.StructType([*fields, T.StructField("__closed", T.BooleanType())]))
 
     def _out(self, row: tuple, repeated: bool = False) -> Row:
         values = dict(zip(self.schema.names, row, strict=True))
         return Row(**(values | {"filtered": True, "filtered_at_stage": CURRENT_RUN} if repeated else values))
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        closed, best = self.closed.exists(), self.best.get() if self.best.exists() else None
+        if key[-1] is None:
+            for r in rows:
+                yield self._out(tuple(r[c] for c in self.schema.names))
+            return
+        state = self.state.get()
+        closed, best = state is not None and state[-1], None if state is None or state[-1] else tuple(state)[:-1]
         held, rank = best, lambda row: tuple(row[self.schema.names.index(c)] for c in self.order)
         for r in rows:
             row = tuple(r[c] for c in self.schema.names)
-            if r["filtered"] or key[-1] is None:
+            if r["filtered"]:
                 yield self._out(row)
             elif closed:
                 yield self._out(row, repeated=True)
@@ -85,17 +93,17 @@ class FirstByRank(StatefulProcessor):
                 best, other = (row, best) if rank(row) < rank(best) else (best, row)
                 yield self._out(other, repeated=True)
         if best is not held:
-            self.best.update(tuple(best))
+            self.state.update((*best, False))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        if self.best.exists():
-            yield self._out(tuple(self.best.get()))
-            self.best.clear()
-            self.closed.update((True,))
-            if self.keep_ms is not None:
-                self.handle.registerTimer(expiredTimerInfo.getExpiryTimeInMs() + self.keep_ms)
-        else:
-            self.closed.clear()
+        state = self.state.get()
+        if state is None or state[-1]:
+            self.state.clear()
+            return
+        yield self._out(tuple(state)[:-1])
+        self.state.update((*[None] * len(self.schema), True))
+        if self.keep_ms is not None:
+            self.handle.registerTimer(expiredTimerInfo.getExpiryTimeInMs() + self.keep_ms)
 
     def close(self) -> None:
         pass
