@@ -27,7 +27,7 @@ def flagged_hits(hits: DataFrame, requests: DataFrame, country: str | None, seen
     return flag_by_rank(rows, time, wait_ms) if time else flag_repeated(rows, ttl_ms)
 
 
-def detailing_sink(path: str, store: str, details: Callable[[DataFrame], DataFrame], prompts: Sequence[Prompt], predict: Callable[[pd.DataFrame], pd.Series], threshold: float = PROBABILITY_THRESHOLD) -> Callable[[DataFrame, int], None]:
+def detailing_sink(path: str, store: str, details: Callable[[DataFrame], DataFrame], prompts: Sequence[Prompt], predict: Callable[[pd.DataFrame], pd.Series], threshold: float = PROBABILITY_THRESHOLD, each: bool = False) -> Callable[[DataFrame, int], None]:
     """A sink for flagged_hits that adds details, the probability flag and labels; rows go to path/out, in a folder for each batch.
 
     details makes the details (DETAILS) of a table of urls. It is asked once for each url: what it made is kept in
@@ -46,6 +46,6 @@ def detailing_sink(path: str, store: str, details: Callable[[DataFrame], DataFra
         asked = new.join(details(new).select(*[x.split()[0] for x in DETAILS.split(", ")]), "url", "left")  # a url without details is not asked for again
         asked.write.mode("overwrite").parquet(f"{store}/batch={i}")
         mine = stored().where(F.col("batch") <= i).drop("batch").join(urls, "url", "left_semi")
-        batch_sink(f"{path}/out")(classify(flag_probability(with_details(rows, mine), threshold), prompts, predict), i)
+        batch_sink(f"{path}/out")(classify(flag_probability(with_details(rows, mine, each), threshold), prompts, predict), i)
 
     return sink
