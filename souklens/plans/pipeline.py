@@ -19,16 +19,17 @@ from ..shared import Scratch
 from ..sources.dims import with_code
 
 
-def annotate(hits: DataFrame, requests: DataFrame, country: str | None, details: DataFrame, seen: DataFrame | None = None, marketplaces: DataFrame | None = None, excluded: DataFrame | None = None, threshold: float = PROBABILITY_THRESHOLD) -> DataFrame:
+def annotate(hits: DataFrame, requests: DataFrame, country: str | None, details: DataFrame, seen: DataFrame | None = None, marketplaces: DataFrame | None = None, excluded: DataFrame | None = None, threshold: float = PROBABILITY_THRESHOLD, each: bool = False) -> DataFrame:
     """All hits that are not excluded, with details and the first stage that flagged them.
 
     requests: run_id, search_id, search_ord, search_term, search_term_type (and country, as in operators.search.products);
-    hits: search_id, position, url; details: as sources.replies.product_details.
+    hits: search_id, position, url; details: as sources.replies.product_details. A hit whose url has several details
+    has the fullest; with `each` it has a row for every one of them, flagged and labelled for itself.
     """
     rows = products(hits, requests, country, marketplaces, excluded)
     if seen is not None:
         rows = flag_previous_runs(rows, seen)
-    return flag_probability(with_details(flag_current_run(rows), details), threshold)
+    return flag_probability(with_details(flag_current_run(rows), details, each), threshold)
 
 
 def run(hits: DataFrame, requests: DataFrame, country: str | None, details: DataFrame, prompts: Sequence[Prompt] | DataFrame, predict: Callable[[pd.DataFrame], pd.Series], **more) -> DataFrame:
@@ -59,13 +60,14 @@ def search_table(runs: DataFrame, docs: DataFrame, n_terms: int, per_term: int)
 def enriched_run(runs: DataFrame, docs: DataFrame, pages: DataFrame, country: str | None, details: Callable[[DataFrame], DataFrame], prompts: Sequence[Prompt] | DataFrame, predict: Callable[[pd.DataFrame], pd.Series], n_terms: int, per_term: int, **more) -> DataFrame:
     """From seeds to labels: keyword requests, ranked terms, searches, hits, flags, details and labels of all runs.
 
-    runs and docs: as search_table; pages: page_id, url, html; details: makes the details of pages (one row for each
-    url). Searches and hits are written once, as several steps read them; details are made of pages that were hit, no others.
+    runs and docs: as search_table; pages: page_id, url, html; details: makes the details of pages; more: as annotate.
+    Searches and hits are written once, as several steps read them; details are made of all pages whose url was hit, of
+    those too that no search found themselves, and of no others.
     """
     scratch = Scratch(runs.sparkSession, "enriched")
     searches = scratch.write(search_table(runs, docs, n_terms, per_term))
     hits = scratch.write(search_pages(pages, searches))
-    found = pages.join(hits.select("page_id").distinct(), "page_id", "left_semi")
+    found = pages.join(hits.select("url").distinct(), "url", "left_semi")
     return run(hits, searches, country, details(found), prompts, predict, **more)
 
 
